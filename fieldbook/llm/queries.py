@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.llm import simhash
+from fieldbook.llm import langid, linededup, simhash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,3 +25,13 @@ def _table(spark, sf: str, name: str):
 @_query("op2_simhash_near_dedup")
 def op2(spark, sf):
     return simhash.near_duplicates(_table(spark, sf, "documents"), "doc_id", "text")
+
+
+@_query("op4_line_dedup", linededup.SQL)
+def op4(spark, sf):
+    return linededup.line_dedup(_table(spark, sf, "documents"), "doc_id", "text")
+
+
+@_query("op10_language_id")
+def op10(spark, sf):
+    return langid.language_ids(_table(spark, sf, "documents"), "doc_id", "text", "lang").drop("bits_per_byte")
