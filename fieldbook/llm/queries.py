@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.llm import langid, linededup, simhash
+from fieldbook.llm import bpe, langid, linededup, simhash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,19 @@ def op4(spark, sf):
     return linededup.line_dedup(_table(spark, sf, "documents"), "doc_id", "text")
 
 
+def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """The text of an installed public vocabulary file, read on the driver."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+@_query("op9_bpe_encoding")
+def op9(spark, sf):
+    return bpe.token_digests(_table(spark, sf, "documents"), public_vocabulary(), "doc_id", "text")
+
+
 @_query("op10_language_id")
 def op10(spark, sf):
     return langid.language_ids(_table(spark, sf, "documents"), "doc_id", "text", "lang").drop("bits_per_byte")
