@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.llm import bpe, langid, linededup, simhash
+from fieldbook.llm import bpe, decontam, langid, linededup, simhash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op4(spark, sf):
     return linededup.line_dedup(_table(spark, sf, "documents"), "doc_id", "text")
 
 
+@_query("op7_benchmark_decontamination", decontam.SQL)
+def op7(spark, sf):
+    return decontam.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The text of an installed public vocabulary file, read on the driver."""
     import public_tokenizers
