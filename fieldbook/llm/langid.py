@@ -23,9 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbook.llm.common import cut
+
 ORDER = 3
 ROWS = 256
 ROW_BYTES = 1 << 16
+MOST_ROWS = 1 << 16
 MIN_COUNT = 2
 UNKNOWN = "und"
 _BREAK = 0xFF  # not a byte of UTF-8; contexts do not reach over it
@@ -132,11 +135,21 @@ def train(samples: dict[str, list[bytes]], order: int = ORDER, min_count: int =
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text) of the labelled rows that the trees are learned from."""
-    rows = docs.filter((fold(id_col) != 0) & F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0) & (F.octet_length(text_col) <= ROW_BYTES))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"), F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("id"))
-    place = Window.partitionBy("lang").orderBy("h", "id", "text")
-    return rows.withColumn("r", F.row_number().over(place)).filter(F.col("r") <= ROWS).select("lang", "text")
+    """(lang, text) of the labelled rows that the trees are learned from.
+
+    They are chosen by small keys first; texts are only read for the chosen ones, whose
+    number is checked before they are broadcast.
+    """
+    sized = F.octet_length(text_col)
+    rows = docs.filter((fold(id_col) != 0) & F.col(lang_col).isNotNull() & (sized > 0) & (sized <= ROW_BYTES))
+    keys = [F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("th")]
+    place = Window.partitionBy("lang").orderBy("h", "th")
+    chosen = rows.select(*keys).withColumn("r", F.row_number().over(place)).filter(F.col("r") <= ROWS).drop("r")
+    chosen = cut(chosen.distinct(), "training-rows")
+    if chosen.count() > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS // ROWS} languages")
+    rows = rows.select(*keys, F.col(text_col).cast("binary").alias("text"))
+    return rows.join(F.broadcast(chosen), ["lang", "h", "th"], "left_semi").select("lang", "text").distinct()
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
