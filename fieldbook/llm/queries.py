@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.llm import bpe, decontam, langid, linededup, simhash
+from fieldbook.llm import bpe, decontam, langid, linededup, simhash, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op7(spark, sf):
     return decontam.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
+@_query("op8_toxicity")
+def op8(spark, sf):
+    return toxicity.toxicity(_table(spark, sf, "documents"), _table(spark, sf, "labels"), "doc_id", "text", "toxic")
+
+
 def public_vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """The text of an installed public vocabulary file, read on the driver."""
     import public_tokenizers
