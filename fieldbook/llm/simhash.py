@@ -62,16 +62,17 @@ def fingerprint(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
 
 
 def with_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, fp) of every row; whole texts, null like an empty one. fp is a signed long."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    """(id, th, fp) of every row; whole texts, null like an empty one. fp is a signed long,
+    th a hash of the text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            found = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["id", "th", "fp"])
 
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    return rows.mapInArrow(run, f"id {kind}, th long, fp long")
 
 
 def forest(values: np.ndarray) -> list[tuple[int, int]]:
@@ -144,6 +145,21 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     return links
 
 
+def _classes(prints: DataFrame) -> DataFrame:
+    """(fp, component) of the fingerprints whose component has several rows of ``prints``;
+    component is the least (id, th) in it."""
+    nodes = cut(prints.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("least"), F.min("id").alias("least_id"), F.count("*").alias("n")), "nodes")
+    links = fingerprint_links(nodes.select("fp"))
+    found = connected_components(links)
+    drop(links)
+    roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = roots.groupBy("root").agg(F.min("least").alias("first"), F.min("least_id").alias("component"), F.sum("n").alias("total")).filter("total > 1")
+    classes = cut(roots.select("fp", "root").join(groups, "root").select("fp", "first", "component"), "classes")
+    drop(found)
+    drop(nodes)
+    return classes
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint, component_id) for every row of ``docs``.
 
@@ -154,18 +170,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kind = docs.schema[id_col].dataType.simpleString()
     prints = cut(with_fingerprint(docs, id_col, text_col), "prints")
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
-    links = fingerprint_links(nodes.select("fp"))
-    found = connected_components(links)
-    drop(links)
-    roots = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    groups = roots.groupBy("root").agg(F.min("least").alias("component"), F.sum("n").alias("total")).filter("total > 1")
-    classes = cut(roots.select("fp", "root").join(groups, "root").select("fp", "component"), "classes")
-    drop(found)
-    drop(nodes)
-    out = prints.join(classes, "fp", "left")
+    out = prints.join(_classes(prints).select("fp", "component"), "fp", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.coalesce("component", "id").cast(kind).alias("component_id"),
     )
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the one with the
+    least id (null first) stays; of rows that repeat its id and text, one."""
+    prints = cut(with_fingerprint(docs, id_col, text_col), "prints")
+    gone = prints.join(_classes(prints).select("fp", "first"), "fp").filter(~F.struct("id", "th").eqNullSafe(F.col("first")))
+    gone = cut(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), "duplicates")
+    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left_anti")
+    if prints.groupBy("id", "th").count().filter("count > 1").isEmpty():
+        return left
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    return left.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
