@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.llm import bpe, decontam, langid, linededup, simhash, toxicity
+from fieldbook.llm import bpe, decontam, langid, licenses, linededup, simhash, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,11 @@ def _table(spark, sf: str, name: str):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@_query("op1_license_scan", licenses.oracle_sql())
+def op1(spark, sf):
+    return licenses.license_scan(_table(spark, sf, "documents"), "doc_id", "text")
+
+
 @_query("op2_simhash_near_dedup")
 def op2(spark, sf):
     return simhash.near_duplicates(_table(spark, sf, "documents"), "doc_id", "text")
