@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.llm import bpe, decontam, langid, licenses, linededup, simhash, toxicity
+from fieldbook.llm import bpe, decontam, langid, licenses, linededup, sharding, simhash, toxicity
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,6 +37,11 @@ def op4(spark, sf):
     return linededup.line_dedup(_table(spark, sf, "documents"), "doc_id", "text")
 
 
+@_query("op5_sharding")
+def op5(spark, sf):
+    return sharding.shard(_table(spark, sf, "documents"), "doc_id", "text", 16)
+
+
 @_query("op7_benchmark_decontamination", decontam.SQL)
 def op7(spark, sf):
     return decontam.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
