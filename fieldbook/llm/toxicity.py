@@ -29,7 +29,7 @@ BUCKETS = 22  # as a power of two
 FEATURES = 8192
 EVIDENCE = 4.0
 LEAST_ROWS = 5
-ROWS = 8192
+ROWS = 6144
 ROW_BYTES = 1 << 16
 PENALTY = 1.0
 _BREAK = 0xFF  # not a byte of UTF-8
@@ -58,6 +58,14 @@ def _buckets(data: np.ndarray):
             yield order, found
 
 
+def _present(text: bytes, column: np.ndarray | None = None) -> np.ndarray:
+    """The distinct buckets of one text, or the columns of those that have one."""
+    found = [b[b >= 0] for _, b in _buckets(np.frombuffer(text.translate(_LOWER), np.uint8))]
+    if column is not None:
+        found = [x[x >= 0] for x in (column[b] for b in found)]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+
+
 @dataclass
 class Model:
     weight: np.ndarray  # of every bucket; 0 where it is not a feature
@@ -92,14 +100,10 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     constant = Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
     if toxic.min(initial=1) == toxic.max(initial=0):
         return constant
-    present = []
-    for text in texts:
-        found = [b for _, b in _buckets(np.frombuffer(text.translate(_LOWER), np.uint8))]
-        present.append(np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32))
-        present[-1] = present[-1][present[-1] >= 0]
-    counts = np.zeros((2, size))
-    for label, row in zip(toxic, present):
-        counts[label, row] += 1
+    # Two passes over the texts, so that only the kept features are ever held.
+    counts = np.zeros((2, size), np.int32)
+    for label, text in zip(toxic, texts):
+        counts[label, _present(text)] += 1
     rows = np.bincount(toxic, minlength=2)
     n = counts.sum(0)
     ratio = np.log((counts[1] + 1) / (rows[1] + 2)) - np.log((counts[0] + 1) / (rows[0] + 2))
@@ -113,8 +117,9 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
         return constant
     column = np.full(size, -1, np.int32)
     column[kept] = np.arange(len(kept))
-    owner = np.concatenate([np.full((column[row] >= 0).sum(), k) for k, row in enumerate(present)]).astype(np.int64)
-    feature = np.concatenate([column[row][column[row] >= 0] for row in present])
+    held = [_present(text, column) for text in texts]
+    owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    feature = np.concatenate(held)
     value = ratio[kept][feature]
     coef, intercept = _logistic(owner, feature, value, toxic, len(kept))
     weight = np.zeros(size, np.float32)
