@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldbook.llm import bpe, decontam, langid, licenses, linededup, sharding, simhash, toxicity
+from fieldbook.llm import bpe, decontam, embeddings, langid, licenses, linededup, sharding, simhash, toxicity, warc
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -32,6 +32,11 @@ def op2(spark, sf):
     return simhash.near_duplicates(_table(spark, sf, "documents"), "doc_id", "text")
 
 
+@_query("op3_warc_round_trip", warc.SQL)
+def op3(spark, sf):
+    return warc.round_trip(_table(spark, sf, "pages"), "page_id", "url", "html")
+
+
 @_query("op4_line_dedup", linededup.SQL)
 def op4(spark, sf):
     return linededup.line_dedup(_table(spark, sf, "documents"), "doc_id", "text")
@@ -42,6 +47,11 @@ def op5(spark, sf):
     return sharding.shard(_table(spark, sf, "documents"), "doc_id", "text", 16)
 
 
+@_query("op6_embedding_near_dedup", embeddings.SQL)
+def op6(spark, sf):
+    return embeddings.near_duplicates(_table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
+
+
 @_query("op7_benchmark_decontamination", decontam.SQL)
 def op7(spark, sf):
     return decontam.contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), "doc_id", "text", "item_id", "text")
