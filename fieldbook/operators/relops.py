@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,5 +14,80 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     One shuffle on the keys. Spark's window-group limit keeps only the first row per
     key and map task, so a hot key does not travel as a whole.
     """
+    return first_per_key(df, keys, order, 1)
+
+
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each key in the given total order."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_row", F.row_number().over(window)).filter("_row = 1").drop("_row")
+    return df.withColumn("_row", F.row_number().over(window)).filter(F.col("_row") <= n).drop("_row")
+
+
+def newest_non_null(column: str | Column, *order: str | Column) -> Column:
+    """Aggregate: the value of the greatest order among rows where the value is not null."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.max_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), F.struct(*order)))
+
+
+def as_of_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, payload: Mapping[str, str], strict: bool = True) -> DataFrame:
+    """Every left row with the payload of the last right row of its key before it.
+
+    Both sides are unioned and swept once per key, so no row meets all rows of its key.
+    ``strict`` leaves out right rows at the very time. Ties go to the greatest payload.
+    """
+    mark = F.struct(F.col(right_time).alias("_at"), *[F.col(c).alias(new) for c, new in payload.items()])
+    side = F.lit(1 if strict else -1)
+    marks = right.select(F.col(key), F.col(right_time).alias("_time"), side.alias("_side"), mark.alias("_mark"))
+    rows = left.withColumn("_time", F.col(left_time)).withColumn("_side", F.lit(0))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    sweep = Window.partitionBy(key).orderBy("_time", "_side", F.col("_mark").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(sweep)).filter("_side = 0")
+    return seen.select(*left.columns, *[F.col(f"_last.{new}").alias(new) for new in payload.values()])
+
+
+def snapshot_left_join(rows: DataFrame, scope: Sequence[str], capture: Sequence[str], order: Sequence[Column], content: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The latest capture of each scope, left joined to the content of exactly that capture.
+
+    A capture without content gives one row with null content: that nothing was there is evidence.
+    """
+    latest = latest_per_key(rows.select(*scope, *capture), scope, order)
+    return latest.join(content, list(on), "left")
+
+
+def grain_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that several rows share, with their number."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def pivot_stages(df: DataFrame, keys: Sequence[str], stage: str, value: str, stages: Sequence[str]) -> DataFrame:
+    """One column per stage: its greatest value, or null."""
+    return df.groupBy(*keys).agg(*[F.max(F.when(F.col(stage) == s, F.col(value))).alias(s) for s in stages])
+
+
+def two_sided(df: DataFrame, shared: Sequence[str], home: Mapping[str, str], away: Mapping[str, str]) -> DataFrame:
+    """Each match as two rows, from either team's side, in one pass without a union."""
+    sides = [F.struct(F.lit(name).alias("venue"), *[F.col(c).alias(new) for new, c in columns.items()]) for name, columns in (("home", home), ("away", away))]
+    return df.select(*shared, F.inline(F.array(*sides)))
+
+
+def digest(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Aggregates that tell two sets of rows apart, whatever their order: count, least and greatest hash."""
+    line = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
+    return [F.count("*").alias("n"), F.min(line).alias("least"), F.max(line).alias("greatest")]
+
+
+def lineage(edges: DataFrame, node: str, parent: str) -> DataFrame:
+    """(node, root, depth): each node's last ancestor, by pointer doubling.
+
+    The number of joins grows with the logarithm of the longest chain. A cycle has no root
+    and raises; roots are their own.
+    """
+    now = edges.select(F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("at"), F.when(F.col(parent).isNull() | (F.col(parent) == F.col(node)), 0).otherwise(1).cast("long").alias("depth"))
+    for _ in range(64):
+        step = now.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
+        ahead = now.join(step, "at", "left").select("node", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved"))
+        ahead = ahead.checkpoint() if ahead.sparkSession.sparkContext.getCheckpointDir() else ahead.cache()
+        now = ahead.drop("moved")
+        if ahead.filter("moved").isEmpty():
+            return now.select("node", F.col("at").alias("root"), "depth")
+    raise ValueError("the lineage has a cycle")
