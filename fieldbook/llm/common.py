@@ -68,7 +68,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     together. Each round is cut by a written table, so lineage stays short. Edges may
     repeat, point either way and hold self-loops; an edge with a null end is no edge.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null")
+    whole = edges.filter("a is not null and b is not null")
+    pairs = whole.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = cut(pairs.distinct(), "links")
     state = _state(now)
     while True:

@@ -378,7 +378,8 @@ def audit_recall(rows: DataFrame, found: DataFrame, id_col: str = "vec_id", vec_
     queries = keyed.filter((F.col("id") % every == 0) & F.col("vec").isNotNull())
     blocks = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, queries.count() // 1024)))).select("label", "block", F.col("id").alias("q"), F.col("vec").alias("qv"))
     numbers = blocks.select("label", "block").distinct()
-    others = keyed.filter("vec is not null").join(numbers, "label").select("label", "block", "id", "vec", F.pmod(F.xxhash64("id"), F.lit(16)).alias("part"))
+    others = keyed.filter("vec is not null").join(numbers, "label")
+    others = others.select(F.col("label").alias("label2"), F.col("block").alias("block2"), F.pmod(F.xxhash64("id"), F.lit(16)).alias("part2"), "vec")
 
     def count(key, one: pa.Table, two: pa.Table) -> pa.Table:
         if not one.num_rows or not two.num_rows:
@@ -388,7 +389,7 @@ def audit_recall(rows: DataFrame, found: DataFrame, id_col: str = "vec_id", vec_
         return pa.table({"id": one.column("q").cast(pa.int64()), "true": pa.array(near, pa.int64())})
 
     spread = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    true = spread.groupBy("label", "block", "part").cogroup(others.groupBy("label", "block", "part")).applyInArrow(count, "id long, true long")
+    true = spread.groupBy("label", "block", "part").cogroup(others.groupBy("label2", "block2", "part2")).applyInArrow(count, "id long, true long")
     true = true.groupBy("id").agg((F.sum("true") - 1).alias("true"))
     row = true.join(found, true["id"] == found[id_col]).agg(F.sum("true"), F.sum(F.least("true", "n_links"))).first()
     return 1.0 if not row[0] else row[1] / row[0]

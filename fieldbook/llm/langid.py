@@ -123,6 +123,8 @@ def train(samples: dict[str, list[bytes]], order: int = ORDER, min_count: int =
             there = (at < len(levels[k])) & (levels[k][np.minimum(at, len(levels[k]) - 1)] == context) if len(levels[k]) else np.zeros(len(key), bool)
             table = np.zeros((len(levels[k]), width))
             table[at[there], classes[(key[there] & np.uint64(255)).astype(np.int64)]] = n[there]
+            if k:  # a language's own rare contexts are not its own, whatever others have seen
+                table[table.sum(1) < min_count] = 0
             base = below[parents[k]] if k else below
             total, distinct = table.sum(1, keepdims=True), (table > 0).sum(1, keepdims=True)
             left = 1 - (base * (table > 0)).sum(1, keepdims=True)

@@ -98,7 +98,7 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     size, toxic = 1 << BUCKETS, np.asarray(toxic, np.int64)
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     constant = Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    if toxic.min(initial=1) == toxic.max(initial=0):
+    if not 0 < toxic.sum() < len(toxic):
         return constant
     # Two passes over the texts, so that only the kept features are ever held.
     counts = np.zeros((2, size), np.int32)

@@ -1,0 +1,75 @@
+"""Code lengths against a plain PPM, and held-out accuracy."""
+
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from fieldbook.llm import langid
+
+
+def plain_bits(samples, text, order):
+    """The definition, byte by byte, with contexts seen less than MIN_COUNT times left out."""
+    after = defaultdict(Counter)
+    for sample in samples:
+        for at in range(len(sample)):
+            for k in range(min(order, at) + 1):
+                after[sample[at - k : at]][sample[at]] += 1
+
+    def p(context, byte):
+        if context is None:
+            return 1 / 256
+        shorter = context[1:] if context else None
+        seen = after.get(context)
+        if not seen or (context and sum(seen.values()) < langid.MIN_COUNT):
+            return p(shorter, byte)
+        total, distinct = sum(seen.values()), len(seen)
+        if byte in seen:
+            return seen[byte] / (total + distinct)
+        left = 1 - sum(p(shorter, b) for b in seen)
+        return distinct / (total + distinct) * p(shorter, byte) / left
+
+    return sum(-math.log2(p(text[max(0, at - order) : at], text[at])) for at in range(len(text)))
+
+
+def test_code_lengths_are_exact(monkeypatch):
+    samples = {"a": [b"abracadabra abra", b"cad abra"], "b": [b"banana bandana", b"xyz"]}
+    model = langid.train(samples)
+    texts = [b"abracabana", b"", b"zzz \xc3\xa9", b"banana"]
+    got = model.code_lengths(texts)
+    for i, text in enumerate(texts):
+        for j, lang in enumerate(model.langs):
+            assert got[i, j] == pytest.approx(plain_bits(samples[lang], text, langid.ORDER), rel=1e-4)
+    monkeypatch.setattr(langid, "_WINDOW", 3)
+    assert np.allclose(model.code_lengths(texts), got)
+
+
+def test_probabilities_add_up():
+    model = langid.train({"a": [b"some text of one kind, some more"], "b": ["öäü äöü".encode()]})
+    p = np.exp2(-model.bits.astype(float))
+    seen = model.child.shape[1] - 2
+    assert np.allclose(p[:, :seen].sum(1) + p[:, seen] * (256 - seen), 1, atol=1e-5)
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.language_ids(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.98
+
+
+def test_hard_cases(docs, no_docs):
+    model = langid.train({"x": [b"word and words"], "y": [b"other"]})
+    got = {(r.doc_id, r.text): r for r in langid.identify(docs, model).collect()}
+    assert all(got[k, t].lang_pred == "und" and got[k, t].score == 0 for k, t in [(0, None), (1, ""), (2, "   "), (3, "12 34 !!")])
+    assert got[4, "word"].lang_pred == "x"
+    assert langid.identify(docs, model).count() == docs.count()
+    assert langid.language_ids(no_docs).collect() == []
+    nothing = langid.train({})
+    assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
