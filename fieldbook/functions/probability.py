@@ -62,3 +62,10 @@ def poisson_mixture(home_log: Column, away_log: Column, home_sd: Column, away_sd
     nodes, weights = np.polynomial.hermite_e.hermegauss(order)
     weights = weights / weights.sum()
     return [(float(u * v), F.exp(home_log + home_sd * float(x)), F.exp(away_log + away_sd * float(y))) for x, u in zip(nodes, weights) for y, v in zip(nodes, weights)]
+
+
+def gamma_poisson_pmf(k: Column, mean: Column, shape: float) -> Column:
+    """P(K = k) of a Poisson count whose rate is gamma with this mean and shape."""
+    terms = F.transform(F.sequence(F.lit(0), k), lambda i: F.when(i < k, F.log((i + shape) / (i + 1.0))).otherwise(0.0))
+    choose = F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
+    return F.exp(choose + shape * F.log(shape / (shape + mean)) + k * F.log(mean / (shape + mean)))

@@ -28,3 +28,17 @@ def build_session(name: str = "fieldbook", master: str | None = None, **more: st
 def load(spark: SparkSession, sf_dir: str, name: str):
     """One table of a data folder; Spark opens the path, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir if that is
+    set, else, in a local session, a temporary one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="fieldbook-")
+        spark.sparkContext.setCheckpointDir(base)
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base}/{label}-{uuid.uuid4().hex}"
