@@ -234,3 +234,54 @@ def filter_states(matches: DataFrame, members: dict[str, dict]) -> DataFrame:
         return pd.DataFrame({"competition": competition, "member": member, "team": model.teams, "quality": model.mean[at], "tilt": model.mean[at + 1], "quality_sd": np.sqrt(model.cov[at, at]), "evidence": model.evidence, "as_of_day": int(model.day)})
 
     return rows.groupBy("competition", "member").applyInPandas(run, STATE)
+
+
+# --- chances behind goals and expected goals
+
+
+def chance_likelihood(goals: int, xg: float, log_rate: float, p: float) -> tuple[float, float, float]:
+    """(log likelihood, its slope, minus its second derivative) in the log scoring rate.
+
+    N chances are Poisson with mean rate/p, each a goal with probability p, and their quality
+    adds up to xg, gamma with shape N and scale p. N is summed out until the terms vanish.
+    A missing xg leaves the Poisson count of goals; xg 0 means no chance at all.
+    """
+    rate = math.exp(log_rate)
+    if math.isnan(xg):
+        return goals * log_rate - rate - math.lgamma(goals + 1), goals - rate, rate
+    if xg == 0:
+        if goals:
+            raise ValueError("goals without any chance")
+        return -rate / p, -rate / p, rate / p
+    low = max(goals, 1)
+    width = 64
+    while True:
+        n = np.arange(low, low + width, dtype=float)
+        log_gamma = np.array([math.lgamma(x) for x in n])
+        log_missed = np.array([math.lgamma(x - goals + 1) for x in n])
+        terms = n * (log_rate - math.log(p)) - math.lgamma(goals + 1) - log_missed + goals * math.log(p) + (n - goals) * math.log1p(-p) + (n - 1) * math.log(xg) - xg / p - n * math.log(p) - log_gamma
+        top = terms.max()
+        weights = np.exp(terms - top)
+        if weights[-1] < 1e-16 * weights.sum():
+            break
+        width *= 2
+        if width > 1 << 16:
+            raise ValueError("the sum over chances does not converge")
+    total = weights.sum()
+    mean = float(weights @ n / total)
+    spread = float(weights @ (n - mean) ** 2 / total)
+    return float(top + math.log(total) - rate / p), mean - rate / p, rate / p - spread
+
+
+def entry_priors(entrants: DataFrame, cohort: str, value: str, error: str, least: int = 6) -> DataFrame:
+    """(cohort, n, prior_mean, prior_variance) of newcomers' strength, by empirical Bayes.
+
+    The spread of a cohort's estimates less their mean error variance is its own variance;
+    a cohort of fewer than ``least`` entrants takes the whole population's.
+    """
+    square = F.col(error) * F.col(error)
+    stats = [F.count("*").alias("n"), F.avg(value).alias("m"), F.greatest(F.var_pop(value) - F.avg(square), F.lit(0.0)).alias("v")]
+    whole = entrants.agg(F.avg(value).alias("all_m"), F.greatest(F.var_pop(value) - F.avg(square), F.lit(0.0)).alias("all_v"))
+    own = F.col("n") >= least
+    rows = entrants.groupBy(cohort).agg(*stats).join(F.broadcast(whole))  # one row
+    return rows.select(cohort, "n", F.when(own, F.col("m")).otherwise(F.col("all_m")).alias("prior_mean"), F.when(own, F.col("v")).otherwise(F.col("all_v")).alias("prior_variance"))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 500
@@ -105,3 +105,41 @@ def season_summary(paths: DataFrame) -> DataFrame:
         (F.sum("u") / total).alias("promoted"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("position", "n")))).alias("positions"),
     )
+
+
+def european_places(table: DataFrame, keys: list[str], champions: int, cup: str, league_cup: str, team: str = "team", position: str = "position") -> DataFrame:
+    """The table with its competition: champions_league, europa_league, conference_league or null.
+
+    The cup winner has the first Europa place and the league cup winner the Conference place
+    unless they are placed higher; what that frees goes down the table.
+    """
+    top = F.col(position) <= champions
+    first = Window.partitionBy(*keys, top).orderBy(F.desc(F.col(team) == F.col(cup)), position)
+    rows = table.withColumn("_europa", ~top & (F.row_number().over(first) <= 2))
+    last = Window.partitionBy(*keys, top | F.col("_europa")).orderBy(F.desc(F.col(team) == F.col(league_cup)), position)
+    third = ~top & ~F.col("_europa") & (F.row_number().over(last) == 1)
+    return rows.withColumn("europe", F.when(top, "champions_league").when(F.col("_europa"), "europa_league").when(third, "conference_league")).drop("_europa")
+
+
+def sample_states(spark: SparkSession, states: DataFrame, paths: int, days: int, decay_days: float = 700.0, team_sd: float = 0.35, seed: int = 1) -> DataFrame:
+    """(path, team, quality): each path draws the teams' qualities and carries them forward.
+
+    ``states`` has team, quality and quality_sd, a row per team. Forward in time a quality
+    decays and gains the variance that keeps its long-run spread.
+    """
+    known = sorted(tuple(r) for r in states.select("team", "quality", "quality_sd").limit(MOST_FIXTURES).collect())
+    keep = float(np.exp(-days / decay_days))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        teams = [k[0] for k in known]
+        mean, sd = np.array([k[1] for k in known]), np.array([k[2] for k in known])
+        for batch in batches:
+            for chunk in batch["chunk"]:
+                draw = np.random.default_rng(np.random.SeedSequence([seed, 2, int(chunk)]))
+                size = min(CHUNK, paths - int(chunk) * CHUNK)
+                now = mean + sd * draw.standard_normal((size, len(teams)))
+                later = keep * now + team_sd * np.sqrt(1 - keep**2) * draw.standard_normal(now.shape)
+                yield pd.DataFrame({"path": np.repeat(int(chunk) * CHUNK + np.arange(size), len(teams)), "team": np.tile(teams, size), "quality": later.ravel()})
+
+    chunks = -(-paths // CHUNK)
+    return spark.range(0, chunks, 1, max(1, min(chunks, spark.sparkContext.defaultParallelism))).withColumnRenamed("id", "chunk").mapInPandas(run, "path long, team string, quality double")

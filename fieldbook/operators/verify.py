@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 
 @dataclass
@@ -40,3 +41,35 @@ def retention_plan(inventory: DataFrame, references: DataFrame, key: str, in_gra
     used = references.select(F.col(key), F.lit(True).alias("_used")).distinct()
     action = F.when(F.col("_used"), "referenced").when(in_grace, "grace").otherwise("delete")
     return inventory.join(used, key, "left").withColumn("action", action).drop("_used")
+
+
+def schema_paths(schema: DataType, trail: str = "$") -> list[tuple[str, str, DataType]]:
+    """(path, name, type) of every field of a nested schema; maps are open, their keys are data."""
+    if isinstance(schema, ArrayType):
+        return schema_paths(schema.elementType, trail + "[]")
+    if isinstance(schema, MapType):
+        return schema_paths(schema.valueType, trail + "{}")
+    if not isinstance(schema, StructType):
+        return []
+    return [x for f in schema for x in [(f"{trail}.{f.name}", f.name, f.dataType), *schema_paths(f.dataType, f"{trail}.{f.name}")]]
+
+
+def unpublishable(documents: DataFrame, allowed: set[str], forbidden_keys: Sequence[str], forbidden_values: Sequence[str], subject: str) -> DataFrame:
+    """(subject, path, problem) of what a public document must not hold.
+
+    Keys are checked on the schema, once. Values are matched where they are: every string
+    field at any depth, in the rows that have it.
+    """
+    fields = schema_paths(documents.schema)
+    bad = [(path, "private key") for path, name, _ in fields if any(x in name for x in forbidden_keys)]
+    bad += [(path, "not in the contract") for path, name, _ in fields if name not in allowed and (path, "private key") not in bad]
+    spark = documents.sparkSession
+    found = spark.createDataFrame([("*", *b) for b in bad], "subject string, path string, problem string")
+    pattern = "|".join(f"(?:{p})" for p in forbidden_values)
+    for path, _, kind in fields:
+        if isinstance(kind, (StringType, ArrayType)) and pattern and (isinstance(kind, StringType) or isinstance(kind.elementType, StringType)) and "{}" not in path:
+            column = F.col(path.removeprefix("$.").replace("[]", ""))
+            text = column if path.count("[]") == 0 and isinstance(kind, StringType) else F.to_json(F.struct(column))
+            hit = documents.filter(text.rlike(pattern)).select(F.col(subject).cast("string").alias("subject"), F.lit(path).alias("path"), F.lit("private value").alias("problem"))
+            found = found.unionAll(hit)
+    return found

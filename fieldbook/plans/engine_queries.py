@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+import math
 
+import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import probability as P
 from fieldbook.functions import scoring as S
 from fieldbook.operators import models, simulate
 from fieldbook.operators.relops import digest, latest_per_key
+from fieldbook.operators.verify import unpublishable
 from fieldbook.plans.namespace import Namespace, Relation
 from fieldbook.plans.registry import query
 from fieldbook.session import load, scratch
@@ -327,3 +331,119 @@ def dm12(spark, sf):
     mean = sum(w * r for w, r in rates)
     second = sum(w * (r + r * r) for w, r in rates)
     return rows.select("k", F.round(mean, 8).alias("mean"), F.round(second - mean * mean, 8).alias("variance"), F.round(second - mean * mean - mean, 8).alias("state_variance"))
+
+
+@query(
+    "dm19_chance_likelihood",
+    """WITH r AS (SELECT n_nationkey AS k, n_nationkey % 4 AS g, 0.2 + (n_nationkey % 6) / 4.0 AS x, CAST(0.12 AS DOUBLE) AS p, CAST(1.3 AS DOUBLE) AS m FROM nation),
+       t AS (SELECT k, exp(n * ln(m / p) - m / p - lgamma(n + 1.0) + lgamma(n + 1.0) - lgamma(g + 1.0) - lgamma(n - g + 1.0) + g * ln(p) + (n - g) * ln(1 - p) + (n - 1) * ln(x) - x / p - n * ln(p) - lgamma(CAST(n AS DOUBLE))) AS q FROM r, range(1, 140) s(n) WHERE n >= g)
+       SELECT k, round(ln(sum(q)), 6) AS log_likelihood FROM t GROUP BY k""",
+)
+def dm19(spark, sf):
+    rows = load(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") % 4).alias("g"), (F.lit(0.2) + (F.col("n_nationkey") % 6) / F.lit(4.0)).alias("x"))
+
+    @F.pandas_udf("double")
+    def likelihood(g: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([models.chance_likelihood(int(a), float(b), math.log(1.3), 0.12)[0] for a, b in zip(g, x)])
+
+    return rows.select("k", F.round(likelihood("g", "x"), 6).alias("log_likelihood"))
+
+
+@query(
+    "dm21_entry_priors",
+    """WITH e AS (SELECT n_regionkey AS cohort, c_acctbal / 1000 AS v, 0.5 + (c_custkey % 5) / 10.0 AS se FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey > 0 OR c_custkey < 120),
+       a AS (SELECT avg(v) AS m, greatest(var_pop(v) - avg(se * se), 0) AS s FROM e), c AS (SELECT cohort, count(*) AS n, avg(v) AS m, greatest(var_pop(v) - avg(se * se), 0) AS s FROM e GROUP BY cohort)
+       SELECT cohort, n, round(CASE WHEN n >= 40 THEN c.m ELSE a.m END, 7) AS prior_mean, round(CASE WHEN n >= 40 THEN c.s ELSE a.s END, 6) AS prior_variance FROM c, a""",
+)
+def dm21(spark, sf):
+    rows = load(spark, sf, "customer").join(load(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).filter("n_regionkey > 0 or c_custkey < 120")
+    entrants = rows.select(F.col("n_regionkey").alias("cohort"), (F.col("c_acctbal") / 1000).alias("v"), (F.lit(0.5) + (F.col("c_custkey") % 5) / F.lit(10.0)).alias("se"))
+    return models.entry_priors(entrants, "cohort", "v", "se", 40).select("cohort", "n", F.round("prior_mean", 7).alias("prior_mean"), F.round("prior_variance", 6).alias("prior_variance"))
+
+
+@query("dm22_state_sampling")
+def dm22(spark, sf):
+    states = models.filter_states(_league(spark, sf).filter("competition = 'north'"), {"usual": {}}).select("team", "quality", "quality_sd")
+    return simulate.sample_states(spark, states, 2000, 30).groupBy("team").agg(F.count("*").alias("paths"), F.avg("quality").alias("mean"), F.stddev_pop("quality").alias("sd"))
+
+
+@query(
+    "dm25_european_places",
+    """WITH t AS (SELECT c_mktsegment AS league, c_nationkey AS team, row_number() OVER (PARTITION BY c_mktsegment ORDER BY sum(c_acctbal) DESC, c_nationkey) AS position FROM customer GROUP BY c_mktsegment, c_nationkey),
+       w AS (SELECT league, max(team) FILTER (position = 3) AS cup, max(team) FILTER (position = 11) AS league_cup FROM t GROUP BY league)
+       SELECT league, team, CASE WHEN position <= 4 THEN 'champions_league' WHEN position IN (5, 6) THEN 'europa_league' WHEN position = 11 THEN 'conference_league' END AS europe FROM t""",
+)
+def dm25(spark, sf):
+    sums = load(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("league"), F.col("c_nationkey").alias("team")).agg(F.sum("c_acctbal").alias("s"))
+    table = sums.withColumn("position", F.row_number().over(Window.partitionBy("league").orderBy(F.desc("s"), "team")))
+    cups = table.groupBy("league").agg(F.max(F.when(F.col("position") == 3, F.col("team"))).alias("cup"), F.max(F.when(F.col("position") == 11, F.col("team"))).alias("league_cup"))
+    return simulate.european_places(table.join(cups, "league"), ["league"], 4, "cup", "league_cup").select("league", "team", "europe")
+
+
+@query(
+    "dm45_publishable",
+    """SELECT CAST(n_nationkey AS VARCHAR) AS subject, '$.name' AS path, 'private value' AS problem FROM nation WHERE regexp_matches(n_name, '7$') UNION ALL SELECT '*', '$.private_note', 'private key' UNION ALL SELECT '*', '$.extra', 'not in the contract'""",
+)
+def dm45(spark, sf):
+    documents = load(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("name"), F.lit("x").alias("private_note"), F.lit(1).alias("extra"))
+    return unpublishable(documents, {"n_nationkey", "name"}, ["private"], ["7$"], "n_nationkey")
+
+
+@query("dm51_replay", "SELECT CAST(r_regionkey AS VARCHAR) AS team_id, r_name || '!' AS name FROM region")
+def dm51(spark, sf):
+    region = load(spark, sf, "region")
+    payload = F.to_json(F.array(F.struct(F.col("r_regionkey").cast("string").alias("team_id"), F.concat("r_name", F.col("mark")).alias("name"))))
+    captures = region.select("*", F.explode(F.array(F.struct(F.lit(1).alias("day"), F.lit("").alias("mark")), F.struct(F.lit(2).alias("day"), F.lit("!").alias("mark")))).alias("d")).select("*", "d.*")
+    captures = captures.withColumn("payload", payload).groupBy("day").agg(F.concat_ws("\n", F.array_sort(F.collect_list("payload"))).alias("payload"))
+    captures = captures.select(F.lit("teams").alias("kind"), F.lit("feed").alias("provider"), F.concat(F.lit("2024-01-0"), F.col("day"), F.lit("T00:00:00+00:00")).alias("retrieved_at"), F.sha2("payload", 256).alias("source_sha256"), "payload")
+
+    def teams(payloads):
+        documents = payloads.select(F.explode(F.split("payload", "\n")).alias("d"))
+        return {"teams": documents.select(F.inline(F.from_json("d", "array<struct<team_id:string,name:string>>", {"mode": "FAILFAST"})))}
+
+    root = scratch(spark, "replay")
+    evidence.replay(spark, root, captures, {"teams": teams})
+    return evidence.Dataset(spark, root, tables=["teams"]).current("teams").select("team_id", "name")
+
+
+@query("sk02_immutable_write", "SELECT 'same' AS attempt, true AS accepted UNION ALL SELECT 'other', false")
+def sk02(spark, sf):
+    path = f"{scratch(spark, 'files')}/a.json"
+    out = []
+    for attempt, text in (("first", "x"), ("same", "x"), ("other", "y")):
+        try:
+            files.write_once(spark, path, text)
+            out.append((attempt, True))
+        except ValueError:
+            out.append((attempt, False))
+    return spark.createDataFrame(out[1:], "attempt string, accepted boolean")
+
+
+@query("sk03_pointer_update", "SELECT 3 AS version, 'c' AS value")
+def sk03(spark, sf):
+    path = scratch(spark, "pointer")
+    for value in "abc":
+        files.update_pointer(spark, path, lambda now, value=value: {"version": now.get("version", 0) + 1, "value": value})
+    now = files.read_pointer(spark, path)
+    return spark.createDataFrame([(now["version"], now["value"])], "version int, value string")
+
+
+@query("sk05_materialized_namespace", "SELECT r_name, count(*) AS nations FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY r_name")
+def sk05(spark, sf):
+    path = scratch(spark, "namespace")
+    for name in ("nation", "region"):  # tables are copied; what is derived stays a view over the copies
+        load(spark, sf, name).write.parquet(f"{path}/{name}")
+    copies = {n: spark.read.parquet(f"{path}/{n}") for n in ("nation", "region")}
+    return spark.sql("SELECT r_name, count(*) AS nations FROM {nation} JOIN {region} ON r_regionkey = n_regionkey GROUP BY r_name", **copies)
+
+
+@query(
+    "st03_late_corrections",
+    """WITH e AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN ts + INTERVAL 5 DAY ELSE ts END AS seen FROM events)
+       SELECT user_id, arg_max(value, (seen, event_id)) AS value FROM e WHERE seen <= TIMESTAMP '2024-01-20 00:00:00' GROUP BY user_id""",
+)
+def st03(spark, sf):
+    seen = F.when(F.col("event_id") % 10 == 0, F.col("ts") + F.expr("INTERVAL 5 DAYS")).otherwise(F.col("ts"))
+    rows = load(spark, sf, "events").withColumn("seen", seen).filter(F.col("seen") <= F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"))
+    return rows.groupBy("user_id").agg(F.max_by("value", F.struct("seen", "event_id")).alias("value"))
+

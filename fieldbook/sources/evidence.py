@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -143,3 +143,18 @@ def compact(spark: SparkSession, root: str, manifests: list[dict], tables: Itera
         listed += [{"table": name, "path": f.removeprefix(f"{root}/"), "sha256": files.digest(spark, f)} for f in files.listed(spark, where, ".parquet")]
     request = {"retrieved_at": max(m["request"]["retrieved_at"] for m in manifests)}
     return {"batch_id": batch, "covers_history": True, "replaces": replaced, "request": request, "files": listed, "rows": counts}
+
+
+def replay(spark: SparkSession, root: str, captures: DataFrame, normalizers: Mapping[str, Callable[[DataFrame], Mapping[str, DataFrame]]]) -> list[dict]:
+    """Publish all retained captures again, in order of time and hash.
+
+    captures: kind, provider, retrieved_at (text with a zone), source_sha256, payload. Each
+    kind's normaliser turns the payload column of its captures into canonical tables.
+    """
+    order = captures.select("kind", "provider", "retrieved_at", "source_sha256").distinct().orderBy("retrieved_at", "source_sha256")
+    made = []
+    for c in order.collect():  # one row per capture, not per observation
+        own = captures.filter((F.col("source_sha256") == c.source_sha256) & (F.col("retrieved_at") == c.retrieved_at) & (F.col("kind") == c.kind))
+        request = {"provider": c.provider, "retrieved_at": c.retrieved_at, "evidence_basis": "replay", "source_sha256": c.source_sha256}
+        made.append(publish(spark, root, request, normalizers[c.kind](own.select("payload"))))
+    return made

@@ -121,3 +121,36 @@ def test_head_to_head(spark):
     rows = spark.createDataFrame([("1", "a", "b", 2, 0), ("2", "b", "a", 1, 1), ("3", "a", "c", 0, 5)], "match_id string, home string, away string, home_goals int, away_goals int")
     ties = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "team string, tie int")
     assert sorted(tuple(r) for r in tables.head_to_head(rows, ties).collect()) == [("a", 4, 2, 3, 1), ("b", 1, -2, 1, 0)]
+
+
+def test_chance_likelihood_adds_up_and_has_its_slope():
+    draw = np.random.default_rng(3)
+    for goals, xg in ((0, 0.3), (2, 1.7), (1, 0.05), (3, float("nan")), (0, 0.0)):
+        at = lambda eta: models.chance_likelihood(goals, xg, eta, 0.15)[0]  # noqa: E731, B023
+        eta = draw.normal() / 3
+        _, slope, curve = models.chance_likelihood(goals, xg, eta, 0.15)
+        assert slope == pytest.approx((at(eta + 1e-5) - at(eta - 1e-5)) / 2e-5, abs=1e-4)
+        assert curve == pytest.approx(-(at(eta + 1e-3) - 2 * at(eta) + at(eta - 1e-3)) / 1e-6, abs=1e-3)
+    grid = np.arange(0.0005, 12, 0.001)
+    some = sum(np.exp([models.chance_likelihood(g, x, 0.1, 0.15)[0] for x in grid]).sum() * 0.001 for g in range(7))
+    none = np.exp(models.chance_likelihood(0, 0.0, 0.1, 0.15)[0])
+    assert some + none == pytest.approx(1, abs=2e-3)
+    with pytest.raises(ValueError):
+        models.chance_likelihood(1, 0.0, 0.0, 0.15)
+
+
+def test_european_places(spark):
+    rows = lambda cup, league_cup: [(f"t{k}", k, cup, league_cup) for k in range(1, 11)]
+    for cup, league_cup, europa, conference in (("t9", "t10", {"t5", "t9"}, "t10"), ("t1", "t2", {"t5", "t6"}, "t7"), ("t9", "t5", {"t5", "t9"}, "t6"), ("t9", "t9", {"t5", "t9"}, "t6")):
+        table = spark.createDataFrame(rows(cup, league_cup), "team string, position int, cup string, league_cup string")
+        found = simulate.european_places(table, [], 4, "cup", "league_cup").collect()
+        assert {r.team for r in found if r.europe == "europa_league"} == europa
+        assert [r.team for r in found if r.europe == "conference_league"] == [conference]
+        assert sum(r.europe == "champions_league" for r in found) == 4
+
+
+def test_sampled_states(spark):
+    states = spark.createDataFrame([("a", 0.5, 0.1), ("b", -0.5, 0.2)], "team string, quality double, quality_sd double")
+    paths = simulate.sample_states(spark, states, 4000, 0, seed=4)
+    got = {r.team: (r.m, r.s) for r in paths.groupBy("team").agg(F.avg("quality").alias("m"), F.stddev("quality").alias("s")).collect()}
+    assert got["a"] == pytest.approx((0.5, 0.1), abs=0.01) and got["b"] == pytest.approx((-0.5, 0.2), abs=0.02)
