@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import cut
+from fieldbook.llm.common import cut, map_arrow
 
 SEGMENT = 1 << 16
 LEAF = 4096
 AGREE = 2
-_CACHED = 400_000
+_CACHED = 1 << 16
 TEXT, SPECIAL, PIECE, WORDS = range(4)
 _BETWEEN = b"\xff"  # not a byte of UTF-8
 
@@ -243,7 +243,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, kind: typ
                 found.append(one.row())
             yield batch_of(batch.column(0), found)
 
-    short = rows.filter(F.col("n") <= size).select("id", "text").mapInArrow(whole, schema)
+    short = map_arrow(rows.filter(F.col("n") <= size).select("id", "text"), whole, schema)
     long = rows.filter(F.col("n") > size).select("id", "text")
 
     def split(batches):
@@ -281,9 +281,9 @@ def _run(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, kind: typ
             yield batch_of(at, [one.row()])
 
     # A written table: the tags of a text's rows are made once, whatever is lost later.
-    segments = cut(long.mapInArrow(split, f"id {id_type}, tag string, seg long, glued boolean, kind int, data binary"), "segments")
-    tokens = segments.repartition("tag", "seg").mapInArrow(encode, f"id {id_type}, tag string, seg long, glued boolean, ids array<int>")
-    merged = tokens.repartition("tag").sortWithinPartitions("tag", "seg").mapInArrow(merge, schema)
+    segments = cut(map_arrow(long, split, f"id {id_type}, tag string, seg long, glued boolean, kind int, data binary"), "segments")
+    tokens = map_arrow(segments.repartition("tag", "seg"), encode, f"id {id_type}, tag string, seg long, glued boolean, ids array<int>")
+    merged = map_arrow(tokens.repartition("tag").sortWithinPartitions("tag", "seg"), merge, schema)
     return short.union(merged).withColumnRenamed("id", id_col)
 
 
@@ -303,7 +303,7 @@ def decode_ids(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFr
             texts = [None if ids is None else own.decode(ids) for ids in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*kept, "decoded"])
 
-    return rows.select(*kept).mapInArrow(run, rows.select(*kept).schema.add("decoded", "string"))
+    return map_arrow(rows.select(*kept), run, rows.select(*kept).schema.add("decoded", "string"))
 
 
 def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEGMENT) -> DataFrame:

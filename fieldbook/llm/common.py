@@ -54,6 +54,32 @@ def drop(table: DataFrame | None) -> None:
         remove(table.sparkSession, table.path)
 
 
+BATCH_BYTES = 2 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_BYTES`` bytes, or one row if that is
+    more. A worker holds few batches at a time, whatever the length of the texts."""
+    conf = df.sparkSession.conf
+    if int(str(conf.get(_BATCHES, "67108864")).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCHES, BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
+def slices(batch, column: int, most: int = 2 << 20):
+    """An Arrow batch in parts whose values in one binary column take about ``most`` bytes."""
+    import numpy as np
+
+    values = batch.column(column)
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    at = 0
+    while at < len(values):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.coalesce(F.expr("bit_xor(xxhash64(a, b))"), F.lit(0))).first()
     return row[0], row[1]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import cut, drop
+from fieldbook.llm.common import cut, drop, map_arrow
 
 WINDOW = 10
 SEGMENT_WORDS = 1 << 19
@@ -99,7 +99,7 @@ def build_index(docs: DataFrame, id_col: str, text_col: str, terms: set[bytes] |
         if ids:
             yield segment(ids, counts, parts, names)
 
-    return rows.mapInArrow(run, f"segment string, ids array<{kind}>, n_words array<int>, terms array<binary>, n array<int>, positions binary")
+    return map_arrow(rows, run, f"segment string, ids array<{kind}>, n_words array<int>, terms array<binary>, n array<int>, positions binary")
 
 
 class Windows:
@@ -232,7 +232,7 @@ def matches(index: DataFrame, items: list[tuple[str, bytes]], slop: int = 0, wid
                 types = [batch.schema.field("ids").type.value_type, pa.string(), pa.string(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "item_id", "kind", "start", "span"])
 
-    return index.select("ids", "n_words", "terms", "n", "positions").mapInArrow(run, f"id {kind}, item_id string, kind string, start long, span int")
+    return map_arrow(index.select("ids", "n_words", "terms", "n", "positions"), run, f"id {kind}, item_id string, kind string, start long, span int")
 
 
 def _hits(index: DataFrame, items: list[tuple[str, bytes]], width: int) -> DataFrame:
@@ -267,7 +267,7 @@ def _hits(index: DataFrame, items: list[tuple[str, bytes]], width: int) -> DataF
                 yield pa.RecordBatch.from_arrays(columns, ["segment", "ordinal", "id", "n_words", "hits", "items"])
 
     rows = index.select("segment", "ids", "n_words", "terms", "n", "positions")
-    return rows.mapInArrow(run, f"segment string, ordinal int, id {kind}, n_words long, hits array<long>, items array<string>")
+    return map_arrow(rows, run, f"segment string, ordinal int, id {kind}, n_words long, hits array<long>, items array<string>")
 
 
 def _merged(parts: DataFrame) -> DataFrame:
@@ -287,7 +287,7 @@ def _merged(parts: DataFrame) -> DataFrame:
                 out.append([x for r in runs for x in r])
             yield batch.set_column(batch.schema.get_field_index("hits"), "hits", pa.array(out, pa.list_(pa.int64())))
 
-    return grouped.mapInArrow(run, parts.schema)
+    return map_arrow(grouped, run, parts.schema)
 
 
 def contaminated_words(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import connected_components, cut, drop
+from fieldbook.llm.common import connected_components, cut, drop, map_arrow
 
 COSINE = 0.93
 SHARD_ROWS = 4096
@@ -227,7 +227,7 @@ def nodes_of(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> tupl
                         out[-1] = (x / np.sqrt(x @ x)).tobytes()
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["id", "label", "vec"])
 
-    keyed = rows.mapInArrow(run, f"id {kind}, label string, vec binary").withColumn("key", F.sha2("vec", 256))
+    keyed = map_arrow(rows, run, f"id {kind}, label string, vec binary").withColumn("key", F.sha2("vec", 256))
     keyed = cut(keyed, "vectors")
     nodes = keyed.filter("vec is not null").groupBy("label", "key").agg(F.first("vec").alias("vec"), F.count("*").alias("n"), F.min("id").alias("least_id"))
     return keyed, cut(nodes.withColumn("label", F.concat_ws("/", "label", F.octet_length("vec"))).withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -267,7 +267,7 @@ def assign(nodes: DataFrame) -> DataFrame:
             homes, shards = pa.array(home).take(take), pa.array([x.tolist() for x in member], pa.list_(pa.int64())).take(take)
             yield pa.RecordBatch.from_arrays([rows.column("label"), shard, homes, shards, rows.column("node"), rows.column("n"), rows.column("vec")], ["label", "shard", "home", "shards", "node", "n", "vec"])
 
-    return nodes.select("label", "node", "n", "vec").mapInArrow(run, "label string, shard long, home long, shards array<long>, node long, n long, vec binary")
+    return map_arrow(nodes.select("label", "node", "n", "vec"), run, "label string, shard long, home long, shards array<long>, node long, n long, vec binary")
 
 
 _FOUND = "node long, links long, root long"

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import cut
+from fieldbook.llm.common import cut, map_arrow, slices
 
 ORDER = 3
 ROWS = 256
@@ -51,19 +51,20 @@ class Model:
         """(texts, langs): bits of every whole text."""
         width = self.child.shape[1]
         child, bits = self.child.ravel(), self.bits.reshape(-1, len(self.langs))
-        symbols = self.classes[np.frombuffer(bytes([_BREAK]).join(texts) + bytes([_BREAK]), np.uint8)]
+        data = np.frombuffer(bytes([_BREAK] * ORDER) + bytes([_BREAK]).join(texts) + bytes([_BREAK]), np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts])
         total = np.zeros((len(texts), len(self.langs)))
-        padded = np.concatenate([np.full(ORDER, self.classes[_BREAK], symbols.dtype), symbols])
-        for a in range(0, len(symbols), _WINDOW):
-            n = min(_WINDOW, len(symbols) - a)
+        length = len(data) - ORDER
+        for a in range(0, length, _WINDOW):
+            n = min(_WINDOW, length - a)
+            symbols = self.classes[data[a : a + n + ORDER]]
             at = np.zeros(n, np.int32)
             alive = np.ones(n, bool)
             for k in range(1, ORDER + 1):
-                step = child[at * np.int32(width) + padded[a + ORDER - k : a + ORDER - k + n]]
+                step = child[at * np.int32(width) + symbols[ORDER - k : ORDER - k + n]]
                 alive &= step >= 0
                 at = np.where(alive, step, at)
-            cost = bits[at * np.int32(width) + symbols[a : a + n]]
+            cost = bits[at * np.int32(width) + symbols[ORDER:]]
             first, last = np.searchsorted(ends, [a, a + n - 1], "right")
             starts = np.maximum(np.r_[0, ends][first : last + 1], a) - a
             total[first : last + 1] += np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
@@ -175,7 +176,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             letters = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
             texts = batch.column(batch.num_columns - 1).to_pylist()
             pred = np.full(len(texts), UNKNOWN, object)
@@ -194,7 +195,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     schema = docs.select(*kept).schema
     for name, kind in zip(added, ("string", "double", "double")):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import connected_components, cut, drop
+from fieldbook.llm.common import connected_components, cut, drop, map_arrow
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -72,7 +72,7 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             found = np.array([fingerprint(t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["id", "th", "fp"])
 
-    return rows.mapInArrow(run, f"id {kind}, th long, fp long")
+    return map_arrow(rows, run, f"id {kind}, th long, fp long")
 
 
 def forest(values: np.ndarray) -> list[tuple[int, int]]:
@@ -138,7 +138,7 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
     small = members.filter(f"n <= {SPLIT}").drop("n")
     large = _tables(members.filter(f"n > {SPLIT}"), INNER_MASKS, F.col("t"))
     rows = small.unionByName(large).select("t", "s", "k", "fp")
-    found = rows.repartition("t", "s", "k").sortWithinPartitions("t", "s", "k", "fp").mapInArrow(_links, "a long, b long")
+    found = map_arrow(rows.repartition("t", "s", "k").sortWithinPartitions("t", "s", "k", "fp"), _links, "a long, b long")
     links = cut(pairs.union(found), "links")
     drop(sizes)
     drop(members)

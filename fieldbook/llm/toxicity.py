@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import cut
+from fieldbook.llm.common import cut, map_arrow, slices
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 22  # as a power of two
@@ -192,13 +192,13 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
         weight = np.zeros(1 << BUCKETS, np.float32)
         weight[used] = weights
         model = Model(weight, intercept)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
             scores = model.scores([x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()])
             extra = [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], [*kept, *added])
 
     rows = docs.select(*kept, F.col(text_col).cast("binary").alias("_bytes"))
-    return rows.mapInArrow(run, docs.select(*kept).schema.add("score", "double").add("predicted", "integer"))
+    return map_arrow(rows, run, docs.select(*kept).schema.add("score", "double").add("predicted", "integer"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import cut, new_path
+from fieldbook.llm.common import cut, map_arrow, new_path
 
 SEGMENT = 1 << 14
 CHUNK = 1 << 12
@@ -111,7 +111,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str, url_col: str, paylo
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     refers_to = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    made = joined.select(F.col("id").cast("string").alias("id"), "url", "digest", refers_to.cast("string").alias("refers_to"), "payload").mapInArrow(run, "value binary")
+    made = map_arrow(joined.select(F.col("id").cast("string").alias("id"), "url", "digest", refers_to.cast("string").alias("refers_to"), "payload"), run, "value binary")
     # A string column of raw bytes: the text sink writes them as they are.
     made.select(F.col("value").cast("string")).write.option("lineSep", _END).option("maxRecordsPerFile", FILE_ROWS).text(path)
 
@@ -162,7 +162,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    return files.select("content").mapInArrow(run, _SEGMENTS)
+    return map_arrow(files.select("content"), run, _SEGMENTS)
 
 
 _RECORDS = "page string, type string, refers_to string, url string, digest string, payload binary, payload_bytes long, payload_sha256 string, fault string"
@@ -227,9 +227,9 @@ def reassemble(segments: DataFrame) -> DataFrame:
         if held:
             yield batch_of([finish(held)])
 
-    alone = segments.filter("number is null").mapInArrow(whole, _RECORDS)
+    alone = map_arrow(segments.filter("number is null"), whole, _RECORDS)
     parts = segments.filter("number is not null").repartition("origin").sortWithinPartitions("origin", "number")
-    return alone.unionByName(parts.mapInArrow(joined, _RECORDS))
+    return alone.unionByName(map_arrow(parts, joined, _RECORDS))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
