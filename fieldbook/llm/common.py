@@ -25,7 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one that goes when this driver ends."""
+    own = f"{shared_folder(spark)}/fieldbook-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN.add(own)
+        where = spark._jvm.org.apache.hadoop.fs.Path(own)
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        atexit.register(_leave, system, where)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
+
+_OWN: set[str] = set()
+
+
+def _leave(system, where) -> None:
+    try:
+        system.delete(where, True)
+    except Exception:  # the JVM has gone first; the folder is scratch space
+        pass
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
