@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,22 +29,52 @@ def newest_non_null(column: str | Column, *order: str | Column) -> Column:
     return F.max_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), F.struct(*order)))
 
 
-def as_of_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, payload: Mapping[str, str], strict: bool = True) -> DataFrame:
+def as_of_backward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, payload: Mapping[str, str], strict: bool = True, bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Every left row with the payload of the last right row of its key before it.
 
     Both sides are unioned and swept once per key, so no row meets all rows of its key.
     ``strict`` leaves out right rows at the very time. Ties go to the greatest payload.
+
+    A key that holds much of the data is spread with ``bucket``, a rising function of the
+    time such as its day: sweeps stay within a bucket, and what a bucket inherits comes from
+    a table of one row per key and bucket.
     """
     mark = F.struct(F.col(right_time).alias("_at"), *[F.col(c).alias(new) for c, new in payload.items()])
     side = F.lit(1 if strict else -1)
     marks = right.select(F.col(key), F.col(right_time).alias("_time"), side.alias("_side"), mark.alias("_mark"))
     rows = left.withColumn("_time", F.col(left_time)).withColumn("_side", F.lit(0))
     both = rows.unionByName(marks, allowMissingColumns=True)
-    sweep = Window.partitionBy(key).orderBy("_time", "_side", F.col("_mark").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    part = [key]
+    if bucket is not None:
+        both, part = both.withColumn("_bucket", bucket(F.col("_time"))), [key, "_bucket"]
+    sweep = Window.partitionBy(*part).orderBy("_time", "_side", F.col("_mark").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     seen = both.withColumn("_last", F.last("_mark", ignorenulls=True).over(sweep)).filter("_side = 0")
+    if bucket is not None:
+        ends = both.groupBy(*part).agg(F.max("_mark").alias("_end"))
+        before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        inherited = ends.select(*part, F.last("_end", ignorenulls=True).over(before).alias("_before"))
+        seen = seen.join(inherited, part, "left").withColumn("_last", F.coalesce("_last", "_before"))
     return seen.select(*left.columns, *[F.col(f"_last.{new}").alias(new) for new in payload.values()])
 
 
+def global_row_number(df: DataFrame, order: Sequence[Column], name: str, path: str) -> DataFrame:
+    """``df`` with its place in one total order, from 1, without a task that sees all rows.
+
+    Rows are range-partitioned and sorted; only the tasks' counts are added up. ``path`` is a
+    new folder for the sorted rows, which must be the same when they are read again.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    spread.write.parquet(path)
+    placed = df.sparkSession.read.schema(spread.schema).parquet(path)
+    task = F.shiftright("_at", 33)
+    counts = placed.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_task", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # One row per task.
+    found = placed.withColumn("_task", task).join(F.broadcast(offsets), "_task")
+    return found.select(*df.columns, (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias(name))
+
+
 def snapshot_left_join(rows: DataFrame, scope: Sequence[str], capture: Sequence[str], order: Sequence[Column], content: DataFrame, on: Sequence[str]) -> DataFrame:
     """The latest capture of each scope, left joined to the content of exactly that capture.
 

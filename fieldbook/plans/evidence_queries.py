@@ -113,7 +113,7 @@ def jo11(spark, sf):
     events = load(spark, sf, "events")
     bought = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
     clicks = events.filter("event_type = 'click'").select("user_id", F.col("ts").alias("at"), "value")
-    return as_of_backward(bought, clicks, "user_id", "ts", "at", {"value": "carried"}).drop("ts")
+    return as_of_backward(bought, clicks, "user_id", "ts", "at", {"value": "carried"}, bucket=F.to_date).drop("ts")
 
 
 @query(

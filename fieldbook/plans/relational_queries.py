@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fieldbook.operators.relops import digest, grain_violations, lineage, pivot_stages
+from fieldbook.operators.relops import digest, global_row_number, grain_violations, lineage, pivot_stages
 from fieldbook.plans.registry import query
-from fieldbook.session import load
+from fieldbook.session import load, scratch
 
 # --- projections, filters, predicates
 
@@ -451,10 +451,10 @@ def wn11(spark, sf):
 # --- sorts, limits, top-k
 
 
-@query("so01_nulls_last_order", "SELECT event_id, row_number() OVER (ORDER BY v ASC NULLS LAST, event_id DESC) AS place FROM (SELECT event_id, CASE WHEN value > 150 THEN value END AS v FROM events WHERE event_type = 'signup' AND user_id < 5)")
+@query("so01_nulls_last_order", "SELECT event_id, row_number() OVER (ORDER BY v ASC NULLS LAST, event_id DESC) AS place FROM (SELECT event_id, CASE WHEN value > 150 THEN value END AS v FROM events WHERE event_type = 'signup')")
 def so01(spark, sf):
-    rows = load(spark, sf, "events").filter("event_type = 'signup' and user_id < 5").select("event_id", F.when(F.col("value") > 150, F.col("value")).alias("v"))
-    return rows.select("event_id", F.row_number().over(Window.orderBy(F.col("v").asc_nulls_last(), F.desc("event_id"))).alias("place"))
+    rows = load(spark, sf, "events").filter("event_type = 'signup'").select("event_id", F.when(F.col("value") > 150, F.col("value")).alias("v"))
+    return global_row_number(rows, [F.col("v").asc_nulls_last(), F.desc("event_id")], "place", scratch(spark, "ranked")).select("event_id", "place")
 
 
 @query("so03_limit_and_offset", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 20 OFFSET 8")

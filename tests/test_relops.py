@@ -63,3 +63,20 @@ def test_digest_ignores_order(spark, order):
     rows = [(1, "a"), (2, None), (3, "c")]
     df = spark.createDataFrame(rows[order - 1 :] + rows[: order - 1], "x int, y string")
     assert df.agg(*relops.digest(df, ["x", "y"])).first() == spark.createDataFrame(rows, "x int, y string").agg(*relops.digest(df, ["x", "y"])).first()
+
+
+def test_buckets_change_nothing(spark):
+    left = spark.range(400).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 211).cast("int").alias("t"), F.col("id"))
+    right = spark.range(90).select((F.col("id") % 2).alias("k"), (F.col("id") * 13 % 199).cast("int").alias("at"), F.col("id").alias("v"))
+    for strict in (True, False):
+        a, b = (relops.as_of_backward(left, right, "k", "t", "at", {"v": "v", "at": "seen"}, strict, how) for how in (None, lambda t: F.floor(t / 10)))
+        assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and a.count() == 400
+
+
+def test_global_row_number(spark):
+    from fieldbook.session import scratch
+
+    df = spark.range(1000).select((F.col("id") * 37 % 101).alias("x"), "id")
+    got = relops.global_row_number(df, [F.desc("x"), F.col("id")], "place", scratch(spark, "ranked")).collect()
+    want = {r: k for k, r in enumerate(sorted(((r.x, r.id) for r in got), key=lambda p: (-p[0], p[1])), 1)}
+    assert all(want[r.x, r.id] == r.place for r in got)
