@@ -28,24 +28,45 @@ def _positions(points: np.ndarray, gd: np.ndarray, gf: np.ndarray, draw: np.rand
     return out
 
 
-def bracket(position: np.ndarray, strength: np.ndarray, first: int, draw: np.random.Generator) -> np.ndarray:
-    """The winner (column) of a four-team playoff of the places from ``first``: the highest
-    meets the lowest, the winners meet; each tie goes by the logit of the strengths' gap."""
+def bracket(position: np.ndarray, strength: np.ndarray, first: int, draw: np.random.Generator, places: int = 4, base: float = 1.3, edge: float = 0.2) -> np.ndarray:
+    """The winner (column) of a playoff of ``places`` teams from the place ``first`` on.
+
+    Of four, the highest meets the lowest over two legs, the higher at home second, and the
+    winners meet on neutral ground. Of six, the third to sixth first play single matches at
+    the higher's ground, and the semi-finals are seeded anew. Level ties are even.
+    """
+    if places not in (4, 6):
+        raise ValueError(f"no bracket for {places} places")
     rows = np.arange(len(position))
-    team = [(position == first + k).argmax(1) for k in range(4)]
+    seed = [(position == first + k).argmax(1) for k in range(places)]
+
+    def goals(home: np.ndarray, away: np.ndarray, neutral: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        gap = (strength[home] - strength[away]) / 2 + (0 if neutral else edge)
+        return draw.poisson(base * np.exp(gap)), draw.poisson(base * np.exp(-gap))
+
+    def decided(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.where((x > y) | ((x == y) & (draw.random(len(rows)) < 0.5)), a, b)
 
-    def winner(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        p = 1 / (1 + np.exp(-2 * (strength[a] - strength[b])))
-        return np.where(draw.random(len(rows)) < p, a, b)
+    def two_legs(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        low_home, high_away = goals(low, high)
+        high_home, low_away = goals(high, low)
+        return decided(high, low, high_home + high_away, low_home + low_away)
 
-    return winner(winner(team[0], team[3]), winner(team[1], team[2]))
+    if places == 6:
+        left = [decided(seed[a], seed[b], *goals(seed[a], seed[b])) for a, b in ((2, 5), (3, 4))]
+        ranks = np.stack([position[rows, t] for t in left], 1)
+        swap = ranks[:, 0] > ranks[:, 1]
+        seed = seed[:2] + [np.where(swap, left[1], left[0]), np.where(swap, left[0], left[1])]
+    finalists = two_legs(seed[0], seed[3]), two_legs(seed[1], seed[2])
+    return decided(*finalists, *goals(*finalists, neutral=True))
 
 
-def simulate(spark: SparkSession, fixtures: DataFrame, played: DataFrame, paths: int, seed: int = 1, promoted: int = 2, playoff: bool = True) -> DataFrame:
+def simulate(spark: SparkSession, fixtures: DataFrame, played: DataFrame, paths: int, seed: int = 1, promoted: int = 2, playoff: int = 4) -> DataFrame:
     """A row per path and team of a season.
 
     fixtures: match_id, home, away, home_rate, away_rate, still to be played; played: match_id,
-    home, away, home_goals, away_goals. Played results are the same in every path.
+    home, away, home_goals, away_goals. Played results are the same in every path. ``playoff``
+    is the number of playoff places below those promoted, or 0.
     """
     if fixtures.count() + played.count() > MOST_FIXTURES:
         raise ValueError("more fixtures than a season has")
@@ -81,8 +102,8 @@ def simulate(spark: SparkSession, fixtures: DataFrame, played: DataFrame, paths:
                     add(number[h], number[a], draw.poisson(x, size), draw.poisson(y, size))
                 position = _positions(points, gf - ga, gf, draw)
                 up = position <= promoted
-                if playoff and len(teams) >= promoted + 4:
-                    up[np.arange(size), bracket(position, strength, promoted + 1, draw)] = True
+                if playoff and len(teams) >= promoted + playoff:
+                    up[np.arange(size), bracket(position, strength, promoted + 1, draw, playoff)] = True
                 path = int(chunk) * CHUNK + np.arange(size)
                 yield pd.DataFrame({
                     "path": np.repeat(path, len(teams)), "team": np.tile(teams, size), "points": points.ravel(), "gd": (gf - ga).ravel(), "gf": gf.ravel(),

@@ -72,3 +72,39 @@ def distribution_summary(counts: DataFrame, keys: Sequence[str], value: str, n:
     mean = F.sum(F.col(n) * F.col(value)) / F.sum(n)
     second = F.sum(F.col(n) * F.col(value) * F.col(value)) / F.sum(n)
     return rows.groupBy(*keys).agg(F.round(mean, 8).alias("mean"), F.round(F.sqrt(second - mean * mean), 7).alias("sd"), at(0.5).alias("median"), at(0.25).alias("low50"), at(0.75).alias("high50"), at(0.1).alias("low80"), at(0.9).alias("high80"))
+
+
+def ranked_table(matches: DataFrame, ranking: str, keys: Sequence[str] = (), relegated: int = 3, boundaries: Sequence[int] = (), sanctions: DataFrame | None = None) -> DataFrame:
+    """(keys, team, played, points, gd, gf, position_from, position_to) after tie-breaks.
+
+    All rankings go by points, difference and goals. Teams that tie then compare, under
+    ``efl``, points, difference and goals among themselves, then wins and away goals of the
+    season; under ``head_to_head``, points and away goals among themselves, but only if the
+    tie decides the title, relegation or a place in ``boundaries``; under ``shared`` nothing.
+    What still ties shares its range of positions. ``matches`` carries the keys.
+    """
+    table = league_table(matches, sanctions, keys)
+    base = Window.partitionBy(*keys).orderBy(F.desc("points"), F.desc("gd"), F.desc("gf"))
+    tied = Window.partitionBy(*keys, "points", "gd", "gf")
+    placed = table.withColumn("_start", F.rank().over(base)).withColumn("_n", F.count("*").over(tied)).withColumn("_teams", F.count("*").over(Window.partitionBy(*keys)))
+    start, end = F.col("_start"), F.col("_start") + F.col("_n") - 1
+    decisive = start == 1
+    for place in [F.col("_teams") - relegated, *[F.lit(b) for b in boundaries]]:
+        decisive = decisive | ((start <= place) & (place < end))
+    compare = (F.col("_n") > 1) & (F.lit(ranking == "efl") | (F.lit(ranking == "head_to_head") & decisive))
+    placed = placed.withColumn("_compare", compare)
+    whole = two_sided(matches, [*keys, "match_id"], {"team": "home", "opponent": "away", "gf": "home_goals", "ga": "away_goals"}, {"team": "away", "opponent": "home", "gf": "away_goals", "ga": "home_goals"})
+    season = whole.groupBy(*keys, "team").agg(F.count_if(F.col("gf") > F.col("ga")).alias("_wins"), F.sum(F.when(F.col("venue") == "away", F.col("gf")).otherwise(0)).alias("_away"))
+    own = placed.filter("_compare").select(*keys, "team", F.col("_start").alias("_tie"))
+    other = own.select(*keys, F.col("team").alias("opponent"), F.col("_tie").alias("_other"))
+    # Only matches between teams of one tie group meet.
+    inside = whole.join(own, [*keys, "team"]).join(other, [*keys, "opponent"]).filter("_tie = _other")
+    points = F.when(F.col("gf") > F.col("ga"), 3).when(F.col("gf") == F.col("ga"), 1).otherwise(0)
+    mini = inside.groupBy(*keys, "team").agg(F.sum(points).alias("_hp"), F.sum(F.col("gf") - F.col("ga")).alias("_hd"), F.sum("gf").alias("_hg"), F.sum(F.when(F.col("venue") == "away", F.col("gf")).otherwise(0)).alias("_ha"))
+    rows = placed.join(season, [*keys, "team"]).join(mini, [*keys, "team"], "left")
+    used = ["_hp", "_hd", "_hg", "_wins", "_away"] if ranking == "efl" else ["_hp", "_ha"]
+    rows = rows.withColumns({c: F.when(F.col("_compare"), F.coalesce(c, F.lit(0))).otherwise(0) for c in used})
+    order = Window.partitionBy(*keys).orderBy("_start", *[F.desc(c) for c in used])
+    last = Window.partitionBy(*keys, "_start", *used)
+    ranked = rows.withColumn("position_from", F.rank().over(order)).withColumn("position_to", (F.col("position_from") + F.count("*").over(last) - 1).cast("int"))
+    return ranked.select(*keys, "team", "played", "points", "gd", "gf", "position_from", "position_to")

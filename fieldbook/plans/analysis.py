@@ -201,6 +201,108 @@ def derived_relations(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
+# Field names of simulations, impacts, match hindcasts and records.
+_SIM_TEAM = _TEAM[:-1] + ",goal_difference_distribution:map<string,double>,conditional_europe_probabilities:map<string,double>,event_probabilities:map<string,double>>"
+SIMULATION = f"simulations int, seed bigint, as_of date, results_observed_at timestamp, played_matches int, remaining_matches int, head_to_head_applied_rate double, unresolved_decisive_tie_rate double, ranking_rules string, point_adjustments string, assumptions string, playoff_model string, europe_scenario string, teams array<{_SIM_TEAM}>, match_frequencies map<string,struct<p_home:double,p_draw:double,p_away:double>>"
+_BLOCK = "struct<team_id:array<string>,baseline:array<double>,home:array<double>,draw:array<double>,away:array<double>,rms_movement:array<double>>"
+IMPACT = f"horizon_days int, window_start timestamp, window_end timestamp, coverage string, minimum_conditional_samples int, fixtures array<struct<match_id:string,match_date:date,kickoff_time:timestamp,home_team_id:string,away_team_id:string,status:string,outcome:string,sufficient_sample:boolean,max_standard_error:double,top_rms_movement:double,unavailable_reason:string,outcome_counts:struct<home:bigint,draw:bigint,away:bigint>,carried_from:struct<forecast_id:string,generated_at:timestamp>,impacts:map<string,{_BLOCK}>>>"
+_PLAYER = "struct<player_id:string,player_name:string,recent_weight:double,membership:string,recent_squads:int,in_last_squad:boolean,availability:string,probability:double,membership_basis:array<string>,membership_conflicts:array<string>,availability_basis:array<string>>"
+PERSONNEL = f"match_id string, home_log_rate_shift double, kappa double, sides array<struct<side:string,team_id:string,discontinuity:double,unresolved_weight:double,unusable_reason:string,reference_matches:array<string>,players:array<{_PLAYER}>>>"
+HINDCAST = f"model_version string, competition_id string, season_id string, prospective_from date, matches array<struct<match_id:string,match_date:date,kickoff_time:timestamp,home_team_id:string,away_team_id:string,origin_at:timestamp,model_results_cutoff:date,p_home:double,p_draw:double,p_away:double,unadjusted:struct<p_home:double,p_draw:double,p_away:double>,personnel:struct<home_discontinuity:double,away_discontinuity:double,home_log_rate_shift:double>,score_probabilities:{_SCORE}>>"
+_RECORDED = "array<struct<match_id:string,competition_id:string,season_id:string,forecast_id:string,generated_at:timestamp,kickoff_time:timestamp,model_version:string,p_home:double,p_draw:double,p_away:double,outcome:string>>"
+RECORD = f"pending {_RECORDED}, settled {_RECORDED}, summary map<string,struct<scored:bigint,log_loss:double,brier:double,classwise_ece:double>>"
+
+
+def simulation_relations(runs: DataFrame, product: str, keys: list[str]) -> dict[str, DataFrame]:
+    """The nine relations of simulations (``keys`` beside the columns of ``SIMULATION``)."""
+    name = f"{product}_simulation"
+    team = runs.select(*keys, F.explode("teams").alias("t"))
+    named = [*keys, F.col("t.team_id").alias("team_id")]
+    scalars = [F.col(f"t.{c}").alias(c) for c in ("played", "current_points", "mean_points", "median_points", "mean_position", "median_position", "position_sd", "mean_goal_difference")]
+    counted = lambda field, key: team.select(*named, F.explode(f"t.{field}").alias(key, "probability")).withColumn(key, F.col(key).cast("int"))
+    level = lambda kind: team.select(*named, F.lit(kind).alias("estimate"), F.explode(f"t.{kind}_intervals").alias("level", "bounds"))
+    intervals = level("points").unionAll(level("position"))
+    flat = [c for c in runs.columns if c not in ("teams", "match_frequencies")]
+    return {
+        f"{name}_runs": runs.select(*flat),
+        f"{name}_teams": team.select(*named, F.col("t.name").alias("team_name"), *scalars),
+        f"{name}_team_events": team.select(*named, F.explode("t.event_probabilities").alias("event", "probability")),
+        f"{name}_points_distribution": counted("points_distribution", "points"),
+        f"{name}_position_distribution": team.select(*named, F.posexplode("t.position_probabilities").alias("position", "probability")).withColumn("position", F.col("position") + 1),
+        f"{name}_goal_difference_distribution": counted("goal_difference_distribution", "goal_difference"),
+        f"{name}_intervals": intervals.select(*keys, "team_id", "estimate", F.col("level").cast("int").alias("level"), F.get("bounds", 0).alias("lower"), F.get("bounds", 1).alias("upper")),
+        f"{name}_europe_probabilities": team.select(*named, F.explode("t.conditional_europe_probabilities").alias("scenario", "probability")),
+        f"{name}_match_frequencies": runs.select(*keys, F.explode("match_frequencies").alias("match_id", "f")).select(*keys, "match_id", "f.*"),
+    }
+
+
+def impact_relations(impacts: DataFrame, keys: list[str], baselines: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Fixtures and, per event, team and outcome, what an outcome does. A baseline that the
+    block leaves out is the team's own event probability."""
+    fixture = impacts.select(*keys, "horizon_days", "window_start", "window_end", "coverage", "minimum_conditional_samples", F.explode("fixtures").alias("f"))
+    carried = [F.col("f.carried_from.forecast_id").alias("carried_from_forecast_id"), F.col("f.carried_from.generated_at").alias("carried_from_generated_at")]
+    plain = [F.col(f"f.{c}").alias(c) for c in ("match_id", "match_date", "kickoff_time", "home_team_id", "away_team_id", "status", "outcome", "sufficient_sample", "max_standard_error", "top_rms_movement", "unavailable_reason")]
+    counts = [F.col(f"f.outcome_counts.{o}").alias(f"outcome_count_{o}") for o in ("home", "draw", "away")]
+    about = [F.col(c).alias(n) for c, n in (("horizon_days", "impact_horizon_days"), ("window_start", "impact_window_start"), ("window_end", "impact_window_end"), ("coverage", "impact_coverage"), ("minimum_conditional_samples", "minimum_conditional_samples"))]
+    block = fixture.select(*keys, F.col("f.match_id").alias("match_id"), *carried, F.explode("f.impacts").alias("event", "b"))
+    row = block.select(*keys, "match_id", "carried_from_forecast_id", "carried_from_generated_at", "event", "b", F.posexplode("b.team_id").alias("i", "team_id"))
+    outcome = lambda o: F.struct(F.lit(o).alias("outcome"), F.get(f"b.{o}", F.col("i")).alias("conditional_probability"))
+    long = row.select(*keys, "match_id", "event", "team_id", F.get("b.baseline", F.col("i")).alias("baseline"), F.get("b.rms_movement", F.col("i")).alias("rms_movement"), "carried_from_forecast_id", "carried_from_generated_at", F.inline(F.array(*map(outcome, ("home", "draw", "away")))))
+    if baselines is not None:
+        own = baselines.select(*keys, "team_id", "event", F.col("probability").alias("_own"))
+        long = long.join(own, [*keys, "team_id", "event"], "left").withColumn("baseline", F.coalesce("baseline", "_own")).drop("_own")
+    return {"forecast_impact_fixtures": fixture.select(*keys, *plain, *counts, *carried, *about), "forecast_impacts": long}
+
+
+def personnel_relations(records: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Teams, players, reference matches and evidence behind the personnel adjustment."""
+    base = [*keys, "match_id"]
+    shift = F.col("home_log_rate_shift")
+    other = F.exists("sides", lambda x: (x["side"] != F.col("s.side")) & x["unusable_reason"].isNotNull())
+    side = records.select(*base, "home_log_rate_shift", "kappa", "sides", F.explode("sides").alias("s"))
+    status = F.when(shift.isNotNull(), F.when(shift != 0, "applied").otherwise("neutral")).when(F.col("s.unusable_reason").isNotNull(), F.col("s.unusable_reason")).when(other, "other_team_unusable").otherwise("shift_unavailable")
+    named = [*base, F.col("s.team_id").alias("team_id"), F.col("s.side").alias("side")]
+    teams = side.select(
+        *named, "s.discontinuity", "s.unresolved_weight", F.col("s.unusable_reason").isNull().alias("usable_for_shift"), "kappa", "home_log_rate_shift",
+        F.when(F.col("s.side") == "home", shift).otherwise(-shift).alias("team_log_rate_shift"), F.coalesce(shift != 0, F.lit(False)).alias("personnel_applied"), status.alias("status"),
+    )
+    player = side.select(*named, F.col("s.unresolved_weight").alias("unresolved"), F.explode("s.players").alias("p"))
+    expected = F.col("p.recent_weight") * (1 - F.col("p.probability"))
+    kinds = ("membership_basis", "membership_conflicts", "availability_basis")
+    evidence = F.array(*[F.struct(F.lit(k).alias("evidence_kind"), F.col(f"p.{k}").alias("items")) for k in kinds])
+    facts = player.select(*base, "team_id", "side", F.col("p.player_id").alias("player_id"), F.inline(evidence))
+    return {
+        "forecast_personnel_teams": teams,
+        "forecast_personnel_players": player.select(
+            *base, "team_id", "side", "p.player_id", "p.player_name", "p.recent_weight", "p.membership", "p.recent_squads", "p.in_last_squad", "p.availability", F.col("p.probability").alias("selection_probability"),
+            *[f"p.{k}" for k in kinds], expected.alias("expected_missing_weight"), F.when(F.col("unresolved") < 1, expected / (1 - F.col("unresolved"))).alias("discontinuity_contribution"),
+        ),
+        "forecast_personnel_evidence": facts.select(*base, "team_id", "side", "player_id", "evidence_kind", F.posexplode("items").alias("ordinal", "basis")).withColumn("ordinal", F.col("ordinal") + 1),
+        "forecast_personnel_reference_matches": side.select(*named, F.explode("s.reference_matches").alias("reference_match_id")),
+    }
+
+
+def match_hindcast_relations(documents: DataFrame) -> dict[str, DataFrame]:
+    """Retrospective match forecasts and their score grids."""
+    base = ["model_version", "competition_id", "season_id"]
+    match = documents.select(*base, "prospective_from", F.explode("matches").alias("m"))
+    score = "m.score_probabilities"
+    plain = ("match_id", "match_date", "kickoff_time", "home_team_id", "away_team_id", "origin_at", "model_results_cutoff", "p_home", "p_draw", "p_away")
+    rows = match.select(
+        *base, F.lit(True).alias("retrospective"), "prospective_from", *[f"m.{c}" for c in plain], *[F.col(f"m.unadjusted.{c}").alias(f"unadjusted_{c}") for c in ("p_home", "p_draw", "p_away")],
+        F.col("m.personnel.home_log_rate_shift").isNotNull().alias("personnel_applied"), "m.personnel.home_discontinuity", "m.personnel.away_discontinuity", "m.personnel.home_log_rate_shift", f"{score}.home_rate", f"{score}.away_rate", f"{score}.omitted_probability",
+    )
+    lines = match.select(*base, F.col("m.match_id").alias("match_id"), F.posexplode(f"{score}.grid_home_rows_away_columns").alias("home_goals", "line"))
+    return {"match_hindcasts": rows, "match_hindcast_score_grid": lines.select(*base, "match_id", "home_goals", F.posexplode("line").alias("away_goals", "probability"))}
+
+
+def record_relations(record: DataFrame) -> dict[str, DataFrame]:
+    """The prospective record: its matches, pending and settled, and its summaries by scope."""
+    states = F.array(*[F.struct(F.lit(s).alias("record_state"), F.col(s).alias("rows")) for s in ("pending", "settled")])
+    rows = record.select(F.inline(states)).select("record_state", F.inline("rows"))
+    return {"record_matches": rows, "record_summary": record.select(F.explode("summary").alias("scope", "v")).select("scope", "v.*", F.to_json("v").alias("metrics"))}
+
+
 # What one row of a relation is.
 GRAINS = {
     "matches": "match", "team_matches": "match and team", "team_match_xg": "match", "player_matches": "match, player, team and capture", "personnel_snapshots": "scope", "squad_memberships": "scope and player, or none",

@@ -314,6 +314,30 @@ def dm24(spark, sf):
     return T.position_mass(table, [], ["key"]).select("team", "position", F.round("mass", 9).alias("mass"))
 
 
+SHORT = """WITH m AS (SELECT l_orderkey AS id, l_suppkey % 40 AS home, (l_suppkey + 1 + l_partkey % 39) % 40 AS away, CAST(l_linenumber AS INT) % 2 AS hg, CAST(l_quantity AS INT) % 2 AS ag FROM lineitem WHERE l_orderkey < 60),
+  s AS (SELECT home AS team, away AS opp, hg AS gf, ag AS ga, 0 AS at_away FROM m UNION ALL SELECT away, home, ag, hg, 1 FROM m),
+  t AS (SELECT team, count(*) AS played, sum(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END) AS points, sum(gf - ga) AS gd, sum(gf) AS gf, count(*) FILTER (gf > ga) AS wins, sum(gf * at_away) AS away_goals FROM s GROUP BY team),
+  h AS (SELECT s.team, sum(CASE WHEN s.gf > s.ga THEN 3 WHEN s.gf = s.ga THEN 1 ELSE 0 END) AS hp, sum(s.gf - s.ga) AS hd, sum(s.gf) AS hg FROM s JOIN t a ON a.team = s.team JOIN t b ON b.team = s.opp AND a.points = b.points AND a.gd = b.gd AND a.gf = b.gf GROUP BY s.team),
+  r AS (SELECT t.*, coalesce(hp, 0) AS hp, coalesce(hd, 0) AS hd, coalesce(hg, 0) AS hg FROM t LEFT JOIN h USING (team))"""
+
+
+@query(
+    "dm24_tie_break_ranking",
+    SHORT + """ SELECT team, CAST(points AS BIGINT) AS points, CAST(rank() OVER (ORDER BY points DESC, gd DESC, gf DESC, hp DESC, hd DESC, hg DESC, wins DESC, away_goals DESC) AS INTEGER) AS position_from,
+    CAST(rank() OVER (ORDER BY points DESC, gd DESC, gf DESC, hp DESC, hd DESC, hg DESC, wins DESC, away_goals DESC) + count(*) OVER (PARTITION BY points, gd, gf, hp, hd, hg, wins, away_goals) - 1 AS INTEGER) AS position_to FROM r""",
+)
+def dm24b(spark, sf):
+    rows = load(spark, sf, "lineitem").filter("l_orderkey < 60")
+    matches = rows.select(
+        F.col("l_orderkey").alias("match_id"),
+        (F.col("l_suppkey") % 40).alias("home"),
+        ((F.col("l_suppkey") + 1 + F.col("l_partkey") % 39) % 40).alias("away"),
+        (F.col("l_linenumber").cast("int") % 2).alias("home_goals"),
+        (F.col("l_quantity").cast("int") % 2).alias("away_goals"),
+    )
+    return T.ranked_table(matches, "efl").select("team", "points", "position_from", "position_to")
+
+
 PATHS = """WITH p AS (SELECT o_orderkey AS path, o_orderstatus AS outcome, o_orderpriority AS team, CASE WHEN o_totalprice > 50000 THEN 1.0 ELSE 0.0 END AS x FROM orders),
   c AS (SELECT team, outcome, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM p GROUP BY ALL), b AS (SELECT team, count(*) AS n, avg(x) AS base FROM p GROUP BY team)"""
 

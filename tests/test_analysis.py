@@ -113,3 +113,45 @@ def test_hindcast_outcomes(spark, data):
     hindcasts = spark.createDataFrame([("m1", 0.5), ("m2", 0.4), ("m9", 0.3)], "match_id string, p_home double")
     found = analysis.derived_relations({"matches": played, "match_hindcasts": hindcasts})["match_hindcast_outcomes"]
     assert rows(found, "match_id", "outcome") == [("m1", "H"), ("m2", None), ("m9", None)]
+
+
+def read(spark, schema, *documents):
+    return spark.read.schema(schema).json(spark.sparkContext.parallelize([json.dumps(d) for d in documents]))
+
+
+def test_simulation_relations(spark):
+    team = {"team_id": "a", "name": "A", "mean_points": 50.0, "event_probabilities": {"champion_probability": 0.5}, "points_distribution": {"50": 1.0}, "goal_difference_distribution": {"-1": 0.5, "2": 0.5}, "position_probabilities": [0.5, 0.5], "points_intervals": {"50": [1, 2]}, "position_intervals": {"90": [1, 2]}, "conditional_europe_probabilities": {"s": 0.1}}
+    runs = read(spark, f"forecast_id string, {analysis.SIMULATION}", {"forecast_id": "f", "simulations": 10, "teams": [team, {**team, "team_id": "b"}], "match_frequencies": {"m": {"p_home": 0.5, "p_draw": 0.3, "p_away": 0.2}}})
+    found = analysis.simulation_relations(runs, "forecast", ["forecast_id"])
+    assert {k.removeprefix("forecast_simulation_"): v.count() for k, v in found.items()} == {"runs": 1, "teams": 2, "team_events": 2, "points_distribution": 2, "position_distribution": 4, "goal_difference_distribution": 4, "intervals": 4, "europe_probabilities": 2, "match_frequencies": 1}
+    assert rows(found["forecast_simulation_goal_difference_distribution"].filter("team_id = 'a'"), "goal_difference") == [(-1,), (2,)]
+
+
+def test_impacts_fall_back_to_the_team_s_own_probability(spark):
+    block = {"team_id": ["a", "b"], "home": [0.4, 0.1], "draw": [0.3], "away": [0.2, 0.3], "rms_movement": [0.05, 0.06]}
+    impacts = read(spark, f"forecast_id string, {analysis.IMPACT}", {"forecast_id": "f", "horizon_days": 21, "fixtures": [{"match_id": "m", "outcome_counts": {"home": 5}, "impacts": {"champion": block}}, {"match_id": "n", "unavailable_reason": "x"}]})
+    own = spark.createDataFrame([("f", "a", "champion", 0.33)], "forecast_id string, team_id string, event string, probability double")
+    found = analysis.impact_relations(impacts, ["forecast_id"], own)
+    assert found["forecast_impact_fixtures"].count() == 2
+    assert rows(found["forecast_impacts"], "team_id", "outcome", "baseline", "conditional_probability") == [("a", "away", 0.33, 0.2), ("a", "draw", 0.33, 0.3), ("a", "home", 0.33, 0.4), ("b", "away", None, 0.3), ("b", "draw", None, None), ("b", "home", None, 0.1)]
+
+
+def test_personnel_relations(spark):
+    player = lambda p, q: {"player_id": p, "recent_weight": 0.5, "probability": q, "membership_basis": ["x", "y"], "availability_basis": ["z"]}
+    side = lambda s, reason: {"side": s, "team_id": s, "discontinuity": 0.2, "unresolved_weight": 0.2, "unusable_reason": reason, "reference_matches": ["r1", "r2"], "players": [player("p", 0.6), player("q", None)]}
+    records = read(spark, f"forecast_id string, {analysis.PERSONNEL}", {"forecast_id": "f", "match_id": "1", "home_log_rate_shift": 0.1, "sides": [side("home", None), side("away", None)]}, {"forecast_id": "f", "match_id": "2", "sides": [side("home", None), side("away", "unresolved")]}, {"forecast_id": "f", "match_id": "3", "home_log_rate_shift": 0.0, "sides": [side("home", None), side("away", None)]})
+    found = analysis.personnel_relations(records, ["forecast_id"])
+    assert rows(found["forecast_personnel_teams"], "match_id", "side", "status", "team_log_rate_shift") == [("1", "away", "applied", -0.1), ("1", "home", "applied", 0.1), ("2", "away", "unresolved", None), ("2", "home", "other_team_unusable", None), ("3", "away", "neutral", -0.0), ("3", "home", "neutral", 0.0)]
+    assert [round(r[0], 9) if r[0] else None for r in rows(found["forecast_personnel_players"].filter("match_id = '1' and side = 'home'"), "discontinuity_contribution")] == [0.25, None]
+    assert found["forecast_personnel_evidence"].count() == 3 * 2 * 2 * 3 and found["forecast_personnel_reference_matches"].count() == 12
+
+
+def test_hindcasts_and_record(spark):
+    match = {"match_id": "m", "match_date": "2025-01-01", "p_home": 0.5, "unadjusted": {"p_home": 0.4}, "personnel": {"home_log_rate_shift": 0.1}, "score_probabilities": {"home_rate": 1.0, "grid_home_rows_away_columns": [[0.1, 0.2], [0.3, 0.4]]}}
+    found = analysis.match_hindcast_relations(read(spark, analysis.HINDCAST, {"model_version": "v", "competition_id": "pl", "season_id": "s", "prospective_from": "2025-06-01", "matches": [match, {"match_id": "n", "match_date": "2025-01-02"}]}))
+    assert rows(found["match_hindcasts"], "match_id", "unadjusted_p_home", "personnel_applied", "home_rate") == [("m", 0.4, True, 1.0), ("n", None, False, None)]
+    assert rows(found["match_hindcast_score_grid"], "home_goals", "away_goals", "probability") == [(0, 0, 0.1), (0, 1, 0.2), (1, 0, 0.3), (1, 1, 0.4)]
+    record = read(spark, analysis.RECORD, {"pending": [{"match_id": "m", "forecast_id": "f"}], "settled": [{"match_id": "n", "forecast_id": "f", "outcome": "H"}], "summary": {"all": {"scored": 1, "log_loss": 0.9}}})
+    found = analysis.record_relations(record)
+    assert rows(found["record_matches"], "record_state", "match_id", "outcome") == [("pending", "m", None), ("settled", "n", "H")]
+    assert rows(found["record_summary"], "scope", "scored") == [("all", 1)]

@@ -154,3 +154,52 @@ def test_sampled_states(spark):
     paths = simulate.sample_states(spark, states, 4000, 0, seed=4)
     got = {r.team: (r.m, r.s) for r in paths.groupBy("team").agg(F.avg("quality").alias("m"), F.stddev("quality").alias("s")).collect()}
     assert got["a"] == pytest.approx((0.5, 0.1), abs=0.01) and got["b"] == pytest.approx((-0.5, 0.2), abs=0.02)
+
+
+def test_brackets():
+    draw = np.random.default_rng(0)
+    for places in (4, 6):
+        position = np.array([draw.permutation(10) + 1 for _ in range(3000)])
+        strength = np.zeros(10)
+        won = simulate.bracket(position, strength, 3, draw, places)
+        place = position[np.arange(3000), won]
+        assert place.min() == 3 and place.max() == 2 + places
+        share = np.bincount(place, minlength=10)[3 : 3 + places] / 3000
+        assert share[0] > share[-1] or places == 4 and abs(share - 0.25).max() < 0.04
+        strong = simulate.bracket(np.tile(np.arange(1, 11), (400, 1)), np.r_[0.0, 0, 0, 0, 5, 0, 0, 0, 0, 0], 3, draw, places)
+        assert (strong == 4).mean() > 0.95
+    with pytest.raises(ValueError):
+        simulate.bracket(position, strength, 3, draw, 5)
+
+
+def results(spark, *rows):
+    return spark.createDataFrame([(f"m{k}", *r) for k, r in enumerate(rows)], "match_id string, home string, away string, home_goals int, away_goals int")
+
+
+def places(frame):
+    return {r.team: (r.position_from, r.position_to) for r in frame.collect()}
+
+
+def test_tie_breaks(spark):
+    # a and b are level on points, difference and goals; b won at a's ground.
+    level = results(spark, ("a", "b", 0, 1), ("b", "a", 0, 0), ("a", "c", 3, 0), ("c", "b", 0, 0), ("a", "d", 1, 0), ("d", "b", 1, 4), ("c", "a", 1, 0), ("b", "c", 0, 3), ("d", "c", 0, 0))
+    plain = {r.team: (r.points, r.gd, r.gf) for r in tables.league_table(level).collect()}
+    tie = {t for t in plain if list(plain.values()).count(plain[t]) > 1}
+    shared = places(tables.ranked_table(level, "shared", relegated=1))
+    assert all(shared[t][1] > shared[t][0] for t in tie)
+    for ranking in ("efl", "head_to_head"):
+        assert len(places(tables.ranked_table(level, ranking, relegated=1))) == 4
+
+
+def test_a_decisive_tie_goes_to_head_to_head(spark):
+    rows = results(spark, ("a", "b", 2, 1), ("b", "c", 1, 0), ("c", "a", 1, 0), ("b", "d", 1, 0), ("a", "d", 1, 1), ("c", "d", 0, 1), ("d", "a", 0, 1))
+    plain = {r.team: (r.points, r.gd, r.gf) for r in tables.league_table(rows).collect()}
+    assert plain["a"][0] == 7 and plain["b"][0] == 6
+    level = results(spark, ("a", "b", 1, 0), ("a", "c", 0, 1), ("b", "c", 1, 0), ("c", "d", 0, 0), ("d", "e", 0, 0))
+    points = {r.team: (r.points, r.gd, r.gf) for r in tables.league_table(level).collect()}
+    assert points["a"] == points["b"] == (3, 0, 1)
+    assert places(tables.ranked_table(level, "shared", relegated=1))["a"] == places(tables.ranked_table(level, "shared", relegated=1))["b"] == (2, 3)
+    assert places(tables.ranked_table(level, "head_to_head", relegated=1))["a"] == (2, 3)  # decides nothing
+    assert places(tables.ranked_table(level, "head_to_head", relegated=3))["a"] == (2, 2)  # decides relegation
+    assert places(tables.ranked_table(level, "head_to_head", relegated=1, boundaries=[2]))["b"] == (3, 3)
+    assert places(tables.ranked_table(level, "efl", relegated=1))["a"] == (2, 2)
