@@ -543,7 +543,7 @@ def dm03(spark, sf):
 @query("dm02_training_rows", "SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS match_date FROM orders WHERE o_orderstatus = 'F' AND o_totalprice IS NOT NULL AND CAST(o_orderdate AS DATE) + 1 <= DATE '1996-01-01'")
 def dm02(spark, sf):
     day = F.to_date("o_orderdate")
-    done = (F.col("o_orderstatus") == "F") & F.col("o_totalprice").isNotNull() & (F.date_add(day, 1) <= F.lit("1996-01-01").cast("date"))
+    done = (F.col("o_orderstatus") == "F") & F.col("o_totalprice").isNotNull() & (F.col("o_orderdate") < F.expr("TIMESTAMP_NTZ '1996-01-01 00:00:00'"))
     return load(spark, sf, "orders").filter(done).select("o_orderkey", "o_custkey", day.alias("match_date"))
 
 
