@@ -308,5 +308,9 @@ def decode_ids(rows: DataFrame, vocabulary: str, ids_col: str = "ids") -> DataFr
 
 def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", size: int = SEGMENT) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row: of the ids in decimal,
-    joined by commas, and of the text that they decode to. Null counts as empty."""
+    joined by commas, and of the text that they decode to.
+
+    Null counts as empty. Rows that repeat an id, a null one too, each give their own row.
+    Other columns are ignored; an empty table gives no rows.
+    """
     return _run(docs, id_col, text_col, vocabulary, _Digest, size)

@@ -309,6 +309,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     n_hit counts the words inside any occurrence of a window of any item; items_sha256 is
     of the ids, as text, sorted and joined by commas, of the n_items that occur.
+
+    A null or empty text has no words and is clean. Items with a null id or text are none;
+    items that share an id count once. Rows that repeat an id, a null one too, each give
+    their own row. Other columns are ignored; an empty table gives no rows.
     """
     found = contaminated_words(docs, items, id_col, text_col, item_id, item_text, width)
     n_hit = F.expr("aggregate(transform(hits, (x, i) -> if(i % 2 = 0, -x, x)), 0L, (s, x) -> s + x)")

@@ -340,6 +340,8 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     n_links counts the other rows linked directly, component_id is the least id reachable,
     kept whether it is the row's own. Rows that repeat an id count as rows of their own.
+    A row that can link with nothing is its own component; vectors of other lengths are
+    other labels. Other columns are ignored; an empty table gives no rows.
     """
     kind = rows.schema[id_col].dataType.simpleString()
     keyed, nodes = nodes_of(rows, id_col, vec_col, label_col)

@@ -199,7 +199,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, held_out, lang_pred, score) of every row; learned from the other fold's labels."""
+    """(id, held_out, lang_pred, score, bits_per_byte) of every row; learned from the other
+    fold's labels.
+
+    A null id is in no fold: not held out and not learned from. Rows with a null language or
+    text are scored, not learned from. Ties of code lengths go to the first language by name;
+    repeated rows score alike. An empty table gives no rows, unlabelled tables only ``und``.
+    """
     model = fit(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("_text"))
     return identify(rows, model, "_text").select(id_col, "held_out", "lang_pred", "score", "bits_per_byte")

@@ -99,7 +99,11 @@ def with_kept_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int =
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, n_lines, n_dropped, kept_sha256) of every row."""
+    """(id, n_lines, n_dropped, kept_sha256) of every row.
+
+    Where all lines go, or the text is null, the digest is that of the empty text. Other
+    columns are ignored, whatever their names; an empty table gives no rows.
+    """
     rows = with_kept_lines(docs.select(id_col, text_col), id_col, text_col, min_docs)
     digest = F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)
     return rows.select(id_col, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), digest.alias("kept_sha256"))

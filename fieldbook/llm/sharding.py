@@ -133,7 +133,12 @@ def with_slots(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """(id, size, text_crc32, law, shard, slot, grown_shard) of every row: law ``bytes``."""
+    """(id, size, text_crc32, law, shard, slot, grown_shard) of every row: law ``bytes``.
+
+    Null and empty texts are one group of size 1 a row and CRC 0. Rows that repeat an id, a
+    null one too, have slots of their own. Other columns are ignored, whatever their names;
+    an empty table gives no rows, and a shard may stay empty where groups are few.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     sized = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("key"))
     sized = cut(sized, "sized")

@@ -202,7 +202,12 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(id, held_out, score, predicted) of every row; learned from the other fold's labels."""
+    """(id, held_out, score, predicted) of every row; learned from the other fold's labels.
+
+    A null id is in no fold: not held out and not learned from. Labels other than 0 and 1 are
+    none; an id that has both is toxic. Repeated rows score alike. Other columns are ignored;
+    an empty table gives no rows.
+    """
     model = fit(docs, labels, id_col, text_col, label_col)
     rows = docs.select(F.col(id_col), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("_text"))
     return score_texts(rows, model, "_text").select(id_col, "held_out", "score", "predicted")

@@ -234,7 +234,12 @@ def reassemble(segments: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, payload_bytes, payload_digest, record_type, refers_to) of every page, from its
-    archives. A revisit's payload is that of the response with its digest."""
+    archives. A revisit's payload is that of the response with its digest.
+
+    A null html is an empty payload. A page with a null id is written and read; it refers
+    to a page with an id if one has its payload, else it is a response. Rows that repeat an
+    id and payload are all responses. Other columns are ignored; an empty table gives no rows.
+    """
     spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
     path = new_path(spark, "warc")
     write_archives(pages, path, id_col, url_col, F.col(html_col).cast("string"))
