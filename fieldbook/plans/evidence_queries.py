@@ -135,7 +135,7 @@ def pr09(spark, sf):
 
 @query(
     "wn05_first_n_per_entity",
-    """SELECT o_custkey, o_orderkey, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r <= 8""",
+    """SELECT o_custkey, o_orderkey, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r <= 8""",
 )
 def wn05(spark, sf):
     orders = load(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")

@@ -243,7 +243,7 @@ def dm35(spark, sf):
 
 @query(
     "dm36_panel_summary",
-    """SELECT l_returnflag, year(l_shipdate) AS season, round(avg(l_discount - l_tax), 8) AS bias, round(sqrt(avg(pow(l_discount - l_tax, 2))), 8) AS rmse, count(*) AS n
+    """SELECT l_returnflag, CAST(year(l_shipdate) AS INTEGER) AS season, round(avg(l_discount - l_tax), 8) AS bias, round(sqrt(avg(pow(l_discount - l_tax, 2))), 8) AS rmse, count(*) AS n
        FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_returnflag, year(l_shipdate)))""",
 )
 def dm36(spark, sf):
@@ -264,7 +264,7 @@ def dm37(spark, sf):
 @query(
     "dm38_match_week_origins",
     """WITH m AS (SELECT CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS season, row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY o_orderdate, o_orderkey) AS r FROM orders)
-       SELECT season, CAST(r // 10 AS INTEGER) AS week, d + 1 AS origin FROM m WHERE r IN (60, 120, 190, 300)""",
+       SELECT CAST(season AS INTEGER) AS season, CAST(r // 10 AS INTEGER) AS week, d + 1 AS origin FROM m WHERE r IN (60, 120, 190, 300)""",
 )
 def dm38(spark, sf):
     place = F.row_number().over(Window.partitionBy(F.year("o_orderdate")).orderBy("o_orderdate", "o_orderkey"))
@@ -366,7 +366,7 @@ def dm28b(spark, sf):
 
 @query(
     "so06_rank_by_movement",
-    PATHS + """, r AS (SELECT c.team, sqrt(sum(c.n * pow(m - base, 2)) / sum(c.n)) AS rms FROM c JOIN b ON b.team = c.team GROUP BY c.team) SELECT team, row_number() OVER (ORDER BY round(rms, 9) DESC, team) AS place FROM r""",
+    PATHS + """, r AS (SELECT c.team, sqrt(sum(c.n * pow(m - base, 2)) / sum(c.n)) AS rms FROM c JOIN b ON b.team = c.team GROUP BY c.team) SELECT team, CAST(row_number() OVER (ORDER BY round(rms, 9) DESC, team) AS INTEGER) AS place FROM r""",
 )
 def so06(spark, sf):
     summary = T.impact_summary(T.conditional_means(_paths(spark, sf), ["team"], "outcome", "x"), ["team"])
@@ -447,7 +447,7 @@ def dm44(spark, sf):
 
 @query(
     "dm39_truth_table",
-    MATCHES + """ SELECT team, row_number() OVER (ORDER BY points - CASE WHEN team = 3 THEN 6 ELSE 0 END DESC, gd DESC, gf DESC, team) AS position FROM t""",
+    MATCHES + """ SELECT team, CAST(row_number() OVER (ORDER BY points - CASE WHEN team = 3 THEN 6 ELSE 0 END DESC, gd DESC, gf DESC, team) AS INTEGER) AS position FROM t""",
 )
 def dm39(spark, sf):
     sanctions = spark.createDataFrame([(3, -6)], "team long, adjustment long")

@@ -251,7 +251,7 @@ def jo14(spark, sf):
 @query(
     "jo15_entry_cohorts",
     """WITH y AS (SELECT o_custkey, year(o_orderdate) AS season, max(CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END) AS tier FROM orders GROUP BY ALL)
-       SELECT n.o_custkey, n.season, CASE WHEN p.tier IS NULL THEN 'from_outside' WHEN p.tier = n.tier THEN 'stayed' WHEN p.tier > n.tier THEN 'fell' ELSE 'rose' END AS cohort
+       SELECT n.o_custkey, CAST(n.season AS INTEGER) AS season, CASE WHEN p.tier IS NULL THEN 'from_outside' WHEN p.tier = n.tier THEN 'stayed' WHEN p.tier > n.tier THEN 'fell' ELSE 'rose' END AS cohort
        FROM y n LEFT JOIN y p ON p.o_custkey = n.o_custkey AND p.season = n.season - 1""",
 )
 def jo15(spark, sf):
@@ -467,19 +467,19 @@ def so04(spark, sf):
     return load(spark, sf, "events").select("event_id", "ts", "value").orderBy(F.desc("ts"), F.desc("event_id")).limit(1)
 
 
-@query("so05_top_three_cells", "SELECT p_brand, p_size, n, r AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) AS r FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY p_brand, p_size)) WHERE r <= 3")
+@query("so05_top_three_cells", "SELECT p_brand, p_size, n, CAST(r AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) AS r FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY p_brand, p_size)) WHERE r <= 3")
 def so05(spark, sf):
     counts = load(spark, sf, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_size"))).filter("place <= 3")
 
 
-@query("so07_lexicographic_table", "SELECT c_nationkey, row_number() OVER (ORDER BY count(*) DESC, round(sum(c_acctbal), 2) DESC, c_nationkey) AS place FROM customer GROUP BY c_nationkey")
+@query("so07_lexicographic_table", "SELECT c_nationkey, CAST(row_number() OVER (ORDER BY count(*) DESC, round(sum(c_acctbal), 2) DESC, c_nationkey) AS INTEGER) AS place FROM customer GROUP BY c_nationkey")
 def so07(spark, sf):
     table = load(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
     return table.select("c_nationkey", F.row_number().over(Window.orderBy(F.desc("n"), F.desc("total"), "c_nationkey")).alias("place"))
 
 
-@query("so08_missing_dates_last", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY d ASC NULLS LAST, event_id) AS place FROM (SELECT event_id, user_id, CASE WHEN value > 20 THEN CAST(ts AS DATE) END AS d FROM events)")
+@query("so08_missing_dates_last", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY d ASC NULLS LAST, event_id) AS INTEGER) AS place FROM (SELECT event_id, user_id, CASE WHEN value > 20 THEN CAST(ts AS DATE) END AS d FROM events)")
 def so08(spark, sf):
     rows = load(spark, sf, "events").select("event_id", "user_id", F.when(F.col("value") > 20, F.to_date("ts")).alias("d"))
     return rows.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("d").asc_nulls_last(), "event_id")).alias("place"))

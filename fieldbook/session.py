@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -25,6 +32,24 @@ def build_session(name: str = "fieldbook", master: str | None = None, **more: st
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application.
+
+    Needed where the executors do not have it on their path; harmless where they do.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_fieldbook", None) == context.applicationId:
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="fieldbook-")) / "fieldbook.zip"
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted(package.rglob("*.py")):
+            file.write(source, f"{package.name}/{source.relative_to(package)}")
+    context.addPyFile(str(archive))
+    context._fieldbook = context.applicationId
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str):
     """One table of a data folder; Spark opens the path, so any store works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,9 +58,6 @@ def load(spark: SparkSession, sf_dir: str, name: str):
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir if that is
     set, else, in a local session, a temporary one."""
-    import tempfile
-    import uuid
-
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="fieldbook-")
