@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldbook.session import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
@@ -78,6 +80,7 @@ _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with batches of at most ``BATCH_BYTES`` bytes, or one row if that is
     more. A worker holds few batches at a time, whatever the length of the texts."""
+    ship(df.sparkSession)
     conf = df.sparkSession.conf
     if int(str(conf.get(_BATCHES, "67108864")).rstrip("b")) > BATCH_BYTES:
         conf.set(_BATCHES, BATCH_BYTES)
