@@ -13,9 +13,12 @@ from fieldbook.operators.relops import latest_per_key, pivot_stages
 from fieldbook.plans.namespace import Namespace, Relation
 from fieldbook.sources.evidence import Dataset
 
-# The stages of a match forecast with their order and parent, and the field
-# names of forecast documents.
+# The stages of a match forecast with their order and parent, why a stage is
+# not there, the states of a personnel adjustment, and the field names of forecast documents.
 STAGES = [("unadjusted", 1, "model_state"), ("personnel_adjusted", 2, "unadjusted"), ("market_assisted", 3, "personnel_adjusted")]
+NO_QUOTE = "No usable market quote was available."
+NO_STAGE = "The artifact does not contain this stage."
+APPLIED, NEUTRAL, OTHER_TEAM, NO_SHIFT = "applied", "neutral", "other_team_unusable", "shift_unavailable"
 _SCORE = "struct<home_rate:double,away_rate:double,omitted_probability:double,grid_home_rows_away_columns:array<array<double>>>"
 _STAGE = f"struct<p_home:double,p_draw:double,p_away:double,market_family:string,market_observed_at:timestamp,market_weight:double,raw_implied_probability_sum:double,decimal_odds:struct<home:double,draw:double,away:double>,market_probabilities:struct<p_home:double,p_draw:double,p_away:double>,score_distribution:{_SCORE}>"
 _SIDE = "struct<team_id:string,discontinuity:double,unresolved:double,usable:boolean>"
@@ -145,7 +148,7 @@ def match_relations(documents: DataFrame, keys: list[str]) -> dict[str, DataFram
 
     def stage(name: str, order: int, parent: str) -> Column:
         value = F.col(f"m.stages.{name}")
-        reason = "No usable market quote was available." if name == "market_assisted" else "The artifact does not contain this stage."
+        reason = NO_QUOTE if name == "market_assisted" else NO_STAGE
         return F.struct(F.lit(name).alias("stage"), F.lit(order).alias("stage_order"), F.lit(parent).alias("parent_stage"), F.when(value.isNull(), reason).alias("availability_reason"), value.alias("v"))
 
     stages = match.select(*base, "match_id", shift.alias("home_log_rate_shift"), F.inline(F.array(*[stage(*s) for s in STAGES])))
@@ -260,7 +263,7 @@ def personnel_relations(records: DataFrame, keys: list[str]) -> dict[str, DataFr
     shift = F.col("home_log_rate_shift")
     other = F.exists("sides", lambda x: (x["side"] != F.col("s.side")) & x["unusable_reason"].isNotNull())
     side = records.select(*base, "home_log_rate_shift", "kappa", "sides", F.explode("sides").alias("s"))
-    status = F.when(shift.isNotNull(), F.when(shift != 0, "applied").otherwise("neutral")).when(F.col("s.unusable_reason").isNotNull(), F.col("s.unusable_reason")).when(other, "other_team_unusable").otherwise("shift_unavailable")
+    status = F.when(shift.isNotNull(), F.when(shift != 0, APPLIED).otherwise(NEUTRAL)).when(F.col("s.unusable_reason").isNotNull(), F.col("s.unusable_reason")).when(other, OTHER_TEAM).otherwise(NO_SHIFT)
     named = [*base, F.col("s.team_id").alias("team_id"), F.col("s.side").alias("side")]
     teams = side.select(
         *named, "s.discontinuity", "s.unresolved_weight", F.col("s.unusable_reason").isNull().alias("usable_for_shift"), "kappa", "home_log_rate_shift",
