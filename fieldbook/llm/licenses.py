@@ -34,13 +34,22 @@ SPELLINGS = [
 COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright[ \t]|copyright:|\(c\)[ \t]|©|all rights reserved)[^\n]*"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text, between two spaces."""
+#: Whether a form holds a spelling to replace: most do not, and this is one pass.
+VARIANT = " (?:" + "|".join(sorted(a for a, _ in SPELLINGS)) + ") "
+
+
+def plain_form(text: Column) -> Column:
+    """The words of a text between single spaces, before spellings are replaced."""
     plain = F.regexp_replace(F.lower(text), COPYRIGHT, "$1")
-    form = F.concat(F.lit(" "), F.btrim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    return F.concat(F.lit(" "), F.btrim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+
+
+def one_spelling(form: Column) -> Column:
+    """The canonical form of a plain one; ``form`` should be a column, as it is read twice."""
+    spelt = form
     for a, b in SPELLINGS:
-        form = F.replace(form, F.lit(f" {a} "), F.lit(f" {b} "))
-    return form
+        spelt = F.replace(spelt, F.lit(f" {a} "), F.lit(f" {b} "))
+    return F.when(form.rlike(VARIANT), spelt).otherwise(form)
 
 
 def canonical_form(text: str) -> str:
@@ -75,15 +84,19 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     license_id is the licence that the whole text is, or null; n_notices counts the lines
     that are known notices, notice_ids names them once each, sorted, joined by commas. No
     row is moved: the known digests are broadcast, and a row's lines are looked up in it.
+    Repeated rows are scanned alike; other columns are ignored, whatever their names; an
+    empty table gives no rows. A null text has no digest, no licence and no notice.
     """
     licenses, notices = known_digests(LICENSES), known_digests(NOTICES)
     table = docs.sparkSession.createDataFrame(sorted(licenses.items()), "text_digest string, license_id string")
     names = F.create_map(*[F.lit(x) for pair in sorted(notices.items()) for x in pair])
-    lines = F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), lambda line: F.sha2(canonical(line), 256))
-    rows = docs.select(
-        F.col(id_col),
-        F.sha2(canonical(F.col(text_col)), 256).alias("text_digest"),
-        F.transform(F.filter(lines, lambda d: d.isin(*notices)), lambda d: F.element_at(names, d)).alias("_notices"),
+    lines = F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), plain_form)
+    forms = docs.select(F.col(id_col), plain_form(F.col(text_col)).alias("_form"), lines.alias("_lines"))
+    digests = F.transform("_lines", lambda form: F.sha2(one_spelling(form), 256))
+    rows = forms.select(
+        id_col,
+        F.sha2(one_spelling(F.col("_form")), 256).alias("text_digest"),
+        F.transform(F.filter(digests, lambda d: d.isin(*notices)), lambda d: F.element_at(names, d)).alias("_notices"),
     )
     rows = rows.join(F.broadcast(table), "text_digest", "left")
     return rows.select(
