@@ -3,8 +3,8 @@
 A record is written whole, or in segments of at most ``SEGMENT`` bytes: the first carries
 WARC-Segment-Number 1, continuation records carry the origin's id, their number and, the last
 one, the total length (ISO 28500). Payloads are HTTP responses in chunked transfer framing.
-Files are made by Spark's text sink with the record separator as its line end, so they go
-wherever Spark can write, and are read as binary files of bounded size.
+Files are made by Spark's text sink, gzipped, with the record separator as its line end, so
+they go wherever Spark can write, and are read as binary files of bounded size.
 
 Reading groups the segments by origin id, orders them by number, and accepts a record only
 if the numbers run from 1 without gap or repeat and the lengths add up to the stated total;
@@ -17,6 +17,7 @@ the response; the others are revisits, which hold its id and digest and no paylo
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -91,7 +92,7 @@ def records(key: str, url: str | None, payload: bytes, digest: str, refers_to: s
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str, url_col: str, payload: Column, segment: int = SEGMENT, chunk: int = CHUNK) -> None:
-    """One response or revisit record per row, in text files of at most ``FILE_ROWS`` records.
+    """One response or revisit record per row, in gzipped files of at most ``FILE_ROWS`` records.
 
     Null ids have no page id in their records and are nobody's reference.
     """
@@ -113,12 +114,15 @@ def write_archives(pages: DataFrame, path: str, id_col: str, url_col: str, paylo
     refers_to = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     made = map_arrow(joined.select(F.col("id").cast("string").alias("id"), "url", "digest", refers_to.cast("string").alias("refers_to"), "payload"), run, "value binary")
     # A string column of raw bytes: the text sink writes them as they are.
-    made.select(F.col("value").cast("string")).write.option("lineSep", _END).option("maxRecordsPerFile", FILE_ROWS).text(path)
+    made.select(F.col("value").cast("string")).write.option("lineSep", _END).option("maxRecordsPerFile", FILE_ROWS).option("compression", "gzip").text(path)
 
 
 def _parse(data: memoryview):
-    """(fields, block) of the records of one file; lengths alone say where they end."""
+    """(fields, block) of the records of one file, gzipped (in one member or many) or not;
+    lengths alone say where records end."""
     at, whole = 0, bytes(data)
+    if whole.startswith(b"\x1f\x8b"):
+        whole = gzip.decompress(whole)
     while at < len(whole):
         end = whole.find(b"\r\n\r\n", at)
         if end < 0 or not whole.startswith(b"WARC/", at):
@@ -161,7 +165,7 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path)
     return map_arrow(files.select("content"), run, _SEGMENTS)
 
 
