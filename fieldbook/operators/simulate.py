@@ -7,6 +7,7 @@ hundred rows, and their number is checked. Paths only leave a task as rows per t
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +62,40 @@ def bracket(position: np.ndarray, strength: np.ndarray, first: int, draw: np.ran
     return decided(*finalists, *goals(*finalists, neutral=True))
 
 
+def _play(ahead: list[tuple], past: list[tuple], paths: int, chunk: int, draw: np.random.Generator, promoted: int, playoff: int) -> pd.DataFrame:
+    """One chunk of a season's paths."""
+    teams = sorted({t for r in [*ahead, *past] for t in r[1:3]})
+    number = {t: k for k, t in enumerate(teams)}
+    strength = np.zeros(len(teams))
+    for _, h, a, x, y in ahead:
+        strength[number[h]] += (x - y) / 10
+        strength[number[a]] += (y - x) / 10
+    size = min(CHUNK, paths - chunk * CHUNK)
+    points, gf, ga = (np.zeros((size, len(teams)), np.int32) for _ in range(3))
+
+    def add(h, a, x, y):
+        gf[:, h] += x
+        ga[:, h] += y
+        gf[:, a] += y
+        ga[:, a] += x
+        points[:, h] += np.where(x > y, 3, x == y).astype(np.int32)
+        points[:, a] += np.where(y > x, 3, x == y).astype(np.int32)
+
+    for _, h, a, x, y in past:
+        add(number[h], number[a], np.full(size, x), np.full(size, y))
+    for _, h, a, x, y in ahead:
+        add(number[h], number[a], draw.poisson(x, size), draw.poisson(y, size))
+    position = _positions(points, gf - ga, gf, draw)
+    up = position <= promoted
+    if playoff and len(teams) >= promoted + playoff:
+        up[np.arange(size), bracket(position, strength, promoted + 1, draw, playoff)] = True
+    path = chunk * CHUNK + np.arange(size)
+    return pd.DataFrame({
+        "path": np.repeat(path, len(teams)), "team": np.tile(teams, size), "points": points.ravel(), "gd": (gf - ga).ravel(), "gf": gf.ravel(),
+        "position": position.ravel().astype(np.int32), "champion": (position == 1).ravel().astype(float), "promoted": up.ravel().astype(float),
+    })
+
+
 def simulate(spark: SparkSession, fixtures: DataFrame, played: DataFrame, paths: int, seed: int = 1, promoted: int = 2, playoff: int = 4) -> DataFrame:
     """A row per path and team of a season.
 
@@ -72,54 +107,48 @@ def simulate(spark: SparkSession, fixtures: DataFrame, played: DataFrame, paths:
         raise ValueError("more fixtures than a season has")
     ahead = sorted(tuple(r) for r in fixtures.select("match_id", "home", "away", "home_rate", "away_rate").collect())
     past = sorted(tuple(r) for r in played.select("match_id", "home", "away", "home_goals", "away_goals").collect())
-    teams = sorted({t for r in [*ahead, *past] for t in r[1:3]})
-    shared = spark.sparkContext.broadcast((ahead, past, teams))
+    shared = spark.sparkContext.broadcast((ahead, past))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ahead, past, teams = shared.value
-        number = {t: k for k, t in enumerate(teams)}
-        strength = np.zeros(len(teams))
-        for _, h, a, x, y in ahead:
-            strength[number[h]] += (x - y) / 10
-            strength[number[a]] += (y - x) / 10
+        ahead, past = shared.value
         for batch in batches:
             for chunk in batch["chunk"]:
                 draw = np.random.default_rng(np.random.SeedSequence([seed, int(chunk)]))
-                size = min(CHUNK, paths - int(chunk) * CHUNK)
-                points, gf, ga = (np.zeros((size, len(teams)), np.int32) for _ in range(3))
-
-                def add(h, a, x, y):
-                    gf[:, h] += x
-                    ga[:, h] += y
-                    gf[:, a] += y
-                    ga[:, a] += x
-                    points[:, h] += np.where(x > y, 3, x == y).astype(np.int32)
-                    points[:, a] += np.where(y > x, 3, x == y).astype(np.int32)
-
-                for _, h, a, x, y in past:
-                    add(number[h], number[a], np.full(size, x), np.full(size, y))
-                for _, h, a, x, y in ahead:
-                    add(number[h], number[a], draw.poisson(x, size), draw.poisson(y, size))
-                position = _positions(points, gf - ga, gf, draw)
-                up = position <= promoted
-                if playoff and len(teams) >= promoted + playoff:
-                    up[np.arange(size), bracket(position, strength, promoted + 1, draw, playoff)] = True
-                path = int(chunk) * CHUNK + np.arange(size)
-                yield pd.DataFrame({
-                    "path": np.repeat(path, len(teams)), "team": np.tile(teams, size), "points": points.ravel(), "gd": (gf - ga).ravel(), "gf": gf.ravel(),
-                    "position": position.ravel().astype(np.int32), "champion": (position == 1).ravel().astype(float), "promoted": up.ravel().astype(float),
-                })
+                yield _play(ahead, past, paths, int(chunk), draw, promoted, playoff)
 
     chunks = -(-paths // CHUNK)
     numbers = spark.range(0, chunks, 1, max(1, min(chunks, spark.sparkContext.defaultParallelism))).withColumnRenamed("id", "chunk")
     return numbers.mapInPandas(run, PATHS)
 
 
-def season_summary(paths: DataFrame) -> DataFrame:
-    """(team, mean_points, sd_points, champion, promoted, positions): one pass over the paths."""
-    counted = paths.groupBy("team", "position").agg(F.count("*").alias("n"), F.sum("points").alias("s"), F.sum(F.col("points") * F.col("points")).alias("q"), F.sum("champion").alias("c"), F.sum("promoted").alias("u"))
+def _chunked(rows: DataFrame, paths: int):
+    """The rows of every competition once for each chunk of its paths."""
+    return rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-paths // CHUNK) - 1)))).groupBy("competition", "chunk")
+
+
+def simulate_each(fixtures: DataFrame, paths: int, seed: int = 1, promoted: int = 2, playoff: int = 4) -> DataFrame:
+    """``simulate`` of the seasons of all competitions, none played yet, side by side.
+
+    fixtures has competition too, as have the rows. A task holds one competition's fixtures.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        competition, chunk = group.competition.iloc[0], int(group.chunk.iloc[0])
+        ahead = sorted(group[["match_id", "home", "away", "home_rate", "away_rate"]].itertuples(index=False, name=None))
+        draw = np.random.default_rng(np.random.SeedSequence([seed, chunk, zlib.crc32(competition.encode())]))
+        out = _play(ahead, [], paths, chunk, draw, promoted, playoff)
+        out.insert(0, "competition", competition)
+        return out
+
+    rows = fixtures.select("competition", "match_id", "home", "away", "home_rate", "away_rate")
+    return _chunked(rows, paths).applyInPandas(run, f"competition string, {PATHS}")
+
+
+def season_summary(paths: DataFrame, keys: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(keys, team, mean_points, sd_points, champion, promoted, positions): one pass over the paths."""
+    counted = paths.groupBy(*keys, "team", "position").agg(F.count("*").alias("n"), F.sum("points").alias("s"), F.sum(F.col("points") * F.col("points")).alias("q"), F.sum("champion").alias("c"), F.sum("promoted").alias("u"))
     total, mean = F.sum("n"), F.sum("s") / F.sum("n")
-    return counted.groupBy("team").agg(
+    return counted.groupBy(*keys, "team").agg(
         mean.alias("mean_points"),
         F.sqrt(F.greatest(F.sum("q") / total - mean * mean, F.lit(0.0))).alias("sd_points"),
         (F.sum("c") / total).alias("champion"),
@@ -142,6 +171,17 @@ def european_places(table: DataFrame, keys: list[str], champions: int, cup: str,
     return rows.withColumn("europe", F.when(top, "champions_league").when(F.col("_europa"), "europa_league").when(third, "conference_league")).drop("_europa")
 
 
+def _carry(states: list[tuple], paths: int, chunk: int, days: int, decay_days: float, team_sd: float, draw: np.random.Generator) -> pd.DataFrame:
+    """One chunk of paths of (team, quality, quality_sd) states."""
+    keep = float(np.exp(-days / decay_days))
+    teams = [k[0] for k in states]
+    mean, sd = np.array([k[1] for k in states]), np.array([k[2] for k in states])
+    size = min(CHUNK, paths - chunk * CHUNK)
+    now = mean + sd * draw.standard_normal((size, len(teams)))
+    later = keep * now + team_sd * np.sqrt(1 - keep**2) * draw.standard_normal(now.shape)
+    return pd.DataFrame({"path": np.repeat(chunk * CHUNK + np.arange(size), len(teams)), "team": np.tile(teams, size), "quality": later.ravel()})
+
+
 def sample_states(spark: SparkSession, states: DataFrame, paths: int, days: int, decay_days: float = 700.0, team_sd: float = 0.35, seed: int = 1) -> DataFrame:
     """(path, team, quality): each path draws the teams' qualities and carries them forward.
 
@@ -149,18 +189,26 @@ def sample_states(spark: SparkSession, states: DataFrame, paths: int, days: int,
     decays and gains the variance that keeps its long-run spread.
     """
     known = sorted(tuple(r) for r in states.select("team", "quality", "quality_sd").limit(MOST_FIXTURES).collect())
-    keep = float(np.exp(-days / decay_days))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        teams = [k[0] for k in known]
-        mean, sd = np.array([k[1] for k in known]), np.array([k[2] for k in known])
         for batch in batches:
             for chunk in batch["chunk"]:
                 draw = np.random.default_rng(np.random.SeedSequence([seed, 2, int(chunk)]))
-                size = min(CHUNK, paths - int(chunk) * CHUNK)
-                now = mean + sd * draw.standard_normal((size, len(teams)))
-                later = keep * now + team_sd * np.sqrt(1 - keep**2) * draw.standard_normal(now.shape)
-                yield pd.DataFrame({"path": np.repeat(int(chunk) * CHUNK + np.arange(size), len(teams)), "team": np.tile(teams, size), "quality": later.ravel()})
+                yield _carry(known, paths, int(chunk), days, decay_days, team_sd, draw)
 
     chunks = -(-paths // CHUNK)
     return spark.range(0, chunks, 1, max(1, min(chunks, spark.sparkContext.defaultParallelism))).withColumnRenamed("id", "chunk").mapInPandas(run, "path long, team string, quality double")
+
+
+def sample_states_each(states: DataFrame, paths: int, days: int, decay_days: float = 700.0, team_sd: float = 0.35, seed: int = 1) -> DataFrame:
+    """``sample_states`` of all competitions side by side; states and rows have competition too."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        competition, chunk = group.competition.iloc[0], int(group.chunk.iloc[0])
+        known = sorted(group[["team", "quality", "quality_sd"]].itertuples(index=False, name=None))
+        draw = np.random.default_rng(np.random.SeedSequence([seed, 2, chunk, zlib.crc32(competition.encode())]))
+        out = _carry(known, paths, chunk, days, decay_days, team_sd, draw)
+        out.insert(0, "competition", competition)
+        return out
+
+    return _chunked(states.select("competition", "team", "quality", "quality_sd"), paths).applyInPandas(run, "competition string, path long, team string, quality double")

@@ -255,15 +255,22 @@ def st07(spark, sf):
 # --- models and simulation, on matches between nations
 
 
+BLOCK = 8000
+
+
 def _league(spark, sf):
-    """A match per order: the customer's nation at home, another away, goals from its numbers."""
-    orders = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter("o_orderkey < 8000")
+    """A match per order: the customer's nation at home, another away, goals from its numbers.
+
+    Every ``BLOCK`` order keys are two competitions, so a competition has a bounded number of
+    matches however many orders there are.
+    """
+    orders = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     away = (F.col("c_nationkey") + 1 + F.col("o_orderkey") % 11) % 12
     home = F.col("c_nationkey") % 12
     strength = F.pmod(F.xxhash64("o_orderkey"), F.lit(4))
     rows = orders.select(
         F.concat_ws(":", F.lit("m"), F.col("o_orderkey").cast("string")).alias("match_id"),
-        F.when(F.col("c_nationkey") < 12, "north").otherwise("south").alias("competition"),
+        F.concat_ws("-", F.when(F.col("c_nationkey") < 12, "north").otherwise("south"), F.floor(F.col("o_orderkey") / BLOCK).cast("string")).alias("competition"),
         F.date_add(F.lit("2020-08-01").cast("date"), (F.col("o_orderkey") % 700).cast("int")).alias("match_date"),
         home.cast("string").alias("home"),
         F.when(away == home, (home + 1) % 12).otherwise(away).cast("string").alias("away"),
@@ -273,10 +280,18 @@ def _league(spark, sf):
     return rows
 
 
+def _origins(league, days):
+    """Every competition of the league at each of the days, an expression for an array of dates."""
+    return league.select("competition").distinct().withColumn("as_of", F.explode(F.expr(days)))
+
+
+DECEMBER = "array(DATE'2021-12-01')"
+
+
 @query("dm17_attack_defence_fit")
 def dm17(spark, sf):
-    origins = spark.createDataFrame([("north", "2021-12-01"), ("south", "2021-12-01")], "competition string, as_of string").withColumn("as_of", F.to_date("as_of"))
-    return models.fit_ratings(_league(spark, sf), origins)
+    league = _league(spark, sf)
+    return models.fit_ratings(league, _origins(league, DECEMBER))
 
 
 @query("dm18_daily_filter_states")
@@ -286,8 +301,8 @@ def dm18(spark, sf):
 
 @query("dm30_rolling_backtest")
 def dm30(spark, sf):
-    origins = spark.sql("SELECT competition, explode(sequence(DATE'2021-06-01', DATE'2022-05-01', INTERVAL 2 MONTHS)) AS as_of FROM VALUES ('north'), ('south') AS t(competition)")
-    rows = models.backtest(_league(spark, sf), origins, horizon_days=30)
+    league = _league(spark, sf)
+    rows = models.backtest(league, _origins(league, "sequence(DATE'2021-06-01', DATE'2022-05-01', INTERVAL 2 MONTHS)"), horizon_days=30)
     outcome = F.when(F.col("home_goals") > F.col("away_goals"), 0).when(F.col("home_goals") == F.col("away_goals"), 1).otherwise(2)
     cells = P.score_grid(rows.withColumn("outcome", outcome), ["match_id", "competition", "as_of", "outcome"], F.col("home_rate"), F.col("away_rate"))
     sums = P.outcome_sums(cells, ["match_id", "competition", "as_of", "outcome"])
@@ -297,14 +312,12 @@ def dm30(spark, sf):
 
 @query("dm23_season_simulation")
 def dm23(spark, sf):
-    origins = spark.createDataFrame([("north", "2021-12-01")], "competition string, as_of string").withColumn("as_of", F.to_date("as_of"))
-    league = _league(spark, sf).filter("competition = 'north'")
-    ratings = models.fit_ratings(league, origins).cache()  # a row per team
+    league = _league(spark, sf)
+    ratings = models.fit_ratings(league, _origins(league, DECEMBER)).cache()  # a row per competition and team
     teams = ratings.select("competition", "as_of", F.col("team").alias("home"))
     fixtures = teams.join(teams.withColumnRenamed("home", "away"), ["competition", "as_of"]).filter("home <> away").withColumn("match_id", F.concat_ws("-", "home", "away"))
-    played = fixtures.limit(0).select("match_id", "home", "away", F.lit(0).alias("home_goals"), F.lit(0).alias("away_goals"))
-    paths = simulate.simulate(spark, models.predict(fixtures, ratings), played, 2000, seed=11)
-    return simulate.season_summary(paths).drop("positions")
+    paths = simulate.simulate_each(models.predict(fixtures, ratings), 2000, seed=11)
+    return simulate.season_summary(paths, ["competition"]).drop("positions")
 
 
 @query(
@@ -363,8 +376,8 @@ def dm21(spark, sf):
 
 @query("dm22_state_sampling")
 def dm22(spark, sf):
-    states = models.filter_states(_league(spark, sf).filter("competition = 'north'"), {"usual": {}}).select("team", "quality", "quality_sd")
-    return simulate.sample_states(spark, states, 2000, 30).groupBy("team").agg(F.count("*").alias("paths"), F.avg("quality").alias("mean"), F.stddev_pop("quality").alias("sd"))
+    states = models.filter_states(_league(spark, sf), {"usual": {}}).select("competition", "team", "quality", "quality_sd")
+    return simulate.sample_states_each(states, 2000, 30).groupBy("competition", "team").agg(F.count("*").alias("paths"), F.avg("quality").alias("mean"), F.stddev_pop("quality").alias("sd"))
 
 
 @query(
