@@ -2,8 +2,10 @@
 
 Vectors are compared only within one label (and dimension). Equal vectors of a label are one
 node. Labels of more than ``SHARD_ROWS`` nodes are cut into overlapping cluster shards: a
-node belongs to its nearest centroid and to each other one whose border is within
-``OVERLAP``. Each shard builds a flat graph: a node's nearest nodes and some drawn at
+node belongs to its nearest centroid and to each other one whose border is within half the
+greatest distance of a linked pair. The border lies between the two ends of a pair whose
+nearest centroids differ, so one end at least is in the other's shard: no pair is lost to the
+cut. Each shard builds a flat graph: a node's nearest nodes and some drawn at
 random, robustly pruned (an edge goes if a kept neighbour is ``ALPHA`` times nearer to its
 end), with the reverse edges, ``DEGREE`` at most (Subramanya et al., "DiskANN", 2019). The
 adjacency lists of a node's shards are united. Every node then runs a greedy search in
@@ -22,6 +24,8 @@ hold a null or non-finite component, link with nothing.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +39,6 @@ LARGEST = 16384
 BLOCK = 4096
 SAMPLE = 32768
 MOST_CENTROIDS = 16384
-OVERLAP = 0.08
 DEGREE = 24
 POOL = 48
 RANDOM = 16
@@ -64,14 +67,20 @@ def kmeans(points: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centers
 
 
-def shards_of(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The home of each unit vector, and all its shards."""
+def overlap(bound: float) -> float:
+    """Half the distance of two unit vectors at the bound, with room for rounding."""
+    return math.sqrt(max(2 - 2 * bound, 0)) / 2 + 1e-6
+
+
+def shards_of(points: np.ndarray, centers: np.ndarray, bound: float = COSINE) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The home of each unit vector, and all its shards; linked ones share a home."""
     dots = points @ centers.T
     home = dots.argmax(1)
     apart = np.sqrt(np.maximum(2 - 2 * centers @ centers.T, 0))
     margin = (dots[np.arange(len(points)), home][:, None] - dots) / np.maximum(apart[home], 1e-9)
     margin[np.arange(len(points)), home] = 0
-    return home, [np.flatnonzero(row <= OVERLAP) for row in margin]
+    reach = overlap(bound)
+    return home, [np.flatnonzero(row <= reach) for row in margin]
 
 
 def robust_prune(points: np.ndarray, at: int, pool: np.ndarray, near: np.ndarray) -> list[int]:
@@ -233,7 +242,7 @@ def nodes_of(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> tupl
     return keyed, cut(nodes.withColumn("label", F.concat_ws("/", "label", F.octet_length("vec"))).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
-def assign(nodes: DataFrame) -> DataFrame:
+def assign(nodes: DataFrame, bound: float = COSINE) -> DataFrame:
     """(label, shard, home, shards, node, n, vec): a row for each shard that a node is in."""
     sizes = nodes.groupBy("label").count().filter(F.col("count") > SHARD_ROWS)
     large = {r[0]: r[1] for r in sizes.orderBy(F.desc("count"), "label").limit(MOST_CENTROIDS).collect()}
@@ -257,7 +266,7 @@ def assign(nodes: DataFrame) -> DataFrame:
             home, member = np.zeros(len(labels), np.int64), [np.zeros(1, np.int64)] * len(labels)
             for label in set(labels) & set(centers):
                 at = np.array([i for i, x in enumerate(labels) if x == label])
-                own, every = shards_of(_vectors(batch.column("vec").take(pa.array(at))), centers[label])
+                own, every = shards_of(_vectors(batch.column("vec").take(pa.array(at))), centers[label], bound)
                 home[at] = own
                 for i, x in zip(at, every):
                     member[i] = x
@@ -345,7 +354,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     """
     kind = rows.schema[id_col].dataType.simpleString()
     keyed, nodes = nodes_of(rows, id_col, vec_col, label_col)
-    placed = cut(assign(nodes), "shards")
+    placed = cut(assign(nodes, bound), "shards")
     size = placed.groupBy("label", "shard").agg(F.count("*").alias("size"))
     large = cut(size.filter(F.col("size") > LARGEST), "large")
     normal = placed.join(large.select("label", "shard"), ["label", "shard"], "left_anti")

@@ -64,6 +64,39 @@ def test_shards_and_tiles(spark, monkeypatch, limits):
     assert sum(a[2] == b[2] for a, b in zip(got, want)) >= 0.97 * len(rows)
 
 
+def straddling(pairs=300, dim=16):
+    """Pairs at cosine 0.94, their middle on the border of two centroids."""
+    draw = np.random.default_rng(3)
+    centers = embeddings.unit(draw.normal(size=(2, dim)))
+    across = embeddings.unit((centers[0] - centers[1])[None])[0]
+    half = np.arccos(0.94) / 2
+    rows = []
+    for _ in range(pairs):
+        middle = centers.sum(0) + 0.3 * draw.normal(size=dim)
+        middle = middle - (middle @ across) * across
+        middle = middle / np.linalg.norm(middle)
+        rows += [np.cos(half) * middle + np.sin(half) * across, np.cos(half) * middle - np.sin(half) * across]
+    return np.array(rows), centers
+
+
+def test_linked_rows_share_a_home():
+    points, centers = straddling()
+    home, shards = embeddings.shards_of(points, centers)
+    assert (home[::2] == 0).all() and (home[1::2] == 1).all()
+    near = np.argwhere(points @ points.T >= 0.93)
+    assert len(near) > len(points)
+    assert all(home[i] in shards[j] or home[j] in shards[i] for i, j in near)
+
+
+def test_links_over_a_border(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SHARD_ROWS", 300)
+    points, centers = straddling()
+    monkeypatch.setattr(embeddings, "kmeans", lambda p, k, rounds=8: centers)
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(points)]
+    got, want = run(spark, rows), plain(rows)
+    assert [r[1] for r in got] == [r[1] for r in want] and [r[2] for r in got] == [r[2] for r in want]
+
+
 def test_audit(spark):
     rows = spark.createDataFrame(vectors(500, seed=2), "vec_id long, embedding array<double>, label int")
     assert embeddings.audit_recall(rows, embeddings.near_duplicates(rows)) >= 0.99
