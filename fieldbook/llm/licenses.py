@@ -1,6 +1,7 @@
 """Licence scans by canonical digests, in DataFrame operations only.
 
-A text's canonical form: lower case; copyright lines (and "all rights reserved") left out;
+A text's canonical form: lower case; copyright statements (and "all rights reserved") left out,
+but not body lines that a wrap makes begin with "copyright" or "(c)";
 every run of characters that are no letter or digit one space; equivalent spellings (the
 published matching guidelines' word pairs) replaced by one. Its SHA-256 is looked up among
 the digests of known licences, so a whole text is a licence or it is none. The same lookup
@@ -31,7 +32,12 @@ SPELLINGS = [
     ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"),
     ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
 ]
-COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright[ \t]|copyright:|\(c\)[ \t]|©|all rights reserved)[^\n]*"
+#: Words of licence bodies that a line wrap can put behind "copyright" or "(c)"; a statement names a year, a sign or an owner there.
+_BODY = r"(?:notices?|holders?|owners?|laws?|interests?|licen[sc]es?|statements?|and|or|in|on|to|of|by|permission|protection|rights?|act|treaty|treaties|similar|subject|status|disclaimers?)\b"
+_ITEM = r"(?:you|under|if|any|for|to|in|where|when|each|that|this|with|its?|affirmer|no)\b"
+COPYRIGHT = rf"(^|\n)[ \t*#/;-]*(copyright[ \t]+(?!{_BODY})[^\s]|copyright:|\(c\)[ \t]+(?!{_ITEM})[^\s]|©|all rights reserved)[^\n]*"
+#: The SQL is as it was: it also takes body lines that begin with "copyright" for statements, and DuckDB has no lookahead.
+SQL_COPYRIGHT = r"(^|\n)[ \t*#/;-]*(copyright[ \t]|copyright:|\(c\)[ \t]|©|all rights reserved)[^\n]*"
 
 
 #: Whether a form holds a spelling to replace: most do not, and this is one pass.
@@ -112,7 +118,7 @@ def oracle_sql() -> str:
     """The scan of ``documents`` as DuckDB SQL."""
 
     def form(text: str) -> str:
-        sql = f"concat(' ', trim(regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT}', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ')"
+        sql = f"concat(' ', trim(regexp_replace(regexp_replace(lower({text}), '{SQL_COPYRIGHT}', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ')"
         for a, b in SPELLINGS:
             sql = f"replace({sql}, ' {a} ', ' {b} ')"
         return f"sha256({sql})"

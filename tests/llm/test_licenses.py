@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import textwrap
+
 from fieldbook.llm import licenses
 from fieldbook.llm.license_texts import LICENSES
 
@@ -35,3 +37,29 @@ def test_driver_and_columns_agree(spark, texts):
 
 def test_empty_table(no_docs):
     assert licenses.license_scan(no_docs).collect() == []
+
+
+def wrapped(text: str, width: int) -> str:
+    """The paragraphs of a text, wrapped as licence files are."""
+    return "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+
+
+def test_wraps_do_not_matter(spark):
+    rows, want = [], {}
+    for name, texts in LICENSES.items():
+        for text in texts:
+            for width in range(20, 101):
+                assert licenses.digest(wrapped(text, width)) == licenses.digest(text), (name, width)
+                if width in (40, 72, 76, 80):
+                    want[len(rows)] = name
+                    rows.append((len(rows), "Copyright (c) 2020 A Body\nCopyright The Owners\n\n" + wrapped(text, width)))
+    found = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license_id for r in found} == want
+
+
+def test_a_wrapped_body_line_is_no_statement():
+    lines = "provided that the above\ncopyright notice appear", "THE AUTHORS OR\nCOPYRIGHT HOLDERS BE LIABLE", "retain the above\ncopyright \nnotice", "(b) that\n(c) You must retain"
+    for text in lines:
+        assert licenses.digest(text) == licenses.digest(" ".join(text.split()))
+    for statement in ("Copyright 1999 A", "copyright (C) A", "Copyright: A", "Copyright A Company", "(c) others", "© 2000 A", "All rights reserved."):
+        assert licenses.digest(f"text\n{statement}\nmore") == licenses.digest("text more"), statement
