@@ -19,6 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldbook.llm.license_digests import DIGESTS, MORE_NOTICES
 from fieldbook.llm.license_texts import LICENSES, NOTICES
 
 MOST_KNOWN = 10_000
@@ -93,7 +94,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Repeated rows are scanned alike; other columns are ignored, whatever their names; an
     empty table gives no rows. A null text has no digest, no licence and no notice.
     """
-    licenses, notices = known_digests(LICENSES), known_digests(NOTICES)
+    licenses = {d: name for name, several in DIGESTS.items() for d in several} | known_digests(LICENSES)
+    notices = known_digests(MORE_NOTICES) | known_digests(NOTICES)
     table = docs.sparkSession.createDataFrame(sorted(licenses.items()), "text_digest string, license_id string")
     names = F.create_map(*[F.lit(x) for pair in sorted(notices.items()) for x in pair])
     lines = F.transform(F.split(F.coalesce(text_col, F.lit("")), "\n"), plain_form)
@@ -115,7 +117,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def oracle_sql() -> str:
-    """The scan of ``documents`` as DuckDB SQL."""
+    """The scan of ``documents`` as DuckDB SQL, for the texts and notices of ``license_texts``."""
 
     def form(text: str) -> str:
         sql = f"concat(' ', trim(regexp_replace(regexp_replace(lower({text}), '{SQL_COPYRIGHT}', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ')"

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import textwrap
 
 from fieldbook.llm import licenses
+from fieldbook.llm.license_digests import DIGESTS
 from fieldbook.llm.license_texts import LICENSES
 
 
@@ -63,3 +65,20 @@ def test_a_wrapped_body_line_is_no_statement():
         assert licenses.digest(text) == licenses.digest(" ".join(text.split()))
     for statement in ("Copyright 1999 A", "copyright (C) A", "Copyright: A", "Copyright A Company", "(c) others", "© 2000 A", "All rights reserved."):
         assert licenses.digest(f"text\n{statement}\nmore") == licenses.digest("text more"), statement
+
+
+def test_long_licenses_and_gnu_notices(spark):
+    folder = "/usr/share/common-licenses"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = [n for n in names if os.path.exists(f"{folder}/{n}")]
+    texts = {n: open(f"{folder}/{n}", encoding="utf-8").read() for n in there}
+    lines = {
+        "Licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1-only",
+        "Released under the GNU Affero General Public License, version 3 or later.": "AGPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0-or-later",
+    }
+    rows = [*texts.items(), *[(k, k) for k in lines]]
+    found = {r.name: r for r in licenses.license_scan(spark.createDataFrame(rows, "name string, text string"), "name").collect()}
+    assert {n: found[n].license_id for n in texts} == {n: names[n] for n in texts}
+    assert {k: found[k].notice_ids for k in lines} == lines
+    assert licenses.digest(texts["Apache-2.0"].split("   APPENDIX")[0]) in DIGESTS["Apache-2.0"]
