@@ -14,9 +14,11 @@ from fieldbook.llm.queries import public_vocabulary
 
 
 def language(spark, docs, sf_dir):
-    """Documents without a known language go: a null text, or one without a letter."""
+    """Documents without a language go: a null text, or one without a letter."""
     found = langid.identify(docs, langid.fit(docs, "doc_id", "text", "lang"), "text")
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    # Where no tree can be learned nothing has a language, which is no reason to reject a text.
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) | letters).select(*docs.columns)
 
 
 def line_dedup(spark, docs, sf_dir):

@@ -10,8 +10,9 @@ a text is the plain sum of its bytes' code lengths, and each context's 256 code
 are worked out once.
 
 The trees are learned from a bounded sample: at most ``ROWS`` rows a language, the first
-by a hash of the id, of at most ``ROW_BYTES`` bytes each, whole. Scoring covers all bytes
-of all texts.
+by a hash of the id, of at most ``ROW_BYTES`` bytes each, whole. A language whose rows are
+all longer is learned from the first ``ROW_BYTES`` bytes of as many. Scoring covers all
+bytes of all texts.
 """
 
 from __future__ import annotations
@@ -144,14 +145,16 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str) ->
     number is checked before they are broadcast.
     """
     sized = F.octet_length(text_col)
-    rows = docs.filter((fold(id_col) != 0) & F.col(lang_col).isNotNull() & (sized > 0) & (sized <= ROW_BYTES))
+    rows = docs.filter((fold(id_col) != 0) & F.col(lang_col).isNotNull() & (sized > 0))
     keys = [F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("th")]
-    place = Window.partitionBy("lang").orderBy("h", "th")
-    chosen = rows.select(*keys).withColumn("r", F.row_number().over(place)).filter(F.col("r") <= ROWS).drop("r")
-    chosen = cut(chosen.distinct(), "training-rows")
+    place = Window.partitionBy("lang").orderBy("long", "h", "th")
+    first = rows.select(*keys, (sized > ROW_BYTES).alias("long")).withColumn("r", F.row_number().over(place)).filter(F.col("r") <= ROWS).drop("r")
+    first = cut(first.distinct(), "training-rows")
+    short = first.filter(~F.col("long"))
+    chosen = short.union(first.filter("long").join(short.select("lang").distinct(), "lang", "left_anti").select(first.columns)).drop("long")
     if chosen.count() > MOST_ROWS:
         raise ValueError(f"more than {MOST_ROWS // ROWS} languages")
-    rows = rows.select(*keys, F.col(text_col).cast("binary").alias("text"))
+    rows = rows.select(*keys, F.substring(F.col(text_col).cast("binary"), 1, ROW_BYTES).alias("text"))
     return rows.join(F.broadcast(chosen), ["lang", "h", "th"], "left_semi").select("lang", "text").distinct()
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -58,3 +59,18 @@ def test_rejected_languages(spark, sf, docs):
     kept = {(r.doc_id, r.text) for r in corpus_pipeline.language(spark, docs, sf).collect()}
     assert (4, "word") in kept and not {(0, None), (1, ""), (3, "12 34 !!")} & kept
     assert langid.UNKNOWN == "und"
+
+
+def test_a_corpus_without_labels_is_kept(spark, sf, docs):
+    want = sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.language(spark, docs, sf).collect())
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    got = sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.language(spark, bare, sf).collect())
+    assert got == want and len(got) > 20
+
+
+def test_a_language_of_long_rows_is_learned(spark):
+    rows = [(i, "the cat and the dog " * 5000, "en") for i in range(10)] + [(20 + i, "der hund und die katze " * 9, "de") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs == ["de", "en"]
+    assert {(r.lang, r.lang_pred) for r in langid.identify(docs, model).collect()} == {("de", "de"), ("en", "en")}
