@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.session import ship
@@ -15,10 +15,13 @@ from fieldbook.session import ship
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (a local session, as in tests) one is made and set.
+    Only where that is unset in a local session, as in tests, one is made and set; other
+    sessions must name theirs, as executors do not see the driver's own folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="fieldbook-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -73,6 +76,13 @@ def drop(table: DataFrame | None) -> None:
         remove(table.sparkSession, table.path)
 
 
+def packed(docs: DataFrame, instead: dict[str, Column] | None = None) -> Column:
+    """All columns of ``docs`` as one struct, some replaced, so that columns added beside it
+    cannot clash with them. ``select("row.*")`` of an alias ``row`` gives them back."""
+    plain = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
+    return F.struct(*[(instead or {}).get(c, plain[c]).alias(c) for c in docs.columns])
+
+
 BATCH_BYTES = 2 << 20
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 

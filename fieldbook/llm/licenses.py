@@ -8,7 +8,7 @@ the digests of known licences, so a whole text is a licence or it is none. The s
 is made for every line, which finds notices such as "Released under the MIT License.".
 
 Known texts are a small table of this package, not data; its size is checked before it is
-broadcast. A null text has no digest and no licence; one without words has the empty form.
+broadcast (a larger one is joined by a shuffle). A null text has no digest and no licence; one without words has the empty form.
 """
 
 from __future__ import annotations
@@ -51,12 +51,20 @@ def plain_form(text: Column) -> Column:
     return F.concat(F.lit(" "), F.btrim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
+def _apart(words: str) -> str:
+    """Words with two spaces around each, so that every word has both of its own."""
+    return f" {words} ".replace(" ", "  ")
+
+
 def one_spelling(form: Column) -> Column:
-    """The canonical form of a plain one; ``form`` should be a column, as it is read twice."""
-    spelt = form
+    """The canonical form of a plain one; ``form`` should be a column, as it is read twice.
+
+    Words are taken apart first: no replacement uses up a space that the next word needs.
+    """
+    spelt = F.replace(form, F.lit(" "), F.lit("  "))
     for a, b in SPELLINGS:
-        spelt = F.replace(spelt, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.when(form.rlike(VARIANT), spelt).otherwise(form)
+        spelt = F.replace(spelt, F.lit(_apart(a)[1:-1]), F.lit(_apart(b)[1:-1]))
+    return F.when(form.rlike(VARIANT), F.replace(spelt, F.lit("  "), F.lit(" "))).otherwise(form)
 
 
 def canonical_form(text: str) -> str:
@@ -65,9 +73,10 @@ def canonical_form(text: str) -> str:
 
     plain = re.sub(COPYRIGHT, r"\1", text.lower())
     form = " " + regex.sub(r"[^\p{L}\p{N}]+", " ", plain).strip(" ") + " "
+    form = form.replace(" ", "  ")
     for a, b in SPELLINGS:
-        form = form.replace(f" {a} ", f" {b} ")
-    return form
+        form = form.replace(_apart(a)[1:-1], _apart(b)[1:-1])
+    return form.replace("  ", " ")
 
 
 def digest(text: str) -> str:
@@ -80,8 +89,6 @@ def known_digests(texts: dict[str, list[str]]) -> dict[str, str]:
     for name, several in texts.items():
         for text in several:
             found[digest(text)] = min(name, found.get(digest(text), name))
-    if len(found) > MOST_KNOWN:
-        raise ValueError("too many known licences to broadcast")
     return found
 
 
@@ -90,9 +97,11 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     license_id is the licence that the whole text is, or null; n_notices counts the lines
     that are known notices, notice_ids names them once each, sorted, joined by commas. No
-    row is moved: the known digests are broadcast, and a row's lines are looked up in it.
-    Repeated rows are scanned alike; other columns are ignored, whatever their names; an
-    empty table gives no rows. A null text has no digest, no licence and no notice.
+    row is moved: at most ``MOST_KNOWN`` known digests are broadcast (more are joined by a
+    shuffle of digests), and a row's lines are looked up in it. Whole texts are digested,
+    whatever their length or number of lines. Repeated rows are scanned alike; other columns
+    are ignored, whatever their names; an empty table gives no rows. A null text has no
+    digest, no licence and no notice.
     """
     licenses = {d: name for name, several in DIGESTS.items() for d in several} | known_digests(LICENSES)
     notices = known_digests(MORE_NOTICES) | known_digests(NOTICES)
@@ -106,7 +115,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.sha2(one_spelling(F.col("_form")), 256).alias("text_digest"),
         F.transform(F.filter(digests, lambda d: d.isin(*notices)), lambda d: F.element_at(names, d)).alias("_notices"),
     )
-    rows = rows.join(F.broadcast(table), "text_digest", "left")
+    rows = rows.join(F.broadcast(table) if len(licenses) <= MOST_KNOWN else table, "text_digest", "left")
     return rows.select(
         id_col,
         "text_digest",
@@ -121,9 +130,10 @@ def oracle_sql() -> str:
 
     def form(text: str) -> str:
         sql = f"concat(' ', trim(regexp_replace(regexp_replace(lower({text}), '{SQL_COPYRIGHT}', '\\1', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ')"
+        sql = f"replace({sql}, ' ', '  ')"
         for a, b in SPELLINGS:
-            sql = f"replace({sql}, ' {a} ', ' {b} ')"
-        return f"sha256({sql})"
+            sql = f"replace({sql}, '{_apart(a)[1:-1]}', '{_apart(b)[1:-1]}')"
+        return f"sha256(replace({sql}, '  ', ' '))"
 
     def values(known: dict[str, str]) -> str:
         return "(VALUES " + ", ".join(f"('{d}', '{n}')" for d, n in sorted(known.items())) + ") AS v(digest, name)"

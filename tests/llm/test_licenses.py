@@ -82,3 +82,20 @@ def test_long_licenses_and_gnu_notices(spark):
     assert {n: found[n].license_id for n in texts} == {n: names[n] for n in texts}
     assert {k: found[k].notice_ids for k in lines} == lines
     assert licenses.digest(texts["Apache-2.0"].split("   APPENDIX")[0]) in DIGESTS["Apache-2.0"]
+
+
+def test_spellings_side_by_side(spark):
+    text = "authorised authorised use, sub-licence sub licence: per cent per cent per cent\nwhilst\nwhilst"
+    want = "authorized authorized use sublicense sublicense percent percent percent while while"
+    assert licenses.canonical_form(text).split() == want.split()
+    row = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.text_digest == licenses.digest(want) == licenses.digest(text)
+
+
+def test_a_long_text_of_many_lines_and_a_large_table_of_licences(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "MOST_KNOWN", 1)
+    mit = LICENSES["MIT"][0]
+    rows = [(1, "one line\n" * 200_000 + "Released under the MIT License."), (2, mit), (3, mit + "\n" * 100_000)]
+    found = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (found[1].license_id, found[1].n_notices) == (None, 1)
+    assert found[2].license_id == found[3].license_id == "MIT"
