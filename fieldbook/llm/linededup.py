@@ -4,12 +4,16 @@ A line's key is the line without [\\x20\\x09-\\x0D] at its ends, A-Z in lower ca
 is the key's MD5. Hashes are counted per salt first, so a line that most documents share
 is a few rows before it is range-partitioned by hash. There the rows are sorted by hash,
 document and position, and a streaming window takes each hash's first occurrence and its
-number of documents. What comes back for a document is its keep bitmap, as runs of kept
-positions, never its text.
+number of documents. What comes back for a document that loses lines is its keep bitmap,
+compressed to runs of kept lines, never its text; the text is put together from the runs.
+
+Only documents that may lose lines meet their bitmaps in a shuffle. Which these are tells a
+hashed bit set of the losing ones, of at most ``MOST_BITS`` bits (32 MB): a small share of the
+others is shuffled too, and a larger one where more documents lose lines than that is made for.
 
 Rows are documents: a repeated row counts again. A null or empty text is one empty line;
 empty keys are never dropped. Rows are told apart by id and text hash, which decide
-their lines; null ids are ids like others.
+their lines; null ids are ids like others. Whole texts are read, whatever their length.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import cut
+from fieldbook.llm.common import cut, packed
 
 MIN_DOCS = 10
 BLANKS = " \t\n\x0b\x0c\r"
+MOST_BITS = 1 << 28
+_BUCKET = 1 << 15  # bits that bitmap_construct_agg holds
 _SALTS = 16
 
 
@@ -56,11 +62,11 @@ def frequent_lines(keys: DataFrame, min_docs: int) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
-    """(id, th, kept, keep_runs) of the rows that lose lines.
+    """(id, th, n_lines, keep) of the rows that lose lines.
 
     Lines whose key is in at least ``min_docs`` documents go: all of them, or all but the
-    first occurrence with ``keep_first``. ``kept`` are the positions of the others from 0,
-    ``keep_runs`` the same as a run-length bitmap: ``0-3,5-5``.
+    first occurrence with ``keep_first``. ``keep`` is the bitmap of the others, compressed
+    to its runs of ones: (start, length) each, from line 0.
     """
     hashes = F.transform(text_lines(F.col(text_col)), lambda line, pos: F.struct(_hash(line).alias("h"), pos.alias("pos")))
     keys = cut(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.array_sort(hashes).alias("lines")), "line-keys")
@@ -69,33 +75,66 @@ def keep_bitmaps(docs: DataFrame, id_col: str, text_col: str, min_docs: int = MI
     hits = lines.join(frequent.select("h", *[F.col(c).alias(f"first_{c}") for c in ("id", "th", "pos")]), "h")
     if keep_first:
         hits = hits.filter(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")) & (F.col("pos") == F.col("first_pos"))))
-    gone = hits.groupBy("id", "th", "n_lines").agg(F.collect_set("pos").alias("gone"))
-    kept = gone.select("id", "th", F.expr("array_except(sequence(0, n_lines - 1), gone)").alias("kept"))
-    runs = """array_join(zip_with(
-        filter(kept, (p, j) -> j = 0 or get(kept, j - 1) <> p - 1),
-        filter(kept, (p, j) -> j = size(kept) - 1 or get(kept, j + 1) <> p + 1),
-        (a, b) -> concat(a, '-', b)), ',')"""
-    return kept.withColumn("keep_runs", F.expr(runs))
+    gone = hits.groupBy("id", "th", "n_lines").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    runs = """filter(transform(sequence(0, size(gone)), i -> named_struct(
+        'start', if(i = 0, 0, get(gone, i - 1) + 1),
+        'length', if(i = size(gone), n_lines, get(gone, i)) - if(i = 0, 0, get(gone, i - 1) + 1))), r -> r.length > 0)"""
+    return gone.select("id", "th", "n_lines", F.expr(runs).alias("keep"))
+
+
+def _bit_set(bitmaps: DataFrame) -> tuple[DataFrame, int]:
+    """(bucket, bits) of the hashed rows of ``bitmaps``, and the number of buckets.
+
+    About eight bits a row, and ``MOST_BITS`` at most.
+    """
+    rows = bitmaps.count()
+    buckets = min(MOST_BITS, max(1, 8 * rows)) // _BUCKET + 1
+    position = F.pmod(_spread("id", "th"), F.lit(buckets * _BUCKET))
+    marked = bitmaps.groupBy(F.floor(position / _BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(position, F.lit(_BUCKET))).alias("bits"))
+    return marked, buckets
+
+
+def _spread(*columns) -> Column:
+    return F.xxhash64(*columns, F.lit("bit"))
+
+
+def _is_set(bits: Column, position: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1, F.lit(False))
 
 
 def with_kept_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
-    """All rows and columns of ``docs``, the text without the lines that go, with _n_lines,
-    _n_dropped and _keep_runs. A null text stays null."""
-    bitmaps = keep_bitmaps(docs, id_col, text_col, min_docs, keep_first)
-    bitmaps = bitmaps.select(*[F.col(c).alias(f"_{c}") for c in bitmaps.columns])
-    # The lines are made below the join: above it the lambda would split the text once a line.
-    others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(*others, F.col(text_col).isNull().alias("_null"), F.xxhash64(text_col).alias("_text_hash"), text_lines(F.col(text_col)).alias("_lines"))
-    rows = rows.join(bitmaps, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")), "left")
-    n_lines, untouched = F.size("_lines"), F.col("_kept").isNull()
-    text = F.when(~F.col("_null"), F.array_join("_lines", "\n"))
-    out = rows.select(
-        *[F.when(untouched, text).otherwise(F.array_join(F.transform("_kept", lambda p: F.get("_lines", p)), "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        n_lines.cast("long").alias("_n_lines"),
-        F.when(untouched, F.lit(0)).otherwise(n_lines - F.size("_kept")).cast("long").alias("_n_dropped"),
-        F.coalesce("_keep_runs", F.concat(F.lit("0-"), n_lines - 1)).alias("_keep_runs"),
+    """(row, n_lines, n_dropped, keep) of every row of ``docs``.
+
+    ``row`` is a struct of all its columns, whatever their names, with the text without the
+    lines that go; a null text stays null. ``keep`` is the compressed bitmap.
+    """
+    bitmaps = cut(keep_bitmaps(docs, id_col, text_col, min_docs, keep_first), "bitmaps")
+    marked, buckets = _bit_set(bitmaps)
+    position = F.pmod(_spread("id", "th"), F.lit(buckets * _BUCKET))
+    rows = docs.select(packed(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("position", position).withColumn("bucket", F.floor(F.col("position") / _BUCKET))
+    rows = rows.join(F.broadcast(marked), "bucket", "left").withColumn("may", _is_set(F.col("bits"), F.pmod("position", F.lit(_BUCKET))))
+    whole = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    n_lines = F.coalesce(whole, F.lit(1))
+    everything = F.array(F.struct(F.lit(0).alias("start"), n_lines.alias("length")))
+    untouched = rows.filter(~F.col("may")).select("row", n_lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), everything.alias("keep"))
+    # The lines are made below the join: above it the lambda would split the text once a run.
+    moved = rows.filter("may").select("row", "id", "th", text_lines(F.col("text")).alias("lines"))
+    found = bitmaps.select(F.col("id").alias("own_id"), F.col("th").alias("own_th"), "keep")
+    moved = moved.join(found, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th")), "left")
+    kept = F.array_join(F.flatten(F.transform("keep", lambda run: F.slice("lines", run["start"] + 1, run["length"]))), "\n")
+    n = F.size("lines")
+    text = F.when(F.col("keep").isNull(), F.col("row")[text_col]).otherwise(kept)
+    row = F.struct(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    left = F.aggregate("keep", F.lit(0), lambda total, run: total + run["length"])
+    moved = moved.select(
+        row.alias("row"),
+        n.cast("long").alias("n_lines"),
+        F.coalesce(n - left, F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce("keep", F.array(F.struct(F.lit(0).alias("start"), n.alias("length")))).alias("keep"),
     )
-    return out
+    return untouched.union(moved)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
@@ -105,8 +144,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are ignored, whatever their names; an empty table gives no rows.
     """
     rows = with_kept_lines(docs.select(id_col, text_col), id_col, text_col, min_docs)
-    digest = F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)
-    return rows.select(id_col, F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), digest.alias("kept_sha256"))
+    digest = F.sha2(F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary"), 256)
+    return rows.select(F.col("row")[id_col].alias(id_col), "n_lines", "n_dropped", digest.alias("kept_sha256"))
 
 
 SQL = """
