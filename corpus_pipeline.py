@@ -23,7 +23,7 @@ def language(spark, docs, sf_dir):
 
 def line_dedup(spark, docs, sf_dir):
     """Lines that ten documents share go from all of them; every document stays."""
-    left = linededup.with_kept_lines(docs, "doc_id", "text")
+    left = linededup.with_kept_lines(docs, "doc_id", "text").select("row.*")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(*docs.columns)
