@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from fieldbook.llm import decontam
@@ -25,7 +26,25 @@ def plain(text, items):
             if tuple(own[k : k + n]) in windows:
                 hit.update(range(k, k + n))
                 found.add(str(i))
-    return len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+    near = {str(i) for i, item in items if any(plain_near(own, window, decontam.SLOP) for window in plain_windows(item))}
+    return len(own), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit), len(near)
+
+
+def plain_windows(item):
+    w = words(item)
+    n = min(10, len(w))
+    return {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+
+
+def plain_near(own, window, slop):
+    """The shortest (start, span) at which the window's words come in order with few others."""
+    found = set()
+    for start in (k for k, w in enumerate(own) if w == window[0]):
+        ends = {start}
+        for word in window[1:]:
+            ends = {k for e in ends for k in range(e + 1, min(len(own), start + len(window) + slop)) if own[k] == word}
+        found |= {(start, min(ends) - start + 1)} if ends else set()
+    return sorted((s, n) for s, n in found if not any((a, m) != (s, n) and a >= s and a + m <= s + n for a, m in found))
 
 
 @pytest.fixture(scope="module")
@@ -61,6 +80,7 @@ def test_segments_slices_and_blocks_change_nothing(corpus, monkeypatch):
     monkeypatch.setattr(decontam, "_CANDIDATES", 7)
     check(corpus)
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 3)
     check(corpus)
 
 
@@ -70,7 +90,29 @@ def test_stored_index_gives_phrases_and_proximity(spark):
     exact = decontam.matches(index, [("i", b"b c")]).collect()
     assert sorted(tuple(r) for r in exact) == [(1, "i", "phrase", 1, 2), (3, "i", "phrase", 5, 2), (4, "i", "phrase", 2, 2)]
     near = decontam.matches(index, [("i", b"a b c")], slop=1).collect()
-    assert sorted(tuple(r) for r in near) == [(1, "i", "phrase", 0, 3), (2, "i", "proximity", 0, 4), (4, "i", "proximity", 0, 4)]
+    assert sorted(tuple(r) for r in near) == [(1, "i", "phrase", 0, 3), (4, "i", "proximity", 0, 4)]
+    again = decontam.search(index, spark.createDataFrame([(7, "x b"), (8, "e")], "item_id long, text string")).filter("size(items) > 0").collect()
+    assert sorted((r.id, r.n_words, r.hits, r["items"]) for r in again) == [(1, 5, [4, 5], ["8"]), (2, 4, [1, 3], ["7"])]
+
+
+def test_an_index_holds_all_postings(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c a")], "id long, text string").coalesce(1)
+    row = decontam.build_index(docs, "id", "text").first()
+    steps = np.frombuffer(row.positions, np.int32)
+    lists = np.split(np.cumsum(steps), np.cumsum(row.n)[:-1])
+    assert {bytes(t): x.tolist() for t, x in zip(row.terms, lists)} == {b"a": [0, 2, 4], b"b": [1], b"c": [3]}
+
+
+@pytest.mark.parametrize("slop", [1, 2, 5])
+def test_proximity_against_plain(spark, slop):
+    draw = random.Random(slop)
+    text = lambda n, names: " ".join(draw.choice(names) for _ in range(n))
+    rows = [(k, text(draw.randint(0, 120), "aabbcdefgh")) for k in range(60)]
+    items = [(str(k), text(draw.randint(1, 6), "aabcdefgh").encode()) for k in range(40)]
+    index = decontam.build_index(spark.createDataFrame(rows, "id long, text string"), "id", "text")
+    got = sorted((r.id, r.item_id, r.start, r.span) for r in decontam.matches(index, items, slop).collect())
+    want = sorted((k, i, s, n) for k, t in rows for i, item in items for s, n in plain_near(words(t), tuple(words(item.decode())), slop))
+    assert got == want and len(want) > 300
 
 
 def test_empty_tables(spark, docs, no_docs):
