@@ -1,40 +1,42 @@
 """Toxicity by a linear model on character n-grams, scaled by naive Bayes ratios.
 
-Features are the presence of n-grams of ``ORDERS`` bytes of the text, A-Z in lower case,
-in ``BUCKETS`` hash buckets. With p and q the smoothed shares of a bucket in the documents
-of either class, a feature's value is its log-count ratio r = log(p/q) (Wang and Manning,
-"Baselines and Bigrams", 2012); a logistic model with a quadratic penalty is fitted on top.
-Only the ``FEATURES`` buckets whose shares differ most between the classes, by at least
-``EVIDENCE`` standard errors, are kept, so that scoring looks up each n-gram and adds up few.
-
-The model is learned from a bounded sample: the ``ROWS`` labelled rows of the learning
-fold that come first by a hash of their id, of at most ``ROW_BYTES`` bytes each, whole.
-Scores cover every n-gram of every text. A null or empty text scores as one without
-n-grams. With one class or none in the sample, all scores are the smoothed share of toxic rows.
+Features are the presence of n-grams of ``ORDERS`` characters of the text in lower case, in
+2^``BUCKETS`` hash buckets. With p and q the smoothed shares of a bucket in the documents of
+either class, a feature's value is its log-count ratio log(p/q) (Wang and Manning, "Baselines
+and Bigrams", 2012), drawn towards 0 by ``EVIDENCE`` of its standard errors, so that an n-gram
+counts for as much as its rows show; a logistic model with a quadratic penalty is fitted on
+top. No feature is left out otherwise, however many there are.
+
+The model is learned from a bounded sample: the ``ROWS`` labelled rows of the learning fold
+that come first by a hash of their id, of at most ``ROW_BYTES`` bytes each, whole, and of
+``SAMPLE_BYTES`` together. Their n-grams are counted by class in an aggregation; the driver
+sees the counts (12 bytes a bucket) and each row's features, not the texts. Scores cover every
+n-gram of every text, whatever its length. A null or empty text scores as one without n-grams.
+With one class or none in the sample, all scores are the smoothed share of toxic rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import cut, map_arrow, slices
+from fieldbook.llm.common import cut, drop, map_arrow, packed, slices
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 22  # as a power of two
-FEATURES = 8192
-EVIDENCE = 4.0
-LEAST_ROWS = 5
-ROWS = 6144
+EVIDENCE = 3.0
+ROWS = 8192
 ROW_BYTES = 1 << 16
+SAMPLE_BYTES = 32 << 20
 PENALTY = 1.0
-_BREAK = 0xFF  # not a byte of UTF-8
-_WINDOW = 1 << 20
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_TASKS = 8
+_BREAK = "\udfff"  # no text holds it
+_WINDOW = 1 << 19
 
 
 def fold(id_col: str) -> Column:
@@ -42,12 +44,18 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
+def characters(texts: Iterable[bytes]) -> np.ndarray:
+    """The characters of the texts in lower case as numbers, a break behind each text."""
+    joined = "".join(t.decode("utf-8", "replace").lower() + _BREAK for t in texts)
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def _buckets(data: np.ndarray):
-    """For each order, the bucket of the n-gram that starts at each byte; -1 over a break."""
+    """For each order, the bucket of the n-gram that starts at each character; -1 over a break."""
     n, hashes = len(data), np.zeros(len(data), np.uint32)
-    broken = np.flatnonzero(data == _BREAK)
+    broken = np.flatnonzero(data == ord(_BREAK))
     for order in range(1, max(ORDERS) + 1):
-        hashes = hashes[: n - order + 1] * np.uint32(0x01000193) + data[order - 1 : n].astype(np.uint32) + np.uint32(order)
+        hashes = hashes[: n - order + 1] * np.uint32(0x01000193) + data[order - 1 : n] + np.uint32(order)
         if len(hashes) == 0:
             return
         if order in ORDERS:
@@ -55,12 +63,12 @@ def _buckets(data: np.ndarray):
             for back in range(order):
                 at = broken - back
                 found[at[(at >= 0) & (at < len(found))]] = -1
-            yield order, found
+            yield found
 
 
-def _present(text: bytes, column: np.ndarray | None = None) -> np.ndarray:
+def present(text: bytes, column: np.ndarray | None = None) -> np.ndarray:
     """The distinct buckets of one text, or the columns of those that have one."""
-    found = [b[b >= 0] for _, b in _buckets(np.frombuffer(text.translate(_LOWER), np.uint8))]
+    found = [b[b >= 0] for b in _buckets(characters([text]))]
     if column is not None:
         found = [x[x >= 0] for x in (column[b] for b in found)]
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
@@ -68,7 +76,7 @@ def _present(text: bytes, column: np.ndarray | None = None) -> np.ndarray:
 
 @dataclass
 class Model:
-    weight: np.ndarray  # of every bucket; 0 where it is not a feature
+    weight: np.ndarray  # of every bucket; 0 where it is of no evidence
     intercept: float
 
     def __post_init__(self):
@@ -77,54 +85,68 @@ class Model:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The probability of every text, from all its n-grams."""
         total = np.full(len(texts), self.intercept)
-        joined = np.frombuffer((bytes([_BREAK]).join(texts) + bytes([_BREAK])).translate(_LOWER), np.uint8)
-        ends = np.cumsum([len(t) + 1 for t in texts])
+        data = characters(texts)
+        ends = np.flatnonzero(data == ord(_BREAK)) + 1
         pairs = []
-        for start in range(0, len(joined), _WINDOW):
-            part = joined[start : start + _WINDOW + max(ORDERS) - 1]
-            for _, bucket in _buckets(part):
+        for start in range(0, len(data), _WINDOW):
+            for bucket in _buckets(data[start : start + _WINDOW + max(ORDERS) - 1]):
                 bucket = bucket[:_WINDOW]
                 at = np.flatnonzero(self.used[bucket] & (bucket >= 0))
                 if len(at):
                     pairs.append(np.unique(np.searchsorted(ends, start + at, "right").astype(np.int64) << BUCKETS | bucket[at]))
         if pairs:
-            present = np.unique(np.concatenate(pairs))
-            np.add.at(total, present >> BUCKETS, self.weight[present & ((1 << BUCKETS) - 1)])
+            met = np.unique(np.concatenate(pairs))
+            np.add.at(total, met >> BUCKETS, self.weight[met & ((1 << BUCKETS) - 1)])
         return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
 
 
+def class_counts(rows: Iterable[tuple[int, bytes]]) -> np.ndarray:
+    """(2, buckets): the rows of either class that hold each bucket."""
+    counts = np.zeros((2, 1 << BUCKETS), np.int32)
+    for label, text in rows:
+        counts[label, present(text)] += 1
+    return counts
+
+
+def ratios(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The log-count ratio of each bucket (column), drawn towards 0 by its standard errors."""
+    n, rows = counts + 1.0, rows[:, None] + 2.0
+    ratio = np.log(n[1] / rows[1]) - np.log(n[0] / rows[0])
+    error = np.sqrt((1 / n - 1 / rows).sum(0))
+    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - EVIDENCE * error)
+
+
+def constant(rows: np.ndarray) -> Model:
+    share = (rows[1] + 0.5) / (rows.sum() + 1)
+    return Model(np.zeros(1 << BUCKETS, np.float32), float(np.log(share / (1 - share))))
+
+
+def fitted(bucket: np.ndarray, ratio: np.ndarray, features: list[np.ndarray], toxic: np.ndarray) -> Model:
+    """The model of rows whose features are places in ``bucket``."""
+    owner = np.repeat(np.arange(len(features)), [len(x) for x in features])
+    feature = np.concatenate(features)
+    coef, intercept = _logistic(owner, feature, ratio[feature], toxic, len(bucket))
+    weight = np.zeros(1 << BUCKETS, np.float32)
+    weight[bucket] = coef * ratio
+    return Model(weight, intercept)
+
+
+def _columns(bucket: np.ndarray) -> np.ndarray:
+    column = np.full(1 << BUCKETS, -1, np.int32)
+    column[bucket] = np.arange(len(bucket))
+    return column
+
+
 def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     """A model of the given documents; toxic is 1 or 0 for each."""
-    size, toxic = 1 << BUCKETS, np.asarray(toxic, np.int64)
-    share = (toxic.sum() + 0.5) / (len(toxic) + 1)
-    constant = Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
-    if not 0 < toxic.sum() < len(toxic):
-        return constant
-    # Two passes over the texts, so that only the kept features are ever held.
-    counts = np.zeros((2, size), np.int32)
-    for label, text in zip(toxic, texts):
-        counts[label, _present(text)] += 1
+    toxic = np.asarray(toxic, np.int64)
     rows = np.bincount(toxic, minlength=2)
-    n = counts.sum(0)
-    ratio = np.log((counts[1] + 1) / (rows[1] + 2)) - np.log((counts[0] + 1) / (rows[0] + 2))
-    pooled = n / len(toxic)
-    gap = np.abs(counts[1] / rows[1] - counts[0] / rows[0])
-    evidence = np.where(n >= LEAST_ROWS, gap / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / rows[0] + 1 / rows[1])), 0)
-    evidence[evidence < EVIDENCE] = 0
-    kept = np.sort(np.argsort(-evidence, kind="stable")[:FEATURES])
-    kept = kept[evidence[kept] > 0]
-    if not len(kept):
-        return constant
-    column = np.full(size, -1, np.int32)
-    column[kept] = np.arange(len(kept))
-    held = [_present(text, column) for text in texts]
-    owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
-    feature = np.concatenate(held)
-    value = ratio[kept][feature]
-    coef, intercept = _logistic(owner, feature, value, toxic, len(kept))
-    weight = np.zeros(size, np.float32)
-    weight[kept] = coef * ratio[kept]
-    return Model(weight, intercept)
+    ratio = ratios(class_counts(zip(toxic, texts)), rows) if rows.all() else np.zeros(1 << BUCKETS)
+    bucket = np.flatnonzero(ratio)
+    if not len(bucket):
+        return constant(rows)
+    column = _columns(bucket)
+    return fitted(bucket, ratio[bucket], [present(t, column) for t in texts], toxic)
 
 
 def _logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
@@ -168,46 +190,94 @@ def _logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndar
     return w, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    known = labels.filter((fold(id_col) != 0) & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y"))
-    # A bounded number of ids: ROWS of them.
-    chosen = cut(known.orderBy(F.xxhash64(id_col), id_col).limit(ROWS).select(F.col(id_col).alias("id"), "y"), "labelled")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).filter((F.octet_length("text") > 0) & (F.octet_length("text") <= ROW_BYTES))
-    found = sorted(rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "y", "text").collect())
-    return train([bytes(r[2]) for r in found], np.array([r[1] for r in found], np.int64))
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, y, text) of the labelled rows that the model is learned from, as a written table.
 
+    They are chosen by ids and sizes first; texts are only read for the chosen ones.
+    """
+    known = labels.filter((fold(id_col) != 0) & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    size = F.octet_length(text_col)
+    texts = docs.filter((size > 0) & (size <= ROW_BYTES))
+    sizes = texts.groupBy(F.col(id_col).alias("id")).agg(F.max(size).alias("size"))
+    first = known.join(sizes, "id").orderBy(F.xxhash64("id"), "id").limit(ROWS)
+    # A window over ROWS rows at most.
+    running = F.sum("size").over(Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = cut(first.withColumn("upto", running).filter(F.col("upto") <= SAMPLE_BYTES).select("id", "y"), "labelled")
+    rows = texts.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    return cut(rows.repartition(_TASKS, "id"), "labelled-texts")
 
-def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with score and predicted (1 from 0.5 on).
 
-    Columns of those names in ``docs`` are replaced.
-    """
-    added = ["score", "predicted"]
-    kept = [c for c in docs.columns if c not in added]
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    known = sample(docs, labels, id_col, text_col, label_col)
+    rows = np.zeros(2, np.int64)
+    for y, n in known.groupBy("y").count().collect():
+        rows[y] = n
+    if not rows.all():
+        return constant(rows)
+
+    def count(batches):
+        counts = class_counts((y, t) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        bucket = np.flatnonzero(counts.any(0)).astype(np.int32)
+        for at in range(0, len(bucket), 1 << 16):
+            some = bucket[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["bucket", "clean", "toxic"])
+
+    partial = map_arrow(known.select("y", "text"), count, "bucket int, clean int, toxic int")
+    found = partial.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    bucket = found.column("bucket").to_numpy()
+    ratio = ratios(np.array([found.column("clean").to_numpy(), found.column("toxic").to_numpy()]), rows)
+    order = np.argsort(bucket)
+    order = order[ratio[order] != 0]
+    bucket, ratio = bucket[order], ratio[order]
+    if not len(bucket):
+        return constant(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(bucket)
+
+    def describe(batches):
+        column = _columns(shared.value)
+        for batch in batches:
+            features = [present(t, column).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features, pa.binary())], ["id", "y", "features"])
+
+    kind = known.schema["id"].dataType.simpleString()
+    rows = map_arrow(known, describe, f"id {kind}, y int, features binary").toArrow().sort_by("id")
+    drop(known)
+    features = [np.frombuffer(x, "<i4") for x in rows.column("features").to_pylist()]
+    return fitted(bucket, ratio, features, rows.column("y").to_numpy().astype(np.int64))
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """(row, score, predicted) of rows (row, text): their own columns, and the text as bytes."""
     used = np.flatnonzero(model.weight).astype(np.int32)
-    shared = docs.sparkSession.sparkContext.broadcast((used, model.weight[used], model.intercept))
+    shared = rows.sparkSession.sparkContext.broadcast((used, model.weight[used], model.intercept))
 
     def run(batches):
         used, weights, intercept = shared.value
         weight = np.zeros(1 << BUCKETS, np.float32)
         weight[used] = weights
         model = Model(weight, intercept)
-        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
-            scores = model.scores([x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()])
-            extra = [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], [*kept, *added])
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            scores = model.scores([x or b"" for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
+
+    return map_arrow(rows, run, rows.select("row").schema.add("score", "double").add("predicted", "integer"))
 
-    rows = docs.select(*kept, F.col(text_col).cast("binary").alias("_bytes"))
-    return map_arrow(rows, run, docs.select(*kept).schema.add("score", "double").add("predicted", "integer"))
+
+def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(row, score, predicted) of every row; ``row`` is a struct of all columns of ``docs``,
+    whatever their names, predicted 1 from a score of 0.5 on. A null text scores as an empty one."""
+    return _scored(docs.select(packed(docs).alias("row"), F.col(text_col).cast("binary").alias("text")), model)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(id, held_out, score, predicted) of every row; learned from the other fold's labels.
 
     A null id is in no fold: not held out and not learned from. Labels other than 0 and 1 are
-    none; an id that has both is toxic. Repeated rows score alike. Other columns are ignored;
-    an empty table gives no rows.
+    none; an id that has both is toxic. Repeated rows score alike; texts of any length are
+    scored whole. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     model = fit(docs, labels, id_col, text_col, label_col)
-    rows = docs.select(F.col(id_col), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), F.col(text_col).alias("_text"))
-    return score_texts(rows, model, "_text").select(id_col, "held_out", "score", "predicted")
+    own = F.struct(F.col(id_col).alias("id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"))
+    scored = _scored(docs.select(own.alias("row"), F.col(text_col).cast("binary").alias("text")), model)
+    return scored.select(F.col("row.id").alias(id_col), "row.held_out", "score", "predicted")
