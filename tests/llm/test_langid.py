@@ -12,47 +12,92 @@ import pytest
 from fieldbook.llm import langid
 
 
-def plain_bits(samples, text, order):
-    """The definition, byte by byte, with contexts seen less than MIN_COUNT times left out."""
+def counts_of(samples, order):
     after = defaultdict(Counter)
     for sample in samples:
         for at in range(len(sample)):
             for k in range(min(order, at) + 1):
                 after[sample[at - k : at]][sample[at]] += 1
+    return after
+
 
-    def p(context, byte):
-        if context is None:
-            return 1 / 256
-        shorter = context[1:] if context else None
-        seen = after.get(context)
-        if not seen or (context and sum(seen.values()) < langid.MIN_COUNT):
-            return p(shorter, byte)
-        total, distinct = sum(seen.values()), len(seen)
-        if byte in seen:
-            return seen[byte] / (total + distinct)
-        left = 1 - sum(p(shorter, b) for b in seen)
-        return distinct / (total + distinct) * p(shorter, byte) / left
+def plain_p(after, context, byte):
+    """The definition, byte by byte."""
+    if context is None:
+        return 1 / 256
+    shorter = context[1:] if context else None
+    seen = after.get(context)
+    if not seen:
+        return plain_p(after, shorter, byte)
+    total, distinct = sum(seen.values()), len(seen)
+    if byte in seen:
+        return seen[byte] / (total + distinct)
+    left = 1 - sum(plain_p(after, shorter, b) for b in seen)
+    return distinct / (total + distinct) * plain_p(after, shorter, byte) / left
 
-    return sum(-math.log2(p(text[max(0, at - order) : at], text[at])) for at in range(len(text)))
+
+def plain_bits(samples, text, order):
+    after = counts_of(samples, order)
+    return sum(-math.log2(plain_p(after, text[max(0, at - order) : at], text[at])) for at in range(len(text)))
 
 
 def test_code_lengths_are_exact(monkeypatch):
-    samples = {"a": [b"abracadabra abra", b"cad abra"], "b": [b"banana bandana", b"xyz"]}
-    model = langid.train(samples)
-    texts = [b"abracabana", b"", b"zzz \xc3\xa9", b"banana"]
-    got = model.code_lengths(texts)
-    for i, text in enumerate(texts):
-        for j, lang in enumerate(model.langs):
-            assert got[i, j] == pytest.approx(plain_bits(samples[lang], text, langid.ORDER), rel=1e-4)
+    samples = {"a": [b"abracadabra abra", b"cad abra"], "b": [b"banana bandana", b"xyz"], "c": ["öäü äöü".encode()]}
+    texts = [b"abracabana", b"", b"zzz \xc3\xa9", b"banana", "öä".encode()]
+    for order in (0, 2, 3, 5):
+        model = langid.train(samples, order)
+        got = model.code_lengths(texts)
+        for i, text in enumerate(texts):
+            for j, lang in enumerate(model.langs):
+                assert got[i, j] == pytest.approx(plain_bits(samples[lang], text, order), rel=1e-4)
     monkeypatch.setattr(langid, "_WINDOW", 3)
     assert np.allclose(model.code_lengths(texts), got)
+    monkeypatch.setattr(langid, "_TABLE", 6)  # grams share two slots
+    model = langid.train(samples, order)
+    assert model._slots == 2 and np.allclose(model.code_lengths(texts), got) and np.allclose(model.code_lengths(texts), got)
 
 
 def test_probabilities_add_up():
-    model = langid.train({"a": [b"some text of one kind, some more"], "b": ["öäü äöü".encode()]})
-    p = np.exp2(-model.bits.astype(float))
-    seen = model.child.shape[1] - 2
-    assert np.allclose(p[:, :seen].sum(1) + p[:, seen] * (256 - seen), 1, atol=1e-5)
+    for sample in ([b"some text of one kind, some more"], ["öäü äöü".encode()], [bytes(range(255)) * 2]):
+        one = langid.tree(sample, 2)
+        for context in (b"\x00\x00", b"so", b"me", sample[0][:2], b"\xff\xff"):
+            grams = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
+            assert np.exp2(-one.code_lengths(grams)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_a_model_grows_with_its_samples_and_not_with_the_square_of_languages():
+    def size(model):
+        return sum(x.nbytes for t in model.trees for part in (t.grams, t.bits, t.contexts, t.escapes) for x in part)
+
+    draw = np.random.default_rng(0)
+    samples = {f"l{k}": [bytes(draw.integers(97, 123, 400).tolist())] for k in range(300)}
+    one = size(langid.train({"l0": samples["l0"]}))
+    model = langid.train(samples)
+    assert size(model) < 400 * one
+    assert [model.langs[k] for k in model.code_lengths([samples[x][0] for x in model.langs]).argmin(1)] == model.langs
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 4000)
+    rows = [(k, f"text {k} " * 30, f"l{k % 10}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.training_rows(docs, "doc_id", "text", "lang").collect()
+    assert {r.lang for r in found} == {f"l{k}" for k in range(10)}
+    assert sum(len(r.text) for r in found) <= 2 * 4000
+
+
+def test_recognised(spark):
+    draw = np.random.default_rng(1)
+    english, german = "the cat and the dog went to the river ", "der hund und die katze gehen an den fluss "
+    noise = "".join(map(chr, draw.integers(97, 123, 400)))
+    texts = [english * 3, german, "the", "a", "die katze", noise, "Ωμέγα και άλφα", "日本語の文章です", None, "", "12 34", english + noise[:20]]
+    docs = spark.createDataFrame([(k, t, "s", 0.5) for k, t in enumerate(texts)], "doc_id long, text string, lang_pred string, score double")
+    model = langid.train({"en": [(english * 5).encode()], "de": [(german * 5).encode()]})
+    got = langid.recognised(docs, model)
+    assert got.columns == docs.columns and {r.doc_id for r in got.collect()} == {0, 1, 2, 3, 4, 11}
+    assert {(r.lang_pred, r.score) for r in got.collect()} == {("s", 0.5)}
+    nothing = langid.recognised(docs, langid.train({}))
+    assert {r.doc_id for r in nothing.collect()} == {0, 1, 2, 3, 4, 5, 6, 7, 11}
 
 
 def test_held_out_accuracy(spark):
@@ -66,7 +111,7 @@ def test_held_out_accuracy(spark):
 
 def test_hard_cases(docs, no_docs):
     model = langid.train({"x": [b"word and words"], "y": [b"other"]})
-    got = {(r.doc_id, r.text): r for r in langid.identify(docs, model).collect()}
+    got = {(r.row.doc_id, r.row.text): r for r in langid.identify(docs, model).collect()}
     assert all(got[k, t].lang_pred == "und" and got[k, t].score == 0 for k, t in [(0, None), (1, ""), (2, "   "), (3, "12 34 !!")])
     assert got[4, "word"].lang_pred == "x"
     assert langid.identify(docs, model).count() == docs.count()
