@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import connected_components, cut, drop, map_arrow
+from fieldbook.llm.common import connected_components, cut, drop, map_arrow, packed
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts without words (null, empty, blank) have fingerprint zero and are linked like any
     other. component_id is the least id reachable over links; rows with equal ids keep
     their own fingerprints, a null id never is a component's id unless all of it are null.
-    Other columns are ignored; an empty table gives no rows.
+    Whole texts are read, whatever their length. Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     prints = cut(with_fingerprint(docs, id_col, text_col), "prints")
@@ -180,12 +181,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the one with the
-    least id (null first) stays; of rows that repeat its id and text, one."""
+    least id (null first) stays; of rows that repeat its id and text, the one whose other
+    columns hash least (maps are not looked at).
+
+    Whole texts are read, null and blank ones like empty ones, which are linked like any
+    other. All columns stay as they are, whatever their names; an empty table gives no rows.
+    """
     prints = cut(with_fingerprint(docs, id_col, text_col), "prints")
+    own = ["own_id", "own_th"]
+    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th"))
     gone = prints.join(_classes(prints).select("fp", "first"), "fp").filter(~F.struct("id", "th").eqNullSafe(F.col("first")))
-    gone = cut(gone.select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct(), "duplicates")
-    left = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left_anti")
-    if prints.groupBy("id", "th").count().filter("count > 1").isEmpty():
-        return left
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
-    return left.withColumn("_key", key).dropDuplicates(["_key"]).drop("_key")
+    gone = cut(gone.select("id", "th").distinct().toDF(*own), "duplicates")
+    rows = docs.select(packed(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    left = rows.join(gone, same, "left_anti")
+    again = cut(prints.groupBy("id", "th").count().filter("count > 1").select("id", "th").toDF(*own), "repeated")
+    if again.isEmpty():
+        return left.select("row.*")
+    hashed = F.xxhash64(*[F.col("row")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    once = left.join(again, same, "left_semi").groupBy("id", "th").agg(F.min_by("row", hashed).alias("row"))
+    return left.join(again, same, "left_anti").select("row").union(once.select("row")).select("row.*")

@@ -6,7 +6,9 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, fp long, id long, label string, key string"
+#: Names that the operators use themselves, or add.
+CLASHES = "th fp id label key row score lang_pred held_out _th _id _lines _kept _null _text_hash _letters _bytes _key _n_lines n_lines keep lines letters own_id own_th bucket position may hits items near h y size predicted".split()
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
 def words(seed: int, n: int) -> str:
@@ -25,8 +27,9 @@ def texts():
 
 @pytest.fixture(scope="session")
 def docs(spark, texts):
-    rows = [(i, t, "xy"[i % 2] if t else None, f"s{i % 3}", len(t or ""), 1, 2, 3, "l", "k") for i, t in enumerate(texts)]
-    rows += [rows[5], (None, "a null id", "x", None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None)]
+    n = len(CLASHES)
+    rows = [(i, t, "xy"[i % 2] if t else None, f"s{i % 3}", len(t or ""), *[f"{c} {i}" for c in CLASHES]) for i, t in enumerate(texts)]
+    rows += [rows[5], (None, "a null id", "x", None, None, *[None] * n), (None, None, None, None, None, *[None] * n)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 

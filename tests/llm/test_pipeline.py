@@ -55,14 +55,39 @@ def test_stages_keep_the_columns_and_take_hard_cases(spark, sf, docs, no_docs):
         assert corpus_pipeline.STAGES[-1][1](spark, rows, sf).count() == rows.count()
 
 
+def test_columns_keep_their_values(spark, sf, docs):
+    whole = {(r.doc_id, r.source, r.key): r.asDict() for r in docs.collect()}
+    changed = {"text", "n_chars"}
+    rows = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = stage(spark, rows, sf)
+        found = [r.asDict() for r in rows.collect()]
+        assert len(found) > 10, name
+        for r in found:
+            before = whole[r["doc_id"], r["source"], r["key"]]
+            assert {k: v for k, v in r.items() if k not in changed} == {k: v for k, v in before.items() if k not in changed}, name
+
+
+def test_repeated_rows_leave_a_defined_one(spark):
+    rows = [(1, "some words here", s, k) for k, s in enumerate("zyxw")] + [(2, "other text of its own", "v", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key long")
+    got = [{tuple(r) for r in corpus_pipeline.near_dedup(spark, docs.repartition(n).orderBy(F.desc("source") if n % 2 else "source"), "").collect()} for n in range(1, 4)]
+    assert len(got[0]) == 2 and got[0] == got[1] == got[2] and got[0] <= set(rows)
+
+
 def test_rejected_languages(spark, sf, docs):
-    kept = {(r.doc_id, r.text) for r in corpus_pipeline.language(spark, docs, sf).collect()}
-    assert (4, "word") in kept and not {(0, None), (1, ""), (3, "12 34 !!")} & kept
+    noise = "".join(chr(97 + (k * k * 7 + k * 3 + (k >> 3) * 11) * 2654435761 % 2**32 % 26) for k in range(600))
+    more = spark.createDataFrame([(900, noise), (901, "Ωμέγα και άλφα και βήτα"), (902, "zzzz")], "doc_id long, text string")
+    real = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.language(spark, docs.unionByName(more, allowMissingColumns=True).unionByName(real, allowMissingColumns=True), sf).collect()}
+    assert (4, "word") in kept and not {(0, None), (1, ""), (3, "12 34 !!"), (900, noise)} & kept
+    assert not {i for i, _ in kept} & {900, 901}
+    assert {(r.doc_id, r.text) for r in real.collect()} <= kept
     assert langid.UNKNOWN == "und"
 
 
 def test_a_corpus_without_labels_is_kept(spark, sf, docs):
-    want = sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.language(spark, docs, sf).collect())
+    want = sorted((r.doc_id or -1, r.text) for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect())
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     got = sorted((r.doc_id or -1, r.text) for r in corpus_pipeline.language(spark, bare, sf).collect())
     assert got == want and len(got) > 20
@@ -73,4 +98,4 @@ def test_a_language_of_long_rows_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(docs)
     assert model.langs == ["de", "en"]
-    assert {(r.lang, r.lang_pred) for r in langid.identify(docs, model).collect()} == {("de", "de"), ("en", "en")}
+    assert {(r.row.lang, r.lang_pred) for r in langid.identify(docs, model).collect()} == {("de", "de"), ("en", "en")}
