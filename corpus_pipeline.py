@@ -1,7 +1,8 @@
 """Corpus pipeline: stages over ``documents``, each written as Parquet and read again.
 
 Every stage works on all rows that the one before it kept, and its decisions take effect.
-All but the last return the columns of ``documents``. Rows are told apart by id and text.
+All but the last return the columns of ``documents`` as they are, whatever else is among
+them and whatever its name. Rows are told apart by id and text.
 """
 
 from __future__ import annotations
@@ -9,20 +10,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldbook.llm import bpe, decontam, langid, linededup, simhash
-from fieldbook.llm.common import cut
+from fieldbook.llm.common import cut, packed
 from fieldbook.llm.queries import public_vocabulary
 
 
 def language(spark, docs, sf_dir):
-    """Documents without a language go: a null text, or one without a letter."""
-    found = langid.identify(docs, langid.fit(docs, "doc_id", "text", "lang"), "text")
-    # Where no tree can be learned nothing has a language, which is no reason to reject a text.
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) | letters).select(*docs.columns)
+    """Documents in no language of the corpus go.
+
+    The trees of the languages are learned from the labelled documents. A document goes if
+    its text is null or has no letter, or if its shortest code is clearly longer than one
+    that looks at no context (``langid.recognised``); without any label, only the former.
+    Texts are read whole; repeated rows stay or go together; an empty table stays empty.
+    """
+    return langid.recognised(docs, langid.fit(docs, "doc_id", "text", "lang"), "text")
 
 
 def line_dedup(spark, docs, sf_dir):
-    """Lines that ten documents share go from all of them; every document stays."""
+    """Lines that ten documents share go from all of them; every document stays.
+
+    A null text stays null; one whose lines all go becomes empty. n_chars, where there is
+    one, is counted anew. Repeated rows are documents of their own.
+    """
     left = linededup.with_kept_lines(docs, "doc_id", "text").select("row.*")
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -30,21 +38,31 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of near-duplicates stays: the one with the least id."""
+    """One document of each group of near-duplicates stays: the one with the least id.
+
+    Links are those of op2: 3-word shingles, at most 3 of 64 bits apart. Null, empty and
+    blank texts are one group; of rows that repeat an id and text one stays.
+    """
     return simhash.deduplicate(docs, "doc_id", "text")
 
 
 def decontamination(spark, docs, sf_dir):
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go.
+
+    A null or empty text has no words and stays. Rows of equal text stay or go together, so
+    they are matched by the SHA-256 of their texts, whatever their ids or other columns.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    texts = docs.select(F.xxhash64("text").alias("_th"), "text")
-    found = decontam.contaminated_words(texts, items, "_th", "text", "item_id", "text")
-    hit = cut(found.filter(F.size("hits") > 0).select(F.col("id").alias("_th")).distinct(), "contaminated")
-    return docs.join(hit, F.xxhash64("text") == F.col("_th"), "left_anti")
+    texts = docs.select(F.sha2("text", 256).alias("digest"), "text").filter(F.length("text") > 0)
+    found = decontam.contaminated_words(texts, items, "digest", "text", "item_id", "text")
+    hit = cut(found.filter(F.size("hits") > 0).select(F.col("id").alias("digest")).distinct(), "contaminated")
+    rows = docs.select(packed(docs).alias("row"), F.sha2("text", 256).alias("digest"))
+    return rows.join(hit, "digest", "left_anti").select("row.*")
 
 
 def tokens(spark, docs, sf_dir):
-    """The token counts and digests of what is left."""
+    """The token counts and digests of what is left: a row for each document, repeated ones
+    and empty texts too; a null text counts as empty."""
     return bpe.token_digests(docs, public_vocabulary(), "doc_id", "text")
 
 
