@@ -1,30 +1,36 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
 Vectors are compared only within one label (and dimension). Equal vectors of a label are one
-node. Labels of more than ``SHARD_ROWS`` nodes are cut into overlapping cluster shards: a
-node belongs to its nearest centroid and to each other one whose border is within half the
-greatest distance of a linked pair. The border lies between the two ends of a pair whose
-nearest centroids differ, so one end at least is in the other's shard: no pair is lost to the
-cut. Each shard builds a flat graph: a node's nearest nodes and some drawn at
-random, robustly pruned (an edge goes if a kept neighbour is ``ALPHA`` times nearer to its
-end), with the reverse edges, ``DEGREE`` at most (Subramanya et al., "DiskANN", 2019). The
-adjacency lists of a node's shards are united. Every node then runs a greedy search in
-its shards, from the shard's medoids and its own place, that expands over everything within
-the range (Manohar et al., "Range retrieval with graph-based indices", 2025); what it meets is verified by
-the cosine in double precision, so no pair below the bound is linked.
-
-Each shard audits its recall against all pairs on up to ``AUDIT`` nodes; if it finds less
-than ``LEAST_RECALL``, it compares all its pairs. A shard of more than ``LARGEST`` rows (a
-dense group of different vectors) is never one task: its blocks are compared tile by tile.
-
-Centroids come from a sample of about ``SAMPLE`` nodes, and there are ``MOST_CENTROIDS`` at
-most; all nodes are indexed and searched. Null labels, and vectors that are null, empty, zero or
-hold a null or non-finite component, link with nothing.
+node. A shard, at first a whole label, of more than ``SHARD_ROWS`` nodes is split around up to
+``CHILDREN`` centroids of a sample of it, and so on: a node belongs to its nearest centroid and to
+each other one whose border is within half the greatest distance of a linked pair. The border
+lies between the two ends of a pair whose nearest centroids differ, so one end at least is in
+the other's part: no pair is lost to a split, at any depth. Centroids travel as rows ahead of
+the nodes of their shard, so neither the driver nor any one task holds those of all shards.
+
+Each shard builds a flat graph by insertion: batches of nodes search the graph so far, take
+what they met as their neighbours after robust pruning (an edge goes if a kept neighbour is
+``ALPHA`` times nearer to its end), and give reverse edges, ``DEGREE`` at most (Subramanya et
+al., "DiskANN", 2019; Manohar et al., "ParlayANN", 2024). The adjacency lists of a node's
+shards are united. Every node then runs a greedy search in its shards, from the shard's
+medoids and its own place, that expands over everything within the range (Manohar et al.,
+"Range retrieval with graph-based indices", 2025); what it meets is verified by the cosine in
+double precision, so no pair below the bound is linked.
+
+Each shard audits its recall against all others on one node in ``AUDIT_EVERY``; if it finds
+less than ``LEAST_RECALL`` of their links, it compares all its pairs. Nodes so dense that a split
+does not part them stay one shard; one of more than ``LARGEST`` rows is never one task: its
+blocks are compared tile by tile, exactly.
+
+Centroids come from samples of about ``SAMPLE`` nodes a shard; all nodes are indexed and
+searched. Null labels, and vectors that are null, empty, zero or hold a null or non-finite
+component, link with nothing.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,20 +40,21 @@ from pyspark.sql import functions as F
 from fieldbook.llm.common import connected_components, cut, drop, map_arrow
 
 COSINE = 0.93
-SHARD_ROWS = 4096
+SHARD_ROWS = 8192
 LARGEST = 16384
 BLOCK = 4096
-SAMPLE = 32768
-MOST_CENTROIDS = 16384
+SAMPLE = 8192
+FAN = 64  # a set of a shard's children is the bits of a long
+CHILDREN = 64  # of a shard at most
 DEGREE = 24
-POOL = 48
-RANDOM = 16
+POOL = 64
 ALPHA = 1.2
 BEAM = 24
 MEDOIDS = 8
-AUDIT = 32
+AUDIT_EVERY = 20
 LEAST_RECALL = 0.99
-_BATCH = 128
+_PART_ROWS = 1 << 16
+_BATCH = 256
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -72,53 +79,105 @@ def overlap(bound: float) -> float:
     return math.sqrt(max(2 - 2 * bound, 0)) / 2 + 1e-6
 
 
-def shards_of(points: np.ndarray, centers: np.ndarray, bound: float = COSINE) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The home of each unit vector, and all its shards; linked ones share a home."""
+def shards_of(points: np.ndarray, centers: np.ndarray, bound: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each unit vector, and whether it is in each shard; linked ones share a home."""
     dots = points @ centers.T
     home = dots.argmax(1)
     apart = np.sqrt(np.maximum(2 - 2 * centers @ centers.T, 0))
     margin = (dots[np.arange(len(points)), home][:, None] - dots) / np.maximum(apart[home], 1e-9)
     margin[np.arange(len(points)), home] = 0
-    reach = overlap(bound)
-    return home, [np.flatnonzero(row <= reach) for row in margin]
-
-
-def robust_prune(points: np.ndarray, at: int, pool: np.ndarray, near: np.ndarray) -> list[int]:
-    """At most ``DEGREE`` of the pool, nearest first, none behind a kept one."""
-    order = np.argsort(-near, kind="stable")
-    pool, far = pool[order], np.sqrt(np.maximum(2 - 2 * near[order], 0))
-    between = np.sqrt(np.maximum(2 - 2 * points[pool] @ points[pool].T, 0))
-    alive, kept = np.ones(len(pool), bool), []
-    for i in range(len(pool)):
-        if alive[i]:
-            kept.append(int(pool[i]))
-            if len(kept) == DEGREE:
-                break
-            alive &= ALPHA * between[i] > far
-    return kept
-
-
-def build_graph(points: np.ndarray, seed: int = 0) -> list[list[int]]:
-    """Adjacency lists over the rows of unit vectors."""
-    n, draw = len(points), np.random.default_rng(seed)
-    edges: list[list[int]] = []
-    for a in range(0, n, 512):
-        dots = points[a : a + 512] @ points.T
-        dots[np.arange(len(dots)), a + np.arange(len(dots))] = -2
-        k = min(POOL, n - 1)
-        top = np.argpartition(-dots, k - 1, axis=1)[:, :k] if k else np.zeros((len(dots), 0), int)
-        for i in range(len(dots)):
-            pool = np.unique(np.r_[top[i], draw.integers(0, n, RANDOM)])
-            pool = pool[pool != a + i]
-            edges.append(robust_prune(points, a + i, pool, dots[i, pool]))
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, row in enumerate(edges):
-        for j in row:
-            back[j].append(i)
-    for i in range(n):
-        pool = np.unique(np.array(edges[i] + back[i], int))
-        edges[i] = pool.tolist() if len(pool) <= DEGREE else robust_prune(points, i, pool, points[pool] @ points[i])
-    return edges
+    return home, margin <= overlap(bound)
+
+
+def robust_prune(points: np.ndarray, at: np.ndarray, pool: np.ndarray) -> np.ndarray:
+    """For each row ``at`` at most ``DEGREE`` of its pool: those not behind a kept one, nearest
+    first, then the nearest others while there is room, so that a ball of near copies around
+    one node does not hang on that node alone. ``pool`` and the result pad with -1.
+    """
+    pool = np.sort(pool, axis=1)
+    bad = (pool < 0) | (pool == at[:, None])
+    bad[:, 1:] |= pool[:, 1:] == pool[:, :-1]
+    near = np.where(bad, -3, np.einsum("ijk,ik->ij", points[pool], points[at]))
+    order = np.argsort(-near, axis=1, kind="stable")[:, :POOL]
+    pool, near = np.take_along_axis(pool, order, 1), np.take_along_axis(near, order, 1)
+    vectors = points[pool]
+    between = ALPHA**2 * (2 - 2 * vectors @ vectors.transpose(0, 2, 1))
+    far = 2 - 2 * near
+    there = near > -3
+    alive, kept, n = there.copy(), np.zeros(pool.shape, bool), np.zeros(len(at), int)
+    for k in range(pool.shape[1]):
+        kept[:, k] = alive[:, k] & (n < DEGREE)
+        n += kept[:, k]
+        alive &= ~kept[:, k, None] | (between[:, k] > far)
+    first = np.argsort(np.where(kept, 0, np.where(there, 1, 2)), axis=1, kind="stable")[:, :DEGREE]
+    return np.take_along_axis(np.where(there, pool, -1), first, 1)
+
+
+def beam(points: np.ndarray, table: np.ndarray, entries: np.ndarray, target: np.ndarray, width: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy search for each target from its entries: the nearest rows met and their cosines.
+
+    Lists and results pad with -1 and -3.
+    """
+    rows, n = np.arange(len(target)), len(points)
+    ids = np.sort(entries, axis=1)
+    ids[:, 1:][ids[:, 1:] == ids[:, :-1]] = -1
+    near = np.where(ids >= 0, np.einsum("ijk,ik->ij", points[ids], target), -3)
+    done = ids < 0
+    met = np.zeros((len(target), n + 1), bool)  # the last column is that of the padding
+    met[rows[:, None], ids] = True
+    met[:, n] = True
+    for _ in range(4 * width):
+        pick = np.where(done, -3, near)
+        best = pick.argmax(1)
+        live = pick[rows, best] > -3
+        if not live.any():
+            break
+        done[rows, best] = True
+        new = np.where(live[:, None], table[ids[rows, best]], -1)
+        new = np.where(met[rows[:, None], new], -1, new)
+        met[rows[:, None], new] = True
+        score = np.where(new >= 0, np.einsum("ijk,ik->ij", points[new], target), -3)
+        ids, near, done = np.concatenate([ids, new], 1), np.concatenate([near, score], 1), np.concatenate([done, new < 0], 1)
+        if ids.shape[1] > width:
+            keep = np.argpartition(-near, width - 1, axis=1)[:, :width]
+            ids, near, done = (np.take_along_axis(x, keep, 1) for x in (ids, near, done))
+    return ids, near
+
+
+def build_graph(points: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Adjacency lists over the rows of unit vectors, by insertion; padded with -1."""
+    n = len(points)
+    points = points.astype(np.float32)
+    table = np.full((n, DEGREE), -1, np.int64)
+    order = np.random.default_rng(seed).permutation(n)
+    entry = order[: min(n, MEDOIDS)]
+    at, size = 0, 2 * MEDOIDS
+    while at < n:
+        batch = order[at : at + size]
+        mates = batch[np.argsort(-(points[batch] @ points[batch].T), axis=1)[:, : DEGREE // 2]]
+        if at:
+            met, _ = beam(points, table, np.broadcast_to(entry, (len(batch), len(entry))), points[batch])
+            mates = np.concatenate([met, mates], 1)
+        table[batch] = _fit(robust_prune(points, batch, mates))
+        # Reverse edges: each end gets what points to it, and is pruned if that is too much.
+        source, end = np.repeat(batch, DEGREE), table[batch].ravel()
+        source, end = source[end >= 0], end[end >= 0]
+        by = np.lexsort((-np.einsum("ij,ij->i", points[source], points[end]), end))
+        source, end = source[by], end[by]
+        ends, first = np.unique(end, return_index=True)
+        place = np.arange(len(end)) - np.repeat(first, np.diff(np.r_[first, len(end)]))
+        kept = place < 2 * DEGREE
+        more = np.full((len(ends), 2 * DEGREE), -1, np.int64)
+        more[np.searchsorted(ends, end[kept]), place[kept]] = source[kept]
+        for a in range(0, len(ends), _BATCH):
+            some = ends[a : a + _BATCH]
+            table[some] = _fit(robust_prune(points, some, np.concatenate([table[some], more[a : a + _BATCH]], 1)))
+        at, size = at + len(batch), min(_BATCH, 2 * size)
+    return table
+
+
+def _fit(lists: np.ndarray) -> np.ndarray:
+    return np.pad(lists, ((0, 0), (0, DEGREE - lists.shape[1])), constant_values=-1)
 
 
 def medoids(points: np.ndarray) -> np.ndarray:
@@ -130,39 +189,21 @@ def medoids(points: np.ndarray) -> np.ndarray:
 def range_search(points: np.ndarray, table: np.ndarray, entries: np.ndarray, queries: np.ndarray, bound: float) -> list[np.ndarray]:
     """For each query row the rows met that are within the bound. ``table`` pads its lists with -1."""
     found: list[np.ndarray] = []
-    loose = bound - 0.02
+    loose, rough = bound - 0.02, points.astype(np.float32)
     for a in range(0, len(queries), _BATCH):
         q = queries[a : a + _BATCH]
-        b, target = len(q), points[q]
-        ids = np.concatenate([np.broadcast_to(entries, (b, len(entries))), q[:, None]], axis=1)
-        ids[:, :-1][ids[:, :-1] == q[:, None]] = -1
-        near = np.where(ids >= 0, np.einsum("ijk,ik->ij", points[ids], target), -3.0)
-        done = ids < 0
-        for _ in range(4 * BEAM):
-            pick = np.where(done, -3.0, near)
-            best = pick.argmax(1)
-            live = pick[np.arange(b), best] > -3
-            if not live.any():
-                break
-            done[np.arange(b), best] = True
-            new = table[ids[np.arange(b), best]]
-            new = np.where(live[:, None], new, -1)
-            new = np.where((new[:, :, None] == ids[:, None, :]).any(2), -1, new)
-            score = np.where(new >= 0, np.einsum("ijk,ik->ij", points[new], target), -3.0)
-            ids, near, done = np.concatenate([ids, new], 1), np.concatenate([near, score], 1), np.concatenate([done, new < 0], 1)
-            if ids.shape[1] > BEAM:
-                keep = np.argpartition(-near, BEAM - 1, axis=1)[:, :BEAM]
-                ids, near, done = (np.take_along_axis(x, keep, 1) for x in (ids, near, done))
-        for i in range(b):
+        start = np.concatenate([np.broadcast_to(entries, (len(q), len(entries))), q[:, None]], axis=1)
+        ids, near = beam(rough, table, start, rough[q])
+        for i in range(len(q)):
             met = np.unique(np.r_[ids[i][(near[i] >= loose) & (ids[i] >= 0)], q[i]])
             front = met
             while len(front):  # the range expands: everything near that a near row points to
                 step = np.unique(table[front])
                 step = np.setdiff1d(step[step >= 0], met, assume_unique=True)
-                front = step[points[step] @ target[i] >= loose]
+                front = step[rough[step] @ rough[q[i]] >= loose]
                 met = np.union1d(met, front)
             met = met[met != q[i]]
-            found.append(met[points[met] @ target[i] >= bound])
+            found.append(met[points[met] @ points[q[i]] >= bound])
     return found
 
 
@@ -181,11 +222,11 @@ def shard_links(points: np.ndarray, lists: list[list[int]], bound: float) -> lis
     """The linked rows of each row of a shard, with the recall audited."""
     n = len(points)
     found = range_search(points, _padded(lists), medoids(points), np.arange(n), bound)
-    sample = np.unique(np.linspace(0, n - 1, min(AUDIT, n)).astype(int))
+    sample = np.arange(0, n, AUDIT_EVERY)
     want = got = 0
-    for i, row in zip(sample, points[sample] @ points.T):
-        true = set(np.flatnonzero(row >= bound).tolist()) - {int(i)}
-        want, got = want + len(true), got + len(true & set(found[i].tolist()))
+    for i, true in zip(sample, _all_pairs(points[sample], points, bound)):
+        true = true[true != i]
+        want, got = want + len(true), got + int(np.isin(true, found[i]).sum())
     if got < LEAST_RECALL * want:
         found = [row[row != i] for i, row in enumerate(_all_pairs(points, points, bound))]
     rows = np.concatenate([np.full(len(x), i) for i, x in enumerate(found)]) if n else np.zeros(0, int)
@@ -242,41 +283,83 @@ def nodes_of(rows: DataFrame, id_col: str, vec_col: str, label_col: str) -> tupl
     return keyed, cut(nodes.withColumn("label", F.concat_ws("/", "label", F.octet_length("vec"))).withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
-def assign(nodes: DataFrame, bound: float = COSINE) -> DataFrame:
-    """(label, shard, home, shards, node, n, vec): a row for each shard that a node is in."""
-    sizes = nodes.groupBy("label").count().filter(F.col("count") > SHARD_ROWS)
-    large = {r[0]: r[1] for r in sizes.orderBy(F.desc("count"), "label").limit(MOST_CENTROIDS).collect()}
-    centers: dict[str, np.ndarray] = {}
-    if large:
-        total, k = sum(large.values()), {label: -(-n // SHARD_ROWS) for label, n in large.items()}
-        if sum(k.values()) > MOST_CENTROIDS:
-            k = {label: max(2, v * MOST_CENTROIDS // sum(k.values())) for label, v in k.items()}
-        drawn = nodes.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int((1 << 30) * min(1, SAMPLE / total)))
-        drawn = drawn.join(F.broadcast(sizes.select("label").limit(MOST_CENTROIDS)), "label", "left_semi").select("label", "vec").limit(2 * SAMPLE).collect()
-        points: dict[str, list[np.ndarray]] = {}
-        for label, vec in drawn:
-            points.setdefault(label, []).append(np.frombuffer(bytes(vec), np.float64))
-        centers = {label: kmeans(np.array(x), k[label]) for label, x in points.items()}
-    shared = nodes.sparkSession.sparkContext.broadcast(centers)
+def _children(mask: str) -> str:
+    return f"filter(sequence(0, {FAN - 1}), i -> getbit({mask}, i) = 1)"
+
+
+def _centers(shards: DataFrame) -> DataFrame:
+    """(label, shard, centers) from a sample of each shard of (label, shard, size, node, vec)."""
+    share = F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("size"))
+    drawn = shards.filter(F.pmod(F.xxhash64("node", "shard"), F.lit(1 << 30)) < share * (1 << 30))
+
+    def run(table: pa.Table) -> pa.Table:
+        k = min(CHILDREN, max(2, -(-2 * table.column("size")[0].as_py() // SHARD_ROWS)))
+        centers = kmeans(_vectors(table.column("vec")), k)
+        return pa.table({"label": table.column("label")[:1], "shard": table.column("shard")[:1], "centers": pa.array([centers.tobytes()], pa.binary())})
+
+    return drawn.select("label", "shard", "size", "vec").groupBy("label", "shard").applyInArrow(run, "label string, shard long, centers binary")
+
+
+def _assigned(shards: DataFrame, large: DataFrame, centers: DataFrame, bound: float) -> DataFrame:
+    """The rows of the large shards with the home and the set of children that their centroids give them.
+
+    Each part of a shard begins with a row of its centroids; a part is some of its nodes.
+    """
+    parts = F.ceil(F.col("size") / _PART_ROWS).cast("int")
+    kept = ["homes", "masks", "node", "n", "vec"]
+    rows = shards.select("label", "shard", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(1).alias("rank"), *kept)
+    ahead = centers.join(large, ["label", "shard"])
+    ahead = ahead.select("label", "shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("rank"), F.col("centers").alias("vec"))
+    both = rows.unionByName(ahead, allowMissingColumns=True).repartition("label", "shard", "part").sortWithinPartitions("label", "shard", "part", "rank")
 
     def run(batches):
-        centers = shared.value
+        centers = None
         for batch in batches:
-            labels = batch.column("label").to_pylist()
-            home, member = np.zeros(len(labels), np.int64), [np.zeros(1, np.int64)] * len(labels)
-            for label in set(labels) & set(centers):
-                at = np.array([i for i, x in enumerate(labels) if x == label])
-                own, every = shards_of(_vectors(batch.column("vec").take(pa.array(at))), centers[label], bound)
-                home[at] = own
-                for i, x in zip(at, every):
-                    member[i] = x
-            take = pa.array(np.repeat(np.arange(len(labels)), [len(x) for x in member]))
-            rows = batch.select(["label", "node", "n", "vec"]).take(take)
-            shard = pa.array(np.concatenate(member) if member else np.zeros(0, np.int64), pa.int64())
-            homes, shards = pa.array(home).take(take), pa.array([x.tolist() for x in member], pa.list_(pa.int64())).take(take)
-            yield pa.RecordBatch.from_arrays([rows.column("label"), shard, homes, shards, rows.column("node"), rows.column("n"), rows.column("vec")], ["label", "shard", "home", "shards", "node", "n", "vec"])
-
-    return map_arrow(nodes.select("label", "node", "n", "vec"), run, "label string, shard long, home long, shards array<long>, node long, n long, vec binary")
+            rank = batch.column("rank").to_numpy()
+            for a, b in zip(starts := np.unique(np.r_[0, np.flatnonzero(rank == 0)]), np.r_[starts[1:], len(rank)]):
+                vec = batch.column("vec")
+                if b > a and rank[a] == 0:
+                    whole = np.frombuffer(vec[a].as_py(), np.float64)
+                    centers, a = whole, a + 1
+                if b <= a:
+                    continue
+                some = batch.slice(a, b - a)
+                points = _vectors(some.column("vec"))
+                home, member = shards_of(points, centers.reshape(-1, points.shape[1]), bound)
+                mask = np.bitwise_or.reduce(member.astype(np.uint64) << np.arange(member.shape[1], dtype=np.uint64), axis=1).view(np.int64)
+                homes = [x + [h] for x, h in zip(some.column("homes").to_pylist(), home.tolist())]
+                masks = [x + [m] for x, m in zip(some.column("masks").to_pylist(), mask.tolist())]
+                columns = [some.column("label"), some.column("shard"), pa.array(homes, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.int64())), *[some.column(c) for c in ("node", "n", "vec")]]
+                yield pa.RecordBatch.from_arrays(columns, ["label", "shard", *kept])
+
+    return map_arrow(both, run, "label string, shard long, homes array<int>, masks array<long>, node long, n long, vec binary")
+
+
+def split(nodes: DataFrame, bound: float = COSINE) -> DataFrame:
+    """(label, shard, homes, masks, node, n, vec): a row for each final shard that a node is in.
+
+    Child c of shard s is s * FAN + c + 1; homes and masks are a node's home and its set of
+    children at each split above.
+    """
+    by = ["label", "shard"]
+    columns = [*by, "homes", "masks", "node", "n", "vec"]
+    now = nodes.withColumns({"shard": F.lit(0).cast("long"), "homes": F.array().cast("array<int>"), "masks": F.array().cast("array<long>")}).select(columns)
+    done = []
+    while True:
+        large = cut(now.groupBy(*by).agg(F.count("*").alias("size")).filter(F.col("size") > SHARD_ROWS), "large")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, now])
+        done.append(cut(now.join(large, by, "left_anti").select(columns), "shards"))
+        shards = now.join(large, by)
+        placed = cut(_assigned(shards, large, cut(_centers(shards), "centers"), bound), "placed")
+        counts = placed.select(*by, F.explode(F.expr(_children("element_at(masks, -1)"))).alias("child")).groupBy(*by, "child").agg(F.count("*").alias("rows"))
+        counts = counts.groupBy(*by).agg(F.max("rows").alias("most"), F.sum("rows").alias("total"))
+        # A split that parts little, or that puts nodes into many children, is not made.
+        parted = cut(counts.join(large, by).filter("4 * most <= 3 * size and total <= 3 * size").select(by), "parted")
+        before = {c: F.expr(f"slice({c}, 1, size({c}) - 1)") for c in ("homes", "masks")}
+        done.append(cut(placed.join(parted, by, "left_anti").withColumns(before).select(columns), "shards"))
+        children = placed.join(parted, by).withColumn("child", F.explode(F.expr(_children("element_at(masks, -1)"))))
+        now = children.withColumn("shard", F.col("shard") * FAN + F.col("child") + 1).select(columns)
 
 
 _FOUND = "node long, links long, root long"
@@ -286,16 +369,26 @@ def _found(nodes, links, roots) -> pa.Table:
     return pa.table({"node": pa.array(nodes, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(roots, pa.int64())})
 
 
-def _owned(shard: int, home: np.ndarray, shards: list[list[int]]):
-    """Whether a pair of rows is counted here: in the least home that holds both."""
-    member = [set(x) for x in shards]
+def _owned(shard: int, homes: list[list[int]], masks: list[list[int]]):
+    """Whether a pair of rows is counted here: at every split above, in the least home of the
+    two that holds both."""
+    path = []
+    while shard > 0:
+        shard, child = divmod(shard - 1, FAN)
+        path.insert(0, child)
+    home = np.array(homes, np.uint64).reshape(len(homes), len(path))
+    mask = np.array(masks, np.int64).reshape(len(homes), len(path)).view(np.uint64)
+    one = np.uint64(1)
 
     def check(i: int, j: np.ndarray) -> np.ndarray:
-        one, two = home[i], home[j]
-        if one == shard:  # the other's home comes first only if it is less and holds row i
-            return (two >= shard) | ~np.isin(two, list(member[i]))
-        there = np.array([one in member[x] for x in j.tolist()], bool)
-        return (two == shard) & ((shard < one) | ~there)
+        ok = np.ones(len(j), bool)
+        for level, child in enumerate(path):
+            both = mask[i, level] & mask[j, level]
+            mine, other = home[i, level], home[j, level]
+            mine = np.where(both >> mine & one, mine, np.uint64(FAN))
+            other = np.where(both >> other & one, other, np.uint64(FAN))
+            ok &= np.minimum(mine, other) == child
+        return ok
 
     return check
 
@@ -304,18 +397,18 @@ def _build(table: pa.Table) -> pa.Table:
     """A shard's graph: the neighbours of each of its nodes."""
     table = table.sort_by("node")
     node = table.column("node").to_numpy()
-    lists = build_graph(unit(_vectors(table.column("vec"))))
-    return pa.table({"node": table.column("node"), "near": pa.array([node[x].tolist() for x in lists], pa.list_(pa.int64()))})
+    lists = build_graph(_vectors(table.column("vec")))
+    return pa.table({"node": table.column("node"), "near": pa.array([node[x[x >= 0]].tolist() for x in lists], pa.list_(pa.int64()))})
 
 
 def _search(bound: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        node, n, home = (table.column(c).to_numpy() for c in ("node", "n", "home"))
+        node, n = (table.column(c).to_numpy() for c in ("node", "n"))
         row = {int(x): i for i, x in enumerate(node)}
         lists = [[row[x] for x in near if x in row] for near in table.column("near").to_pylist()]
         found = shard_links(_vectors(table.column("vec")), lists, bound)
-        owned = _owned(table.column("shard")[0].as_py(), home, table.column("shards").to_pylist())
+        owned = _owned(table.column("shard")[0].as_py(), table.column("homes").to_pylist(), table.column("masks").to_pylist())
         links = [int(n[x[owned(i, x)]].sum()) if len(x) else 0 for i, x in enumerate(found)]
         return _found(node, links, node[spanning(found)])
 
@@ -327,9 +420,9 @@ def _tile(bound: float):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
-        side, node, n, home = (table.column(c).to_numpy() for c in ("side", "node", "n", "home"))
-        points, shards = _vectors(table.column("vec")), table.column("shards").to_pylist()
-        owned = _owned(table.column("shard")[0].as_py(), home, shards)
+        side, node, n = (table.column(c).to_numpy() for c in ("side", "node", "n"))
+        points = _vectors(table.column("vec"))
+        owned = _owned(table.column("shard")[0].as_py(), table.column("homes").to_pylist(), table.column("masks").to_pylist())
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
         right = right if len(right) else left
         found = [np.zeros(0, np.int64)] * len(node)
@@ -354,7 +447,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     """
     kind = rows.schema[id_col].dataType.simpleString()
     keyed, nodes = nodes_of(rows, id_col, vec_col, label_col)
-    placed = cut(assign(nodes, bound), "shards")
+    placed = cut(split(nodes, bound), "shards")
     size = placed.groupBy("label", "shard").agg(F.count("*").alias("size"))
     large = cut(size.filter(F.col("size") > LARGEST), "large")
     normal = placed.join(large.select("label", "shard"), ["label", "shard"], "left_anti")

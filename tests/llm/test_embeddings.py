@@ -52,7 +52,7 @@ def test_against_all_pairs(spark):
     assert run(spark, rows) == plain(rows)
 
 
-@pytest.mark.parametrize("limits", [{"SHARD_ROWS": 60}, {"SHARD_ROWS": 100, "LARGEST": 40, "BLOCK": 16}])
+@pytest.mark.parametrize("limits", [{"SHARD_ROWS": 60}, {"SHARD_ROWS": 40, "CHILDREN": 3, "_PART_ROWS": 50}, {"SHARD_ROWS": 30, "LARGEST": 40, "BLOCK": 16}])
 def test_shards_and_tiles(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(embeddings, name, value)
@@ -85,7 +85,7 @@ def test_linked_rows_share_a_home():
     assert (home[::2] == 0).all() and (home[1::2] == 1).all()
     near = np.argwhere(points @ points.T >= 0.93)
     assert len(near) > len(points)
-    assert all(home[i] in shards[j] or home[j] in shards[i] for i, j in near)
+    assert all(shards[j][home[i]] or shards[i][home[j]] for i, j in near)
 
 
 def test_links_over_a_border(spark, monkeypatch):
@@ -105,13 +105,59 @@ def test_audit(spark):
 def test_graph_reaches_what_is_near():
     points = embeddings.unit(np.array([v for _, v, _ in vectors(600, seed=9)]))
     lists = embeddings.build_graph(points)
-    assert max(map(len, lists)) <= embeddings.DEGREE
-    found = embeddings.range_search(points, embeddings._padded(lists), embeddings.medoids(points), np.arange(600), 0.93)
+    assert lists.shape == (600, embeddings.DEGREE) and not (lists == np.arange(600)[:, None]).any()
+    found = embeddings.range_search(points, lists, embeddings.medoids(points), np.arange(600), 0.93)
     true = points @ points.T >= 0.93
     np.fill_diagonal(true, False)
     hit = sum(true[i][x].sum() for i, x in enumerate(found))
     assert hit == sum(map(len, found)) and hit >= 0.99 * true.sum()
 
 
+def test_pruned_lists_against_plain():
+    points = embeddings.unit(np.random.default_rng(1).normal(size=(200, 8)))
+    pool = np.random.default_rng(2).integers(-1, 200, (5, 60))
+    far = lambda a, b: np.sqrt(max(2 - 2 * points[a] @ points[b], 0))
+    for at, row, got in zip(range(5), pool, embeddings.robust_prune(points, np.arange(5), pool)):
+        want: list[int] = []
+        for x in sorted(set(row.tolist()) - {-1, at}, key=lambda x: far(at, x)):
+            if len(want) < embeddings.DEGREE and all(embeddings.ALPHA * far(k, x) > far(at, x) for k in want):
+                want.append(x)
+        others = [x for x in sorted(set(row.tolist()) - {-1, at}, key=lambda x: far(at, x)) if x not in want]
+        assert got[got >= 0].tolist() == [*want, *others][: embeddings.DEGREE]
+
+
+def test_near_copies_of_one_vector(spark):
+    """A ball around one vector: its copies must not be lost behind it."""
+    draw = np.random.default_rng(7)
+    base = draw.normal(size=(3, 32))
+    points = embeddings.unit(np.concatenate([base, *[b + draw.normal(size=(400, 32)) * 0.12 for b in base]]))
+    found = embeddings.range_search(points, embeddings.build_graph(points), embeddings.medoids(points), np.arange(len(points)), 0.93)
+    true = points @ points.T >= 0.93
+    np.fill_diagonal(true, False)
+    assert true.sum() > 10_000 and sum(map(len, found)) >= 0.999 * true.sum()
+
+
+def test_splits_lose_no_pair_and_count_each_once(spark, monkeypatch):
+    for name, value in {"SHARD_ROWS": 40, "CHILDREN": 4, "_PART_ROWS": 64}.items():
+        monkeypatch.setattr(embeddings, name, value)
+    rows = [(k, v, 0) for k, (_, v, _) in enumerate(vectors(700, dim=6, groups=40, seed=3))]
+    _, nodes = embeddings.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), "vec_id", "embedding", "label")
+    found = embeddings.split(nodes).collect()
+    assert max(len(r.homes) for r in found) > 1
+    points = {r.node: np.frombuffer(bytes(r.vec)) for r in found}
+    ids = sorted(points)
+    matrix = np.array([points[i] for i in ids])
+    linked = {(ids[a], ids[b]) for a, b in np.argwhere(matrix @ matrix.T >= 0.93) if a < b}
+    count = dict.fromkeys(linked, 0)
+    for shard in {r.shard for r in found}:
+        own = [r for r in found if r.shard == shard]
+        check = embeddings._owned(shard, [r.homes for r in own], [r.masks for r in own])
+        for i, r in enumerate(own):
+            for j in np.flatnonzero(check(i, np.arange(len(own)))).tolist():
+                if (pair := (r.node, own[j].node)) in count:
+                    count[pair] += 1
+    assert len(linked) > 500 and set(count.values()) == {1}
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
