@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldbook.session import scratch
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given total order.
@@ -101,22 +103,31 @@ def two_sided(df: DataFrame, shared: Sequence[str], home: Mapping[str, str], awa
 
 
 def digest(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    """Aggregates that tell two sets of rows apart, whatever their order: count, least and greatest hash."""
-    line = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns]), 256)
-    return [F.count("*").alias("n"), F.min(line).alias("least"), F.max(line).alias("greatest")]
+    """Aggregates that tell two multisets of rows apart, whatever their order.
+
+    The number of rows and two sums of 60-bit parts of their SHA-256: every row counts, and
+    exact decimals, as text, do not depend on the order of addition. Nulls differ from any text, and
+    each value's length is part of the line, so that no two rows read alike.
+    """
+    value = [F.col(c).cast("string") for c in columns]
+    line = F.sha2(F.concat_ws("|", *[F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("~")) for v in value]), 256)
+    part = lambda at: F.sum(F.conv(F.substring(line, at, 15), 16, 10).cast("decimal(19,0)")).cast("string")
+    return [F.count("*").alias("n"), part(1).alias("sum_a"), part(16).alias("sum_b")]
 
 
 def lineage(edges: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, root, depth): each node's last ancestor, by pointer doubling.
 
-    The number of joins grows with the logarithm of the longest chain. A cycle has no root
-    and raises; roots are their own.
+    The number of joins grows with the logarithm of the longest chain; each round is a table
+    in the shared folder. A cycle has no root and raises; roots are their own.
     """
     now = edges.select(F.col(node).alias("node"), F.coalesce(F.col(parent), F.col(node)).alias("at"), F.when(F.col(parent).isNull() | (F.col(parent) == F.col(node)), 0).otherwise(1).cast("long").alias("depth"))
     for _ in range(64):
         step = now.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
         ahead = now.join(step, "at", "left").select("node", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("more", F.lit(0)) > 0).alias("moved"))
-        ahead = ahead.checkpoint() if ahead.sparkSession.sparkContext.getCheckpointDir() else ahead.cache()
+        path = scratch(ahead.sparkSession, "lineage")
+        ahead.write.parquet(path)
+        ahead = ahead.sparkSession.read.schema(ahead.schema).parquet(path)
         now = ahead.drop("moved")
         if ahead.filter("moved").isEmpty():
             return now.select("node", F.col("at").alias("root"), "depth")

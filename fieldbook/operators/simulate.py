@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 500
 MOST_FIXTURES = 20_000
+MOST_TEAMS = 20_000
 PATHS = "path long, team string, points int, gd int, gf int, position int, champion double, promoted double"
 
 
@@ -188,7 +189,9 @@ def sample_states(spark: SparkSession, states: DataFrame, paths: int, days: int,
     ``states`` has team, quality and quality_sd, a row per team. Forward in time a quality
     decays and gains the variance that keeps its long-run spread.
     """
-    known = sorted(tuple(r) for r in states.select("team", "quality", "quality_sd").limit(MOST_FIXTURES).collect())
+    if states.count() > MOST_TEAMS:
+        raise ValueError("more teams than a season has: use sample_states_each, by competition")
+    known = sorted(tuple(r) for r in states.select("team", "quality", "quality_sd").collect())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from fieldbook.operators.relops import two_sided
 
 
-def sides(matches: DataFrame) -> DataFrame:
-    """(match_id, venue, team, opponent, gf, ga): every match from both sides."""
-    return two_sided(matches, ["match_id"], {"team": "home", "opponent": "away", "gf": "home_goals", "ga": "away_goals"}, {"team": "away", "opponent": "home", "gf": "away_goals", "ga": "home_goals"})
+def sides(matches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, match_id, venue, team, opponent, gf, ga): every match from both sides."""
+    return two_sided(matches, [*keys, "match_id"], {"team": "home", "opponent": "away", "gf": "home_goals", "ga": "away_goals"}, {"team": "away", "opponent": "home", "gf": "away_goals", "ga": "home_goals"})
 
 
 def _points():
@@ -20,19 +20,25 @@ def _points():
 
 
 def league_table(matches: DataFrame, sanctions: DataFrame | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, team, played, points, gd, gf), with known point adjustments (team, adjustment)."""
-    table = sides(matches).groupBy(*keys, "team").agg(F.count("*").alias("played"), F.sum(_points()).alias("points"), F.sum(F.col("gf") - F.col("ga")).alias("gd"), F.sum("gf").alias("gf"))
+    """(keys, team, played, points, gd, gf), with known point adjustments (keys, team, adjustment).
+
+    A table for each value of ``keys``, such as competition and season. Adjustments apply to
+    their own keys only; several of one team are added up.
+    """
+    table = sides(matches, keys).groupBy(*keys, "team").agg(F.count("*").alias("played"), F.sum(_points()).alias("points"), F.sum(F.col("gf") - F.col("ga")).alias("gd"), F.sum("gf").alias("gf"))
     if sanctions is not None:
-        table = table.join(sanctions, "team", "left").withColumn("points", F.col("points") + F.coalesce("adjustment", F.lit(0))).drop("adjustment")
+        own = sanctions.groupBy(*keys, "team").agg(F.sum("adjustment").alias("adjustment"))
+        table = table.join(own, [*keys, "team"], "left").withColumn("points", F.col("points") + F.coalesce("adjustment", F.lit(0))).drop("adjustment")
     return table
 
 
-def head_to_head(matches: DataFrame, groups: DataFrame) -> DataFrame:
-    """(team, h2h_points, h2h_gd, h2h_goals, h2h_away_goals) over matches within a tie group (team, tie)."""
-    own = groups.select("team", F.col("tie").alias("own_tie"))
-    other = groups.select(F.col("team").alias("opponent"), F.col("tie").alias("other_tie"))
-    inside = sides(matches).join(own, "team").join(other, "opponent").filter("own_tie = other_tie")
-    return inside.groupBy("team").agg(
+def head_to_head(matches: DataFrame, groups: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, team, h2h_points, h2h_gd, h2h_goals, h2h_away_goals) over matches within a tie
+    group (keys, team, tie) of the same keys."""
+    own = groups.select(*keys, "team", F.col("tie").alias("own_tie"))
+    other = groups.select(*keys, F.col("team").alias("opponent"), F.col("tie").alias("other_tie"))
+    inside = sides(matches, keys).join(own, [*keys, "team"]).join(other, [*keys, "opponent"]).filter("own_tie = other_tie")
+    return inside.groupBy(*keys, "team").agg(
         F.sum(_points()).alias("h2h_points"),
         F.sum(F.col("gf") - F.col("ga")).alias("h2h_gd"),
         F.sum("gf").alias("h2h_goals"),
@@ -54,14 +60,22 @@ def conditional_means(paths: DataFrame, keys: Sequence[str], outcome: str, indic
     return grouped.withColumn("standard_error", F.sqrt(F.col("v") / F.col("n"))).drop("v")
 
 
-def impact_summary(means: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, baseline, rms, swing, recovered) of the conditional means; rms weighs outcomes by their paths."""
-    sums = means.groupBy(*keys).agg(F.sum(F.col("n") * F.col("conditional")).alias("s"), F.sum("n").alias("n"), F.collect_list(F.struct("n", "conditional")).alias("rows"))
-    base = F.col("s") / F.col("n")
-    rows = sums.withColumn("baseline", base)
-    square = F.aggregate("rows", F.lit(0.0), lambda t, r: t + r["n"] * (r["conditional"] - F.col("baseline")) * (r["conditional"] - F.col("baseline")))
-    back = F.aggregate("rows", F.lit(0.0), lambda t, r: t + r["n"] * r["conditional"]) / F.col("n")
-    return rows.select(*keys, "baseline", F.sqrt(square / F.col("n")).alias("rms"), (F.array_max("rows.conditional") - F.array_min("rows.conditional")).alias("swing"), (F.abs(back - F.col("baseline")) < 1e-9).alias("recovered"))
+def impact_summary(means: DataFrame, keys: Sequence[str], unconditional: DataFrame) -> DataFrame:
+    """(keys, baseline, rms, swing, recovered) of the conditional means; rms weighs outcomes by their paths.
+
+    ``unconditional`` has (keys, baseline), the indicator's mean over all paths whatever their
+    outcome; recovered tells whether the conditional means, weighed by their paths, give it
+    back, which they do not if an outcome's paths are missing or counted twice.
+    """
+    known = means.join(unconditional.select(*keys, "baseline"), list(keys))
+    square = F.col("n") * (F.col("conditional") - F.col("baseline")) * (F.col("conditional") - F.col("baseline"))
+    sums = known.groupBy(*keys).agg(
+        F.first("baseline").alias("baseline"),
+        F.sqrt(F.sum(square) / F.sum("n")).alias("rms"),
+        (F.max("conditional") - F.min("conditional")).alias("swing"),
+        (F.sum(F.col("n") * F.col("conditional")) / F.sum("n")).alias("back"),
+    )
+    return sums.select(*keys, "baseline", "rms", "swing", (F.abs(F.col("back") - F.col("baseline")) < 1e-9).alias("recovered"))
 
 
 def distribution_summary(counts: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
@@ -93,7 +107,7 @@ def ranked_table(matches: DataFrame, ranking: str, keys: Sequence[str] = (), rel
         decisive = decisive | ((start <= place) & (place < end))
     compare = (F.col("_n") > 1) & (F.lit(ranking == "efl") | (F.lit(ranking == "head_to_head") & decisive))
     placed = placed.withColumn("_compare", compare)
-    whole = two_sided(matches, [*keys, "match_id"], {"team": "home", "opponent": "away", "gf": "home_goals", "ga": "away_goals"}, {"team": "away", "opponent": "home", "gf": "away_goals", "ga": "home_goals"})
+    whole = sides(matches, keys)
     season = whole.groupBy(*keys, "team").agg(F.count_if(F.col("gf") > F.col("ga")).alias("_wins"), F.sum(F.when(F.col("venue") == "away", F.col("gf")).otherwise(0)).alias("_away"))
     own = placed.filter("_compare").select(*keys, "team", F.col("_start").alias("_tie"))
     other = own.select(*keys, F.col("team").alias("opponent"), F.col("_tie").alias("_other"))

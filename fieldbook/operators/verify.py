@@ -57,8 +57,8 @@ def schema_paths(schema: DataType, trail: str = "$") -> list[tuple[str, str, Dat
 def unpublishable(documents: DataFrame, allowed: set[str], forbidden_keys: Sequence[str], forbidden_values: Sequence[str], subject: str) -> DataFrame:
     """(subject, path, problem) of what a public document must not hold.
 
-    Keys are checked on the schema, once. Values are matched where they are: every string
-    field at any depth, in the rows that have it.
+    Keys are checked on the schema, once. Values are matched where they are: every string at
+    any depth, in maps too, in the rows that have it.
     """
     fields = schema_paths(documents.schema)
     bad = [(path, "private key") for path, name, _ in fields if any(x in name for x in forbidden_keys)]
@@ -66,10 +66,31 @@ def unpublishable(documents: DataFrame, allowed: set[str], forbidden_keys: Seque
     spark = documents.sparkSession
     found = spark.createDataFrame([("*", *b) for b in bad], "subject string, path string, problem string")
     pattern = "|".join(f"(?:{p})" for p in forbidden_values)
-    for path, _, kind in fields:
-        if isinstance(kind, (StringType, ArrayType)) and pattern and (isinstance(kind, StringType) or isinstance(kind.elementType, StringType)) and "{}" not in path:
-            column = F.col(path.removeprefix("$.").replace("[]", ""))
-            text = column if path.count("[]") == 0 and isinstance(kind, StringType) else F.to_json(F.struct(column))
-            hit = documents.filter(text.rlike(pattern)).select(F.col(subject).cast("string").alias("subject"), F.lit(path).alias("path"), F.lit("private value").alias("problem"))
-            found = found.unionAll(hit)
+    for field in documents.schema if pattern else ():
+        for path, texts in _strings(field.dataType, F.col(f"`{field.name}`"), f"$.{field.name}"):
+            hit = documents.filter(F.exists(texts, lambda x: x.rlike(pattern)))
+            found = found.unionAll(hit.select(F.col(subject).cast("string").alias("subject"), F.lit(path).alias("path"), F.lit("private value").alias("problem")))
     return found
+
+
+def _strings(kind: DataType, value: Column, trail: str) -> list[tuple[str, Column]]:
+    """(path, array of its strings) of every string at any depth: in structs, arrays, and maps,
+    whose keys are text like any other."""
+    if isinstance(kind, StringType):
+        return [(trail, F.array(value))]
+    if isinstance(kind, StructType):
+        return [x for f in kind for x in _strings(f.dataType, value[f.name], f"{trail}.{f.name}")]
+    if isinstance(kind, MapType):
+        keys = [(trail + "{key}", F.map_keys(value))] if isinstance(kind.keyType, StringType) else []
+        return [*keys, *_strings(ArrayType(kind.valueType), F.map_values(value), trail + "{}")]
+    if isinstance(kind, ArrayType):
+        element, trail = kind.elementType, trail if trail.endswith("{}") else trail + "[]"
+        if isinstance(element, StringType):
+            return [(trail, value)]
+        inner = [p for p, _ in _strings(element, F.lit(None).cast(element), trail)]
+        return [(path, F.flatten(F.transform(value, _part(element, trail, k)))) for k, path in enumerate(inner)]
+    return []
+
+
+def _part(element: DataType, trail: str, k: int):
+    return lambda x: _strings(element, x, trail)[k][1]

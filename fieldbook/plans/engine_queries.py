@@ -15,6 +15,7 @@ from fieldbook.operators import models, simulate
 from fieldbook.operators.relops import digest, latest_per_key
 from fieldbook.operators.verify import unpublishable
 from fieldbook.plans.namespace import Namespace, Relation
+from fieldbook.plans.relational_queries import DIGEST_SUMS, digest_line
 from fieldbook.plans.registry import query
 from fieldbook.session import load, scratch
 from fieldbook.sources import evidence, files
@@ -227,7 +228,7 @@ def st00(spark, sf):
 
 @query(
     "st02_change_detection",
-    """SELECT event_type, count(*) AS n, min(h) AS least, max(h) AS greatest FROM (SELECT DISTINCT event_type, sha256(concat_ws('|', CAST(user_id AS VARCHAR), event_type)) AS h FROM events) GROUP BY event_type""",
+    f"""SELECT event_type, count(*) AS n, {DIGEST_SUMS} FROM (SELECT DISTINCT event_type, sha256({digest_line(["user_id", "event_type"])}) AS h FROM events) GROUP BY event_type""",
 )
 def st02(spark, sf):
     # Identity of what is known, not of when it was seen: times are left out and repeats drop.
@@ -364,13 +365,14 @@ def dm19(spark, sf):
 
 @query(
     "dm21_entry_priors",
-    """WITH e AS (SELECT n_regionkey AS cohort, c_acctbal / 1000 AS v, 0.5 + (c_custkey % 5) / 10.0 AS se FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey > 0 OR c_custkey < 120),
+    """WITH e AS (SELECT CASE WHEN c_custkey % 100 = 0 THEN 9 ELSE n_regionkey END AS cohort, c_acctbal / 1000 AS v, 0.5 + (c_custkey % 5) / 10.0 AS se FROM customer JOIN nation ON n_nationkey = c_nationkey),
        a AS (SELECT avg(v) AS m, greatest(var_pop(v) - avg(se * se), 0) AS s FROM e), c AS (SELECT cohort, count(*) AS n, avg(v) AS m, greatest(var_pop(v) - avg(se * se), 0) AS s FROM e GROUP BY cohort)
        SELECT cohort, n, round(CASE WHEN n >= 40 THEN c.m ELSE a.m END, 7) AS prior_mean, round(CASE WHEN n >= 40 THEN c.s ELSE a.s END, 6) AS prior_variance FROM c, a""",
 )
 def dm21(spark, sf):
-    rows = load(spark, sf, "customer").join(load(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).filter("n_regionkey > 0 or c_custkey < 120")
-    entrants = rows.select(F.col("n_regionkey").alias("cohort"), (F.col("c_acctbal") / 1000).alias("v"), (F.lit(0.5) + (F.col("c_custkey") % 5) / F.lit(10.0)).alias("se"))
+    rows = load(spark, sf, "customer").join(load(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    cohort = F.when(F.col("c_custkey") % 100 == 0, 9).otherwise(F.col("n_regionkey"))
+    entrants = rows.select(cohort.alias("cohort"), (F.col("c_acctbal") / 1000).alias("v"), (F.lit(0.5) + (F.col("c_custkey") % 5) / F.lit(10.0)).alias("se"))
     return models.entry_priors(entrants, "cohort", "v", "se", 40).select("cohort", "n", F.round("prior_mean", 7).alias("prior_mean"), F.round("prior_variance", 6).alias("prior_variance"))
 
 

@@ -57,9 +57,11 @@ def load(spark: SparkSession, sf_dir: str, name: str):
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir if that is
-    set, else, in a local session, a temporary one."""
+    set, else, in a local session, a temporary one. Other sessions must set it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="fieldbook-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()

@@ -18,38 +18,75 @@ def read_events(spark: SparkSession, path: str, schema, per_batch: int = 1) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
+BUCKETS = 16
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what is in a folder; none if there is no folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+
+
 def run_current_view(stream: DataFrame, keys: Sequence[str], order: Sequence[Column], root: str) -> DataFrame:
-    """The current row per key after all available input, kept up batch by batch."""
+    """The current row per key after all available input, kept up batch by batch.
+
+    The view is kept in ``BUCKETS`` buckets of the keys' hash. A batch is folded into the
+    buckets that it touches and written as a new version of these alone; what is current in a
+    bucket is its newest version. A batch that runs twice replaces its own versions. Run
+    again without new input, it gives the view as it is.
+    """
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+    def current(schema, below: int) -> DataFrame | None:
+        newest: dict[int, int] = {}
+        for n in sorted(int(x) for x in _names(spark, f"{root}/view") if x.isdigit() and int(x) < below):
+            names = _names(spark, f"{root}/view/{n}")
+            if "_SUCCESS" in names:  # a version lists its buckets by their folders
+                newest |= {int(x.removeprefix("bucket=")): n for x in names if x.startswith("bucket=")}
+        paths = [f"{root}/view/{n}/bucket={b}" for b, n in sorted(newest.items())]
+        return spark.read.schema(schema).parquet(*paths) if paths else None
 
     def fold(batch: DataFrame, number: int) -> None:
         now = latest_per_key(batch, keys, order)
-        if number:
-            before = spark.read.schema(batch.schema).parquet(f"{root}/view/{number - 1}")
-            now = latest_per_key(before.unionByName(now), keys, order)
-        now.write.mode("overwrite").parquet(f"{root}/view/{number}")
+        before = current(batch.schema, number)
+        if before is not None:
+            touched = F.broadcast(now.select(bucket.alias("_b")).distinct())  # BUCKETS rows at most
+            now = latest_per_key(before.withColumn("_b", bucket).join(touched, "_b", "left_semi").select(*batch.columns).unionByName(now), keys, order)
+        now.withColumn("bucket", bucket).write.partitionBy("bucket").mode("overwrite").parquet(f"{root}/view/{number}")
 
     query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.schema(stream.schema).parquet(f"{root}/view/{last}")
+    found = current(stream.schema, (_last_batch(spark, root) or 0) + 1)
+    return found if found is not None else spark.createDataFrame([], stream.schema)
+
+
+def _last_batch(spark: SparkSession, root: str) -> int | None:
+    """The number of the last batch that the checkpoint has committed."""
+    return max((int(x) for x in _names(spark, f"{root}/checkpoint/commits") if x.isdigit()), default=None)
 
 
 def run_window_counts(stream: DataFrame, time: str, width: str, late: str, keys: Sequence[str], root: str) -> DataFrame:
-    """Counts per tumbling window and key, with a watermark for late rows.
+    """Counts per tumbling window and key. Rows later than the watermark allows are dropped,
+    and a window's state goes once the watermark has passed it.
 
-    Times without zone are given one: a watermark needs it.
+    Each batch writes the counts that it changed; a window's newest are its counts. Times
+    without zone are given one: a watermark needs it.
     """
     spark = stream.sparkSession
     timed = stream.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
-    counts = timed.groupBy(F.window("_t", width), *keys).agg(F.count("*").alias("n"))
+    counts = timed.groupBy(F.window("_t", width), *keys).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, "n")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.select(F.col("window.start").alias("start"), *keys, "n").write.mode("overwrite").parquet(f"{root}/counts")
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{root}/counts/batch-{number}")
 
-    query = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query = counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{root}/counts")
+    if _last_batch(spark, root) is None:
+        return spark.createDataFrame([], counts.schema)
+    written = spark.read.schema(counts.schema.add("batch", "long")).parquet(f"{root}/counts/*")
+    return latest_per_key(written, ["start", *keys], [F.desc("batch")]).drop("batch")
 
 
 def refresh_action(before: dict[str, str], now: dict[str, str]) -> str:

@@ -106,7 +106,8 @@ def test_paths_conserve(spark):
 
 def test_conditional_means_recover_the_baseline(spark):
     rows = spark.range(3000).select((F.col("id") % 4).alias("team"), (F.col("id") * 7 % 5 % 3).alias("outcome"), ((F.col("id") * 13) % 11 > 4).cast("double").alias("x"))
-    summary = tables.impact_summary(tables.conditional_means(rows, ["team"], "outcome", "x"), ["team"])
+    whole = rows.groupBy("team").agg(F.avg("x").alias("baseline"))
+    summary = tables.impact_summary(tables.conditional_means(rows, ["team"], "outcome", "x"), ["team"], whole)
     assert summary.filter("not recovered or rms < 0 or swing < 0").isEmpty()
 
 
@@ -203,3 +204,31 @@ def test_a_decisive_tie_goes_to_head_to_head(spark):
     assert places(tables.ranked_table(level, "head_to_head", relegated=3))["a"] == (2, 2)  # decides relegation
     assert places(tables.ranked_table(level, "head_to_head", relegated=1, boundaries=[2]))["b"] == (3, 3)
     assert places(tables.ranked_table(level, "efl", relegated=1))["a"] == (2, 2)
+
+
+def test_missing_paths_are_not_recovered(spark):
+    rows = spark.createDataFrame([("a", k % 3, float(k % 2)) for k in range(30)] + [("a", 0, 1.0)], "team string, outcome int, x double")
+    whole = rows.groupBy("team").agg(F.avg("x").alias("baseline"))
+    means = tables.conditional_means(rows, ["team"], "outcome", "x")
+    assert tables.impact_summary(means, ["team"], whole).first().recovered
+    assert not tables.impact_summary(means.filter("outcome > 0"), ["team"], whole).first().recovered
+
+
+def test_tables_of_two_seasons(spark):
+    rows = [(s, f"{s}{h}{a}", h, a, (h == "a") + (s == 2 and h == "c") * 3, 0) for s in (1, 2) for h in "abc" for a in "abc" if h != a]
+    matches = spark.createDataFrame(rows, "season int, match_id string, home string, away string, home_goals int, away_goals int")
+    sanctions = spark.createDataFrame([(1, "a", -6), (1, "a", -1), (2, "c", -1)], "season int, team string, adjustment int")
+    table = {(r.season, r.team): (r.played, r.points) for r in tables.league_table(matches, sanctions, ["season"]).collect()}
+    assert table == {(1, "a"): (4, 8 - 7), (1, "b"): (4, 3), (1, "c"): (4, 3), (2, "a"): (4, 7), (2, "b"): (4, 2), (2, "c"): (4, 7 - 1)}
+    places = {(r.season, r.team): r.position_from for r in tables.ranked_table(matches, "efl", ["season"], sanctions=sanctions).collect()}
+    assert places[1, "a"] == 3 and places[2, "a"] == 1 and len(places) == 6
+    ties = spark.createDataFrame([(1, "a", 1), (1, "b", 1), (2, "b", 1), (2, "c", 1)], "season int, team string, tie int")
+    mini = {(r.season, r.team): r.h2h_points for r in tables.head_to_head(matches, ties, ["season"]).collect()}
+    assert set(mini) == {(1, "a"), (1, "b"), (2, "b"), (2, "c")} and mini[2, "c"] == 4
+
+
+def test_more_teams_than_a_season_has(spark, monkeypatch):
+    monkeypatch.setattr(simulate, "MOST_TEAMS", 2)
+    states = spark.createDataFrame([(t, 0.0, 0.1) for t in "abc"], "team string, quality double, quality_sd double")
+    with pytest.raises(ValueError, match="more teams"):
+        simulate.sample_states(spark, states, 10, 0)

@@ -65,6 +65,13 @@ def test_digest_ignores_order(spark, order):
     assert df.agg(*relops.digest(df, ["x", "y"])).first() == spark.createDataFrame(rows, "x int, y string").agg(*relops.digest(df, ["x", "y"])).first()
 
 
+def test_digest_sees_every_row(spark):
+    rows = [(k, f"v{k}") for k in range(60)]
+    run = lambda some: tuple(spark.createDataFrame(some, "x int, y string").agg(*relops.digest(spark.createDataFrame(rows, "x int, y string"), ["x", "y"])).first())
+    changed = [run([r if k != at else (r[0], "other") for k, r in enumerate(rows)]) for at in range(0, 60, 7)]
+    assert len({run(rows), *changed, run([*rows, rows[0]]), run([(0, "~"), *rows[1:]]), run([(0, None), *rows[1:]])}) == len(changed) + 4
+
+
 def test_buckets_change_nothing(spark):
     left = spark.range(400).select((F.col("id") % 3).alias("k"), (F.col("id") * 7 % 211).cast("int").alias("t"), F.col("id"))
     right = spark.range(90).select((F.col("id") % 2).alias("k"), (F.col("id") * 13 % 199).cast("int").alias("at"), F.col("id").alias("v"))

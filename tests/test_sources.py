@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from fieldbook.operators import verify
 from fieldbook.plans.namespace import Namespace, Relation
 from fieldbook.session import scratch
 from fieldbook.sources import canonical, evidence, files
@@ -134,3 +135,43 @@ def test_namespace(spark):
     assert out["b"]["rows"] == [["xxxxxxxx…", 0.333333]] and not out["b"]["truncated"]
     with pytest.raises(ValueError):
         Namespace(spark, [Relation("a", "", "", spark.range(1)), Relation("a", "", "", spark.range(1))])
+
+
+def test_a_view_goes_on_from_its_checkpoint(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    first = spark.createDataFrame([(k % 40, k, f"v{k}") for k in range(100)], "k int, at int, v string")
+    run = lambda: {r.k: r.v for r in incremental.run_current_view(incremental.read_events(spark, f"{root}/in", first.schema), ["k"], [F.desc("at")], root).collect()}
+    first.repartition(3).write.parquet(f"{root}/in")
+    want = {k % 40: f"v{k}" for k in range(100)}
+    assert run() == want
+    assert run() == want  # nothing new
+    spark.createDataFrame([(3, 500, "late"), (77, 501, "new"), (4, -1, "old")], first.schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    assert run() == want | {3: "late", 77: "new"} == run()
+
+
+def test_a_stream_without_rows(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    rows = spark.createDataFrame([], "k int, at timestamp")
+    rows.write.parquet(f"{root}/in")
+    assert incremental.run_current_view(incremental.read_events(spark, f"{root}/in", rows.schema), ["k"], [F.desc("at")], f"{root}/a").collect() == []
+
+
+def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    days = lambda *some: spark.createDataFrame([("x", f"2024-01-{d:02d} 12:00:00") for d in some], "k string, at string").select("k", F.col("at").cast("timestamp").alias("at"))
+    run = lambda: {r.start.day: r.n for r in incremental.run_window_counts(incremental.read_events(spark, f"{root}/in", days(1).schema), "at", "1 day", "2 days", ["k"], root).collect()}
+    days(1, 1, 2).coalesce(1).write.parquet(f"{root}/in")
+    assert run() == {1: 2, 2: 1}
+    days(20).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    assert run() == {1: 2, 2: 1, 20: 1} == run()
+    days(1, 19, 20).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    assert run() == {1: 2, 2: 1, 19: 1, 20: 2}  # the first is too late
+
+
+def test_private_values_in_maps_and_deep_arrays(spark):
+    schema = "id int, m map<string,string>, deep array<struct<a:array<string>,n:map<string,struct<t:string>>>>"
+    rows = [(1, {"k": "secret 7"}, None), (2, {"secret 8": "x"}, []), (3, None, [(["ok", "secret 9"], None)]), (4, None, [(None, {"k": ("secret 1",)})]), (5, {"k": "fine"}, [(["fine"], {"k": ("fine",)})])]
+    documents = spark.createDataFrame(rows, schema)
+    names = {"id", "m", "deep", "a", "n", "t"}
+    found = verify.unpublishable(documents, names, ["private"], ["secret [0-9]"], "id").collect()
+    assert sorted((r.subject, r.path) for r in found) == [("1", "$.m{}"), ("2", "$.m{key}"), ("3", "$.deep[].a[]"), ("4", "$.deep[].n{}.t")]
