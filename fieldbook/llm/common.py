@@ -1,4 +1,4 @@
-"""Tables in the shared folder, and connected components over them."""
+"""Tables in the shared folder, rows told apart by bit sets, and connected components."""
 
 from __future__ import annotations
 
@@ -76,11 +76,63 @@ def drop(table: DataFrame | None) -> None:
         remove(table.sparkSession, table.path)
 
 
-def packed(docs: DataFrame, instead: dict[str, Column] | None = None) -> Column:
-    """All columns of ``docs`` as one struct, some replaced, so that columns added beside it
-    cannot clash with them. ``select("row.*")`` of an alias ``row`` gives them back."""
-    plain = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
-    return F.struct(*[(instead or {}).get(c, plain[c]).alias(c) for c in docs.columns])
+def named(name: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free(docs: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before those that ``docs`` has, so that none clashes."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def require_free(docs: DataFrame, added) -> None:
+    if free(docs, *added) != list(added):
+        raise ValueError(f"{', '.join(added)} are to be added, and one of them is there already: give other names")
+
+
+#: Bits of a set of hashed rows at most (32 MB, so it may be broadcast), and those that one row of it holds.
+MOST_BITS = 1 << 28
+_BUCKET = 1 << 15
+
+
+def bit_set(found: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """(_bucket, _bits) of the hashed rows of ``found``, and the number of buckets.
+
+    About eight bits a row, and ``MOST_BITS`` at most.
+    """
+    buckets = min(MOST_BITS, max(1, 8 * found.count())) // _BUCKET + 1
+    position = F.pmod(_spread(columns), F.lit(buckets * _BUCKET))
+    marked = found.groupBy(F.floor(position / _BUCKET).alias("_bucket"))
+    return marked.agg(F.bitmap_construct_agg(F.pmod(position, F.lit(_BUCKET))).alias("_bits")), buckets
+
+
+def _spread(columns: list[str]) -> Column:
+    return F.xxhash64(*columns, F.lit("bit"))
+
+
+def apart(rows: DataFrame, found: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows that may be among ``found`` by these columns of both, and those that are not.
+
+    Told by a hashed bit set, so that only the former, with some chance hits, need meet
+    ``found`` in a shuffle. Where ``found`` is larger than the set is made for, more rows may
+    be; none is ever lost. ``found`` should be a written table, as it is read twice.
+    """
+    marked, buckets = bit_set(found, columns)
+    position, bucket, bits, may = free(rows, "position", "bucket", "bits", "may")
+    placed = rows.withColumn(position, F.pmod(_spread(columns), F.lit(buckets * _BUCKET)))
+    placed = placed.withColumn(bucket, F.floor(F.col(position) / _BUCKET)).join(F.broadcast(marked.toDF(bucket, bits)), bucket, "left")
+    bit = F.pmod(position, F.lit(_BUCKET))
+    byte = F.conv(F.hex(F.substring(bits, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    placed = placed.withColumn(may, F.coalesce(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False)))
+    kept = [named(c) for c in rows.columns]
+    return placed.filter(F.col(may)).select(kept), placed.filter(~F.col(may)).select(kept)
 
 
 BATCH_BYTES = 2 << 20

@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from fieldbook.llm.common import cut, drop, map_arrow, packed, slices
+from fieldbook.llm.common import cut, drop, free, map_arrow, named, require_free, slices
 
 ORDER = 3
 ROWS = 256
@@ -226,15 +227,28 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 ADDED = {"lang_pred": "string", "score": "double", "bits_per_byte": "double", "plain_bits_per_byte": "double"}
 
 
-def _identified(rows: DataFrame, model: Model) -> DataFrame:
-    """``row`` and ``ADDED`` for rows (row, letters, text): own columns, whether it has a letter, its bytes."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def identify(docs: DataFrame, model: Model, text_col: str = "text", added: list[str] | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` with lang_pred, score, bits_per_byte and plain_bits_per_byte.
+
+    lang_pred has the shortest code; score is its share of 2^-bits over all languages.
+    plain_bits_per_byte is what the text takes without context: by the frequencies of bytes
+    in all languages together, or as equally likely bytes, whichever is less. A null text,
+    one without a letter, or a model without languages gives ``und``, 0 and nulls. Whole
+    texts are read. ``added`` gives the four columns other names; a name that ``docs`` has raises.
+    """
+    names = list(added or ADDED)
+    require_free(docs, names)
+    kept = docs.columns
+    text = named(text_col)
+    letters, data = free(docs, "letters", "bytes")
+    rows = docs.select(*map(named, kept), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias(letters), text.cast("binary").alias(data))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = shared.value
-        for batch in (part for whole in batches for part in slices(whole, 2)):
-            letters = batch.column(1).to_numpy(zero_copy_only=False)
-            texts = batch.column(2).to_pylist()
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
+            letters = batch.column(batch.num_columns - 2).to_numpy(zero_copy_only=False)
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             pred = np.full(len(texts), UNKNOWN, object)
             score, rate, plain = np.zeros(len(texts)), np.full(len(texts), np.nan), np.full(len(texts), np.nan)
             rows = np.flatnonzero(letters) if model.langs else np.zeros(0, int)
@@ -247,30 +261,14 @@ def _identified(rows: DataFrame, model: Model) -> DataFrame:
                 score[rows] = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
                 rate[rows], plain[rows] = least / size, model.plain_lengths(own) / size
             extra = [pa.array(pred, pa.string()), pa.array(score), pa.array(rate, from_pandas=True), pa.array(plain, from_pandas=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *extra], ["row", *ADDED])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *extra], [*kept, *names])
 
-    schema = rows.select("row").schema
-    for name, kind in ADDED.items():
+    schema = StructType(list(docs.schema))
+    for name, kind in zip(names, ADDED.values()):
         schema = schema.add(name, kind)
     return map_arrow(rows, run, schema)
 
 
-def _inputs(row: Column, text_col: str) -> list[Column]:
-    return [row.alias("row"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col(text_col).cast("binary").alias("text")]
-
-
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(row, lang_pred, score, bits_per_byte, plain_bits_per_byte) of every row of ``docs``.
-
-    ``row`` is a struct of all its columns, whatever their names. lang_pred has the shortest
-    code; score is its share of 2^-bits over all languages. plain_bits_per_byte is what the
-    text takes without context: by the frequencies of bytes in all languages together, or
-    as equally likely bytes, whichever is less. A null text, one without a letter, or a
-    model without languages gives ``und``, 0 and nulls. Whole texts are read.
-    """
-    return _identified(docs.select(*_inputs(packed(docs), text_col)), model)
-
-
 def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, their columns as they are, whose text is in one of the model's languages.
 
@@ -280,10 +278,11 @@ def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     the model uses. Where nothing could be learned no text with a letter is rejected.
     Repeated rows are treated alike.
     """
-    found = identify(docs, model, text_col)
     if not model.langs:
-        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= F.col("plain_bits_per_byte") + MARGIN)).select("row.*")
+        return docs.filter(named(text_col).rlike(r"\p{L}"))
+    lang, score, rate, plain = free(docs, *ADDED)
+    found = identify(docs, model, text_col, [lang, score, rate, plain])
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(rate) <= F.col(plain) + MARGIN)).select([named(c) for c in docs.columns])
 
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -296,6 +295,5 @@ def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ignored, whatever their names. An empty table gives no rows, unlabelled tables only ``und``.
     """
     model = fit(docs, id_col, text_col, lang_col)
-    own = F.struct(F.col(id_col).alias("id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"))
-    found = _identified(docs.select(*_inputs(own, text_col)), model)
-    return found.select(F.col("row.id").alias(id_col), "row.held_out", "lang_pred", "score", "bits_per_byte")
+    rows = docs.select(named(id_col).alias("id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), named(text_col).alias("text"))
+    return identify(rows, model, "text").select(F.col("id").alias(id_col), "held_out", "lang_pred", "score", "bits_per_byte")

@@ -7,9 +7,7 @@ document and position, and a streaming window takes each hash's first occurrence
 number of documents. What comes back for a document that loses lines is its keep bitmap,
 compressed to runs of kept lines, never its text; the text is put together from the runs.
 
-Only documents that may lose lines meet their bitmaps in a shuffle. Which these are tells a
-hashed bit set of the losing ones, of at most ``MOST_BITS`` bits (32 MB): a small share of the
-others is shuffled too, and a larger one where more documents lose lines than that is made for.
+Only documents that may lose lines meet their bitmaps in a shuffle (``common.apart``).
 
 Rows are documents: a repeated row counts again. A null or empty text is one empty line;
 empty keys are never dropped. Rows are told apart by id and text hash, which decide
@@ -23,12 +21,10 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import cut, packed
+from fieldbook.llm.common import apart, cut, free, named, require_free
 
 MIN_DOCS = 10
 BLANKS = " \t\n\x0b\x0c\r"
-MOST_BITS = 1 << 28
-_BUCKET = 1 << 15  # bits that bitmap_construct_agg holds
 _SALTS = 16
 
 
@@ -82,58 +78,34 @@ def keep_bitmaps(docs: DataFrame, id_col: str, text_col: str, min_docs: int = MI
     return gone.select("id", "th", "n_lines", F.expr(runs).alias("keep"))
 
 
-def _bit_set(bitmaps: DataFrame) -> tuple[DataFrame, int]:
-    """(bucket, bits) of the hashed rows of ``bitmaps``, and the number of buckets.
-
-    About eight bits a row, and ``MOST_BITS`` at most.
-    """
-    rows = bitmaps.count()
-    buckets = min(MOST_BITS, max(1, 8 * rows)) // _BUCKET + 1
-    position = F.pmod(_spread("id", "th"), F.lit(buckets * _BUCKET))
-    marked = bitmaps.groupBy(F.floor(position / _BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(F.pmod(position, F.lit(_BUCKET))).alias("bits"))
-    return marked, buckets
-
-
-def _spread(*columns) -> Column:
-    return F.xxhash64(*columns, F.lit("bit"))
-
-
-def _is_set(bits: Column, position: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bits, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, F.pmod(position, F.lit(8)).cast("int")) == 1, F.lit(False))
+ADDED = ("n_lines", "n_dropped", "keep")
 
 
-def with_kept_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS, keep_first: bool = False) -> DataFrame:
-    """(row, n_lines, n_dropped, keep) of every row of ``docs``.
+def with_kept_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int = MIN_DOCS, keep_first: bool = False, added: tuple[str, ...] = ADDED) -> DataFrame:
+    """All rows and columns of ``docs``, the text without the lines that go, and three more.
 
-    ``row`` is a struct of all its columns, whatever their names, with the text without the
-    lines that go; a null text stays null. ``keep`` is the compressed bitmap.
+    ``added`` names the numbers of lines and of dropped lines and the compressed bitmap; a
+    name that ``docs`` has raises. A null text stays null.
     """
+    require_free(docs, added)
     bitmaps = cut(keep_bitmaps(docs, id_col, text_col, min_docs, keep_first), "bitmaps")
-    marked, buckets = _bit_set(bitmaps)
-    position = F.pmod(_spread("id", "th"), F.lit(buckets * _BUCKET))
-    rows = docs.select(packed(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("position", position).withColumn("bucket", F.floor(F.col("position") / _BUCKET))
-    rows = rows.join(F.broadcast(marked), "bucket", "left").withColumn("may", _is_set(F.col("bits"), F.pmod("position", F.lit(_BUCKET))))
-    whole = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    n_lines = F.coalesce(whole, F.lit(1))
-    everything = F.array(F.struct(F.lit(0).alias("start"), n_lines.alias("length")))
-    untouched = rows.filter(~F.col("may")).select("row", n_lines.cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), everything.alias("keep"))
+    id_, th, null, lines, own_id, own_th, keep = free(docs, "id", "th", "null", "lines", "own_id", "own_th", "keep")
+    rows = docs.select(*map(named, docs.columns), named(id_col).alias(id_), F.xxhash64(named(text_col)).alias(th))
+    losing, others = apart(rows, bitmaps.select("id", "th").toDF(id_, th), [id_, th])
+    text = named(text_col)
+    n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1, F.lit(1))
+    everything = lambda n: F.array(F.struct(F.lit(0).alias("start"), n.alias("length")))
+    untouched = others.select(*map(named, docs.columns), *[x.alias(c) for x, c in zip((n_lines.cast("long"), F.lit(0).cast("long"), everything(n_lines)), added)])
     # The lines are made below the join: above it the lambda would split the text once a run.
-    moved = rows.filter("may").select("row", "id", "th", text_lines(F.col("text")).alias("lines"))
-    found = bitmaps.select(F.col("id").alias("own_id"), F.col("th").alias("own_th"), "keep")
-    moved = moved.join(found, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th")), "left")
-    kept = F.array_join(F.flatten(F.transform("keep", lambda run: F.slice("lines", run["start"] + 1, run["length"]))), "\n")
-    n = F.size("lines")
-    text = F.when(F.col("keep").isNull(), F.col("row")[text_col]).otherwise(kept)
-    row = F.struct(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
-    left = F.aggregate("keep", F.lit(0), lambda total, run: total + run["length"])
-    moved = moved.select(
-        row.alias("row"),
-        n.cast("long").alias("n_lines"),
-        F.coalesce(n - left, F.lit(0)).cast("long").alias("n_dropped"),
-        F.coalesce("keep", F.array(F.struct(F.lit(0).alias("start"), n.alias("length")))).alias("keep"),
-    )
+    moved = losing.select(*[named(c) for c in docs.columns if c != text_col], id_, th, text.isNull().alias(null), text_lines(text).alias(lines))
+    found = bitmaps.select("id", "th", "keep").toDF(own_id, own_th, keep)
+    moved = moved.join(found, F.col(id_).eqNullSafe(F.col(own_id)) & (F.col(th) == F.col(own_th)), "left")
+    kept = F.flatten(F.transform(keep, lambda run: F.slice(lines, run["start"] + 1, run["length"])))
+    text = F.when(~F.col(null), F.array_join(F.when(F.col(keep).isNull(), F.col(lines)).otherwise(kept), "\n"))
+    left = F.aggregate(keep, F.lit(0), lambda total, run: total + run["length"])
+    n = F.size(lines)
+    values = n.cast("long"), F.coalesce(n - left, F.lit(0)).cast("long"), F.coalesce(keep, everything(n))
+    moved = moved.select(*[text.alias(c) if c == text_col else named(c) for c in docs.columns], *[x.alias(c) for x, c in zip(values, added)])
     return untouched.union(moved)
 
 
@@ -143,9 +115,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Where all lines go, or the text is null, the digest is that of the empty text. Other
     columns are ignored, whatever their names; an empty table gives no rows.
     """
-    rows = with_kept_lines(docs.select(id_col, text_col), id_col, text_col, min_docs)
-    digest = F.sha2(F.coalesce(F.col("row")[text_col], F.lit("")).cast("binary"), 256)
-    return rows.select(F.col("row")[id_col].alias(id_col), "n_lines", "n_dropped", digest.alias("kept_sha256"))
+    rows = with_kept_lines(docs.select(named(id_col).alias("id"), named(text_col).alias("text")), "id", "text", min_docs)
+    return rows.select(F.col("id").alias(id_col), "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 SQL = """

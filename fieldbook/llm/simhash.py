@@ -18,10 +18,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.llm.common import connected_components, cut, drop, map_arrow, packed
+from fieldbook.llm.common import apart, connected_components, cut, drop, free, map_arrow, named
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -64,7 +64,7 @@ def fingerprint(text: bytes | None, width: int = SHINGLE_WORDS) -> int:
 def with_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, th, fp) of every row; whole texts, null like an empty one. fp is a signed long,
     th a hash of the text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(named(id_col).alias("id"), F.xxhash64(named(text_col)).alias("th"), named(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -188,15 +188,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     other. All columns stay as they are, whatever their names; an empty table gives no rows.
     """
     prints = cut(with_fingerprint(docs, id_col, text_col), "prints")
-    own = ["own_id", "own_th"]
-    same = F.col("id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th"))
+    id_, th, own_id, own_th, place = free(docs, "id", "th", "own_id", "own_th", "place")
+    same = F.col(id_).eqNullSafe(F.col(own_id)) & (F.col(th) == F.col(own_th))
     gone = prints.join(_classes(prints).select("fp", "first"), "fp").filter(~F.struct("id", "th").eqNullSafe(F.col("first")))
-    gone = cut(gone.select("id", "th").distinct().toDF(*own), "duplicates")
-    rows = docs.select(packed(docs).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
-    left = rows.join(gone, same, "left_anti")
-    again = cut(prints.groupBy("id", "th").count().filter("count > 1").select("id", "th").toDF(*own), "repeated")
+    gone = cut(gone.select("id", "th").distinct(), "duplicates")
+    columns = [named(c) for c in docs.columns]
+    rows = docs.select(*columns, named(id_col).alias(id_), F.xxhash64(named(text_col)).alias(th))
+    may, clear = apart(rows, gone.toDF(id_, th), [id_, th])
+    left = may.join(gone.toDF(own_id, own_th), same, "left_anti").unionByName(clear)
+    again = cut(prints.groupBy("id", "th").count().filter("count > 1").select("id", "th").toDF(own_id, own_th), "repeated")
     if again.isEmpty():
-        return left.select("row.*")
-    hashed = F.xxhash64(*[F.col("row")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    once = left.join(again, same, "left_semi").groupBy("id", "th").agg(F.min_by("row", hashed).alias("row"))
-    return left.join(again, same, "left_anti").select("row").union(once.select("row")).select("row.*")
+        return left.select(columns)
+    hashed = F.xxhash64(*[named(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    order = Window.partitionBy(id_, th).orderBy(hashed)
+    once = left.join(again, same, "left_semi").withColumn(place, F.row_number().over(order)).filter(F.col(place) == 1)
+    return left.join(again, same, "left_anti").select(columns).union(once.select(columns))

@@ -111,10 +111,13 @@ def test_held_out_accuracy(spark):
 
 def test_hard_cases(docs, no_docs):
     model = langid.train({"x": [b"word and words"], "y": [b"other"]})
-    got = {(r.row.doc_id, r.row.text): r for r in langid.identify(docs, model).collect()}
+    docs = docs.select("doc_id", "text", "source")
+    got = {(r.doc_id, r.text): r for r in langid.identify(docs, model).collect()}
     assert all(got[k, t].lang_pred == "und" and got[k, t].score == 0 for k, t in [(0, None), (1, ""), (2, "   "), (3, "12 34 !!")])
     assert got[4, "word"].lang_pred == "x"
     assert langid.identify(docs, model).count() == docs.count()
     assert langid.language_ids(no_docs).collect() == []
+    with pytest.raises(ValueError, match="score"):
+        langid.identify(no_docs, model)
     nothing = langid.train({})
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}

@@ -8,7 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from fieldbook.llm import linededup
+from fieldbook.llm import common, linededup
 
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -45,7 +45,7 @@ def test_unicode_blanks_and_all_lines_gone(spark):
 
 def test_first_occurrence_stays(spark):
     docs = spark.createDataFrame([(k, f"own {k}\nshared\nown\nshared") for k in range(5)], "doc_id long, text string")
-    rows = {r.row.doc_id: (r.row.text, r.n_dropped, [tuple(x) for x in r.keep]) for r in linededup.with_kept_lines(docs, "doc_id", "text", 2, keep_first=True).collect()}
+    rows = {r.doc_id: (r.text, r.n_dropped, [tuple(x) for x in r.keep]) for r in linededup.with_kept_lines(docs, "doc_id", "text", 2, keep_first=True).collect()}
     assert rows[0] == ("own 0\nshared\nown", 1, [(0, 3)])
     assert rows[4] == ("own 4", 3, [(0, 1)])
 
@@ -54,9 +54,9 @@ def test_texts_are_made_of_their_bitmaps(spark, docs, monkeypatch):
     """Break the bitmaps: the texts must follow."""
     real = linededup.keep_bitmaps
     monkeypatch.setattr(linededup, "keep_bitmaps", lambda *a: real(*a).withColumn("keep", F.slice("keep", 1, 1)))
-    for r in linededup.with_kept_lines(docs, "doc_id", "text").filter("n_dropped > 0").collect():
-        lines = {x.doc_id: x.text for x in docs.filter("text like '%shared%'").collect()}[r.row.doc_id].split("\n")
-        assert len(r.keep) == 1 and r.row.text == "\n".join(lines[r.keep[0].start :][: r.keep[0].length])
+    for r in linededup.with_kept_lines(docs.select("doc_id", "text"), "doc_id", "text").filter("n_dropped > 0").collect():
+        lines = {x.doc_id: x.text for x in docs.filter("text like '%shared%'").collect()}[r.doc_id].split("\n")
+        assert len(r.keep) == 1 and r.text == "\n".join(lines[r.keep[0].start :][: r.keep[0].length])
 
 
 def test_only_documents_that_may_lose_lines_move(spark, monkeypatch):
@@ -64,11 +64,11 @@ def test_only_documents_that_may_lose_lines_move(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = {k: t.split("\n")[0] for k, t in rows}
     for most in (1 << 28, 0):  # the least bit set holds few rows apart, and changes nothing
-        monkeypatch.setattr(linededup, "MOST_BITS", most)
-        assert {r.row.doc_id: r.row.text for r in linededup.with_kept_lines(docs, "doc_id", "text").collect()} == want
-    bits, buckets = linededup._bit_set(spark.createDataFrame([(k, k * k) for k in range(5000)], "id long, th long"))
+        monkeypatch.setattr(common, "MOST_BITS", most)
+        assert {r.doc_id: r.text for r in linededup.with_kept_lines(docs, "doc_id", "text").collect()} == want
+    bits, buckets = common.bit_set(spark.createDataFrame([(k, k * k) for k in range(5000)], "id long, th long"), ["id", "th"])
     assert buckets * 32768 >= 8 * 5000 or buckets == 1
-    assert bits.selectExpr("sum(bitmap_count(bits))").first()[0] > 4000 * (buckets > 1)
+    assert bits.selectExpr("sum(bitmap_count(_bits))").first()[0] > 4000 * (buckets > 1)
 
 
 def test_empty_table(no_docs):

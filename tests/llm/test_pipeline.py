@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from fieldbook.llm import langid
+from fieldbook.llm.common import cut
 from tests.llm.test_decontam import plain as contaminated
 from tests.llm.test_linededup import keyed
 from tests.llm.test_simhash import components, plain_fingerprint
@@ -50,7 +51,7 @@ def test_stages_keep_the_columns_and_take_hard_cases(spark, sf, docs, no_docs):
     for start in (docs, no_docs):
         rows = start
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            rows = stage(spark, rows, sf)
+            rows = cut(stage(spark, rows, sf), "stage")
             assert rows.columns == start.columns and rows.dtypes == start.dtypes
         assert corpus_pipeline.STAGES[-1][1](spark, rows, sf).count() == rows.count()
 
@@ -60,7 +61,7 @@ def test_columns_keep_their_values(spark, sf, docs):
     changed = {"text", "n_chars"}
     rows = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        rows = stage(spark, rows, sf)
+        rows = cut(stage(spark, rows, sf), "stage")
         found = [r.asDict() for r in rows.collect()]
         assert len(found) > 10, name
         for r in found:
@@ -98,4 +99,4 @@ def test_a_language_of_long_rows_is_learned(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.fit(docs)
     assert model.langs == ["de", "en"]
-    assert {(r.row.lang, r.lang_pred) for r in langid.identify(docs, model).collect()} == {("de", "de"), ("en", "en")}
+    assert {(r.lang, r.lang_pred) for r in langid.identify(docs, model).collect()} == {("de", "de"), ("en", "en")}
