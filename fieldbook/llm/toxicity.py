@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from fieldbook.llm.common import cut, drop, map_arrow, packed, slices
+from fieldbook.llm.common import cut, drop, free, map_arrow, named, require_free, slices
 
 ORDERS = (3, 4, 5, 6)
 BUCKETS = 22  # as a power of two
@@ -35,7 +36,6 @@ ROW_BYTES = 1 << 16
 SAMPLE_BYTES = 32 << 20
 PENALTY = 1.0
 _TASKS = 8
-_BREAK = "\udfff"  # no text holds it
 _WINDOW = 1 << 19
 
 
@@ -44,33 +44,27 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
-def characters(texts: Iterable[bytes]) -> np.ndarray:
-    """The characters of the texts in lower case as numbers, a break behind each text."""
-    joined = "".join(t.decode("utf-8", "replace").lower() + _BREAK for t in texts)
-    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def _buckets(data: np.ndarray):
-    """For each order, the bucket of the n-gram that starts at each character; -1 over a break."""
-    n, hashes = len(data), np.zeros(len(data), np.uint32)
-    broken = np.flatnonzero(data == ord(_BREAK))
-    for order in range(1, max(ORDERS) + 1):
-        hashes = hashes[: n - order + 1] * np.uint32(0x01000193) + data[order - 1 : n] + np.uint32(order)
-        if len(hashes) == 0:
-            return
-        if order in ORDERS:
-            found = ((hashes * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS)).astype(np.int32)
-            for back in range(order):
-                at = broken - back
-                found[at[(at >= 0) & (at < len(found))]] = -1
-            yield found
-
-
-def present(text: bytes, column: np.ndarray | None = None) -> np.ndarray:
-    """The distinct buckets of one text, or the columns of those that have one."""
-    found = [b[b >= 0] for b in _buckets(characters([text]))]
-    if column is not None:
-        found = [x[x >= 0] for x in (column[b] for b in found)]
+def _buckets(text: bytes):
+    """The buckets of all n-grams of the characters of a text in lower case, in bounded arrays."""
+    data = np.frombuffer(text.decode("utf-8", "replace").lower().encode("utf-32-le", "replace"), np.uint32)
+    for start in range(0, len(data), _WINDOW):
+        part = data[start : start + _WINDOW + max(ORDERS) - 1]
+        hashes = np.zeros(len(part), np.uint32)
+        for order in range(1, min(max(ORDERS), len(part)) + 1):
+            hashes = hashes[: len(part) - order + 1] * np.uint32(0x01000193) + part[order - 1 :] + np.uint32(order)
+            if order in ORDERS:
+                yield ((hashes[:_WINDOW] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS)).astype(np.int32)
+
+
+def present(text: bytes, used: np.ndarray | None = None) -> np.ndarray:
+    """The distinct buckets of one text, each once, or those of them that are used."""
+    found, n = [], 0
+    for bucket in _buckets(text):
+        found.append(bucket if used is None else bucket[used[bucket]])
+        n += len(found[-1])
+        if n > _WINDOW:  # a long text is never held as all its n-grams
+            found = [np.unique(np.concatenate(found))]
+            n = 0
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
@@ -84,25 +78,13 @@ class Model:
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """The probability of every text, from all its n-grams."""
-        total = np.full(len(texts), self.intercept)
-        data = characters(texts)
-        ends = np.flatnonzero(data == ord(_BREAK)) + 1
-        pairs = []
-        for start in range(0, len(data), _WINDOW):
-            for bucket in _buckets(data[start : start + _WINDOW + max(ORDERS) - 1]):
-                bucket = bucket[:_WINDOW]
-                at = np.flatnonzero(self.used[bucket] & (bucket >= 0))
-                if len(at):
-                    pairs.append(np.unique(np.searchsorted(ends, start + at, "right").astype(np.int64) << BUCKETS | bucket[at]))
-        if pairs:
-            met = np.unique(np.concatenate(pairs))
-            np.add.at(total, met >> BUCKETS, self.weight[met & ((1 << BUCKETS) - 1)])
+        total = np.array([self.intercept + float(self.weight[present(t, self.used)].sum(dtype=np.float64)) for t in texts])
         return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
 
 
-def class_counts(rows: Iterable[tuple[int, bytes]]) -> np.ndarray:
-    """(2, buckets): the rows of either class that hold each bucket."""
-    counts = np.zeros((2, 1 << BUCKETS), np.int32)
+def class_counts(rows: Iterable[tuple[int, bytes]], most: int = 1 << 31) -> np.ndarray:
+    """(2, buckets): how many rows of either class, ``most`` at most, hold each bucket."""
+    counts = np.zeros((2, 1 << BUCKETS), np.uint16 if most < 1 << 16 else np.uint32)
     for label, text in rows:
         counts[label, present(text)] += 1
     return counts
@@ -123,18 +105,18 @@ def constant(rows: np.ndarray) -> Model:
 
 def fitted(bucket: np.ndarray, ratio: np.ndarray, features: list[np.ndarray], toxic: np.ndarray) -> Model:
     """The model of rows whose features are places in ``bucket``."""
-    owner = np.repeat(np.arange(len(features)), [len(x) for x in features])
-    feature = np.concatenate(features)
-    coef, intercept = _logistic(owner, feature, ratio[feature], toxic, len(bucket))
+    coef, intercept = _logistic(features, ratio, toxic)
     weight = np.zeros(1 << BUCKETS, np.float32)
     weight[bucket] = coef * ratio
     return Model(weight, intercept)
 
 
-def _columns(bucket: np.ndarray) -> np.ndarray:
-    column = np.full(1 << BUCKETS, -1, np.int32)
-    column[bucket] = np.arange(len(bucket))
-    return column
+def _places(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each bucket is one of these, and its place among them."""
+    used, place = np.zeros(1 << BUCKETS, bool), np.zeros(1 << BUCKETS, np.int32)
+    used[bucket] = True
+    place[bucket] = np.arange(len(bucket))
+    return used, place
 
 
 def train(texts: list[bytes], toxic: np.ndarray) -> Model:
@@ -145,49 +127,56 @@ def train(texts: list[bytes], toxic: np.ndarray) -> Model:
     bucket = np.flatnonzero(ratio)
     if not len(bucket):
         return constant(rows)
-    column = _columns(bucket)
-    return fitted(bucket, ratio[bucket], [present(t, column) for t in texts], toxic)
-
-
-def _logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Penalised maximum likelihood by Newton steps with conjugate gradients."""
-    w, b, rows = np.zeros(width), 0.0, len(y)
+    used, place = _places(bucket)
+    return fitted(bucket, ratio[bucket], [np.sort(place[present(t, used)]) for t in texts], toxic)
 
-    def times(v: np.ndarray) -> np.ndarray:
-        return np.bincount(row, value * v[column], rows)
 
-    def transposed(u: np.ndarray) -> np.ndarray:
-        return np.bincount(column, value * u[row], width)
+def _logistic(features: list[np.ndarray], ratio: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients of the scaled features and an intercept, of least penalised loss.
 
-    def loss(w: np.ndarray, b: float) -> float:
-        z = times(w) + b
-        return float(np.logaddexp(0, np.where(y == 1, -z, z)).sum() + PENALTY / 2 * (w @ w))
-
-    now = loss(w, b)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-(times(w) + b)))
-        gradient = np.r_[transposed(p - y) + PENALTY * w, (p - y).sum()]
-        if np.abs(gradient).max() < 1e-4 * rows**0.5:
+    Limited-memory quasi-Newton steps (Liu and Nocedal, 1989), each within a halving search.
+    """
+    bounds = np.cumsum([0, *map(len, features)])
+    feature = np.concatenate(features)
+    blocks = [(a, min(a + 256, len(toxic))) for a in range(0, len(toxic), 256)]
+
+    def loss(at: np.ndarray) -> tuple[float, np.ndarray]:
+        value, slope, total = at[:-1] * ratio, np.zeros(len(at)), PENALTY / 2 * float(at[:-1] @ at[:-1])
+        for a, b in blocks:
+            own, y = feature[bounds[a] : bounds[b]], toxic[a:b]
+            upto = np.r_[0, np.cumsum(value[own])]
+            z = upto[bounds[a + 1 : b + 1] - bounds[a]] - upto[bounds[a:b] - bounds[a]] + at[-1]
+            total += float(np.logaddexp(0, np.where(y == 1, -z, z)).sum())
+            gap = 1 / (1 + np.exp(-z)) - y
+            slope[:-1] += np.bincount(own, np.repeat(gap, np.diff(bounds[a : b + 1])), len(ratio))
+            slope[-1] += gap.sum()
+        slope[:-1] = slope[:-1] * ratio + PENALTY * at[:-1]
+        return total, slope
+
+    at = np.zeros(len(ratio) + 1)
+    now, slope = loss(at)
+    least = 1e-4 * np.sqrt(slope @ slope)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(200):
+        if np.sqrt(slope @ slope) <= least:
             break
-        curve = np.maximum(p * (1 - p), 1e-6)
-        step, rest = np.zeros(width + 1), -gradient
-        way, square = rest.copy(), rest @ rest
-        for _ in range(40):
-            u = curve * (times(way[:-1]) + way[-1])
-            bent = np.r_[transposed(u) + PENALTY * way[:-1], u.sum() + 1e-9 * way[-1]]
-            far = square / (way @ bent)
-            step, rest = step + far * way, rest - far * bent
-            before, square = square, rest @ rest
-            if square < 1e-6 * (gradient @ gradient):
-                break
-            way = rest + square / before * way
-        scale = 1.0
-        while scale > 1e-6 and (new := loss(w + scale * step[:-1], b + scale * step[-1])) > now:
-            scale /= 2
-        if scale <= 1e-6:
+        way, used = -slope, []
+        for s, y in reversed(held):
+            used.append((s @ way) / (s @ y))
+            way = way - used[-1] * y
+        way = way * ((held[-1][0] @ held[-1][1]) / (held[-1][1] @ held[-1][1]) if held else 1 / np.sqrt(slope @ slope))
+        for (s, y), share in zip(held, reversed(used)):
+            way = way + (share - (y @ way) / (s @ y)) * s
+        far = 1.0
+        while (new := loss(at + far * way))[0] > now + 1e-4 * far * float(way @ slope) and far > 1e-8:
+            far /= 2
+        if far <= 1e-8:
             break
-        w, b, now = w + scale * step[:-1], b + scale * step[-1], new
-    return w, float(b)
+        step, bend = far * way, new[1] - slope
+        if step @ bend > 1e-12:
+            held = [*held[-7:], (step, bend)]
+        at, now, slope = at + step, *new
+    return at[:-1], float(at[-1])
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -217,11 +206,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return constant(rows)
 
     def count(batches):
-        counts = class_counts((y, t) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        counts = class_counts(((y, t) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), ROWS)
         bucket = np.flatnonzero(counts.any(0)).astype(np.int32)
         for at in range(0, len(bucket), 1 << 16):
             some = bucket[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], ["bucket", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(c[some].astype(np.int32)) for c in counts]], ["bucket", "clean", "toxic"])
 
     partial = map_arrow(known.select("y", "text"), count, "bucket int, clean int, toxic int")
     found = partial.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
@@ -235,9 +224,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(bucket)
 
     def describe(batches):
-        column = _columns(shared.value)
+        used, place = _places(shared.value)
         for batch in batches:
-            features = [present(t, column).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
+            features = [np.sort(place[present(t, used)]).astype("<i4").tobytes() for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(features, pa.binary())], ["id", "y", "features"])
 
     kind = known.schema["id"].dataType.simpleString()
@@ -247,27 +236,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return fitted(bucket, ratio, features, rows.column("y").to_numpy().astype(np.int64))
 
 
-def _scored(rows: DataFrame, model: Model) -> DataFrame:
-    """(row, score, predicted) of rows (row, text): their own columns, and the text as bytes."""
+def score_texts(docs: DataFrame, model: Model, text_col: str = "text", added: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """All rows and columns of ``docs`` with score and predicted (1 from a score of 0.5 on).
+
+    A null text scores as an empty one. ``added`` gives the two columns other names; a name
+    that ``docs`` has raises.
+    """
+    require_free(docs, added)
+    kept = docs.columns
     used = np.flatnonzero(model.weight).astype(np.int32)
-    shared = rows.sparkSession.sparkContext.broadcast((used, model.weight[used], model.intercept))
+    shared = docs.sparkSession.sparkContext.broadcast((used, model.weight[used], model.intercept))
 
     def run(batches):
         used, weights, intercept = shared.value
         weight = np.zeros(1 << BUCKETS, np.float32)
         weight[used] = weights
         model = Model(weight, intercept)
-        for batch in (part for whole in batches for part in slices(whole, 1)):
-            scores = model.scores([x or b"" for x in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["row", "score", "predicted"])
-
-    return map_arrow(rows, run, rows.select("row").schema.add("score", "double").add("predicted", "integer"))
-
+        for batch in (part for whole in batches for part in slices(whole, whole.num_columns - 1)):
+            scores = model.scores([x or b"" for x in batch.column(batch.num_columns - 1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*kept, *added])
 
-def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """(row, score, predicted) of every row; ``row`` is a struct of all columns of ``docs``,
-    whatever their names, predicted 1 from a score of 0.5 on. A null text scores as an empty one."""
-    return _scored(docs.select(packed(docs).alias("row"), F.col(text_col).cast("binary").alias("text")), model)
+    rows = docs.select(*map(named, kept), named(text_col).cast("binary").alias(free(docs, "bytes")[0]))
+    return map_arrow(rows, run, StructType([*docs.schema, StructField(added[0], DoubleType()), StructField(added[1], IntegerType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -278,6 +268,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored whole. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     model = fit(docs, labels, id_col, text_col, label_col)
-    own = F.struct(F.col(id_col).alias("id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"))
-    scored = _scored(docs.select(own.alias("row"), F.col(text_col).cast("binary").alias("text")), model)
-    return scored.select(F.col("row.id").alias(id_col), "row.held_out", "score", "predicted")
+    rows = docs.select(named(id_col).alias("id"), F.coalesce(fold(id_col) == 0, F.lit(False)).alias("held_out"), named(text_col).alias("text"))
+    return score_texts(rows, model).select(F.col("id").alias(id_col), "held_out", "score", "predicted")

@@ -49,6 +49,7 @@ def test_scores_cover_every_n_gram(monkeypatch):
     assert np.allclose(got, [plain_score(model, t) for t in some], rtol=1e-5)
     monkeypatch.setattr(toxicity, "_WINDOW", 7)
     assert np.allclose(model.scores(some), got)
+    assert all(set(toxicity.present(t).tolist()) == plain_buckets(t) for t in some)
 
 
 def test_features_are_n_grams_of_characters():
@@ -91,8 +92,8 @@ def test_fit_is_training_on_its_sample(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 500)
     rows = toxicity.sample(docs, labels, "doc_id", "text", "toxic").collect()
     assert 5 < len(rows) < 30 and sum(len(r.text) for r in rows) <= 500
-    scored = toxicity.score_texts(docs, toxicity.fit(docs, labels)).collect()
-    assert {r.row.score for r in scored} == {"x", "y"} and all(0 <= r.score <= 1 for r in scored)
+    scored = toxicity.score_texts(docs, toxicity.fit(docs, labels), added=("toxic_score", "toxic")).collect()
+    assert {r.score for r in scored} == {"x", "y"} and all(0 <= r.toxic_score <= 1 for r in scored)
 
 
 def test_hard_cases(spark, docs, no_docs):
