@@ -6,6 +6,8 @@ an explode of a part of them, so columns that a query does not ask for are never
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,8 +198,9 @@ def derived_relations(found: dict[str, DataFrame]) -> dict[str, DataFrame]:
         out["team_projections"] = both("teams")
         events = both("team_events").withColumn("observed_at", F.when(F.col("retrospective"), F.col("origin_at")).otherwise(F.col("generated_at")))
         team = lambda suffix: found[f"{suffix}_teams"]
-        names = team("forecast").select(F.col("forecast_id").alias("id"), "competition_id", "season_id", "team_id", "team_name").unionAll(team("hindcast").select("hindcast_id", "competition_id", "season_id", "team_id", "team_name"))
-        out["team_event_probabilities"] = events.withColumn("id", F.coalesce("forecast_id", "hindcast_id")).join(names, ["id", "competition_id", "season_id", "team_id"]).drop("id")
+        # An id may be used by both products, so the product is part of the key.
+        names = team("forecast").select(F.lit("live").alias("product"), F.col("forecast_id").alias("id"), "competition_id", "season_id", "team_id", "team_name").unionAll(team("hindcast").select(F.lit("hindcast"), "hindcast_id", "competition_id", "season_id", "team_id", "team_name"))
+        out["team_event_probabilities"] = events.withColumn("id", F.coalesce("forecast_id", "hindcast_id")).join(names, ["product", "id", "competition_id", "season_id", "team_id"]).drop("id")
     if "match_hindcasts" in found and "matches" in found:
         played = found["matches"].select("match_id", "status", "home_goals", "away_goals")
         out["match_hindcast_outcomes"] = found["match_hindcasts"].join(played, "match_id", "left").withColumn("outcome", _result(F.col("home_goals"), F.col("away_goals"), ("H", "D", "A")))
@@ -216,6 +219,37 @@ _RECORDED = "array<struct<match_id:string,competition_id:string,season_id:string
 RECORD = f"pending {_RECORDED}, settled {_RECORDED}, summary map<string,struct<scored:bigint,log_loss:double,brier:double,classwise_ece:double>>"
 
 
+# Field names of model runs.
+_STATE_FIELDS = "quality tilt quality_sd tilt_sd quality_tilt_covariance quality_level quality_form quality_level_sd quality_form_sd quality_level_form_covariance attack_log_rate defense_log_rate attack_sd defense_sd attack_multiplier defense_multiplier".split()
+_SPECIFICATION_FIELDS = "quality_retention quality_sd form_retention form_sd tilt_retention tilt_sd dispersion chance_probability prior_weight posterior_weight log_evidence".split()
+_SPECIFICATION = "struct<" + ",".join(f"{c}:double" for c in _SPECIFICATION_FIELDS) + ">"
+_STATE = "struct<team_id:string," + ",".join(f"{c}:double" for c in _STATE_FIELDS) + ",training_matches:int,state_source:string,season_matches:int>"
+RUN = f"competition_id string, season_id string, generated_at timestamp, model_id string, model_version string, package_version string, code_sha256 string, training_matches int, training_date_max date, league_away_goal_rate double, home_scoring_multiplier double, personnel struct<kappa:double,horizon_days:int,records:int,adjusted_fixtures:int,persistent_state_changed:boolean>, team_strengths array<{_STATE}>, fit_diagnostics struct<specifications:array<{_SPECIFICATION}>>"
+
+
+def run_relations(runs: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Model runs, the team states they ended with, and the specifications they weighed.
+
+    The columns are those of ``RUN`` beside ``keys``. A rate or multiplier that is not
+    positive has no logarithm.
+    """
+    base = [*keys, "competition_id", "season_id"]
+    log = lambda c: F.when(F.col(c) > 0, F.log(c))
+    plain = [c for c in ("generated_at", "model_id", "model_version", "package_version", "code_sha256", "training_matches", "training_date_max", "league_away_goal_rate", "home_scoring_multiplier")]
+    people = [F.col(f"personnel.{c}").alias(n) for c, n in (("kappa", "personnel_kappa"), ("horizon_days", "personnel_horizon_days"), ("records", "personnel_records"), ("adjusted_fixtures", "personnel_adjusted_fixtures"), ("persistent_state_changed", "persistent_state_changed"))]
+    return {
+        "forecast_runs": runs.select(*base, *plain, log("league_away_goal_rate").alias("league_log_rate"), log("home_scoring_multiplier").alias("home_advantage_log"), *people, F.to_json("fit_diagnostics").alias("fit_diagnostics")),
+        "model_team_states": runs.select(*base, F.explode("team_strengths").alias("t")).select(*base, "t.*", F.to_json("t").alias("state")),
+        "model_specifications": runs.select(*base, F.posexplode("fit_diagnostics.specifications").alias("specification_index", "s")).select(*base, "specification_index", "s.*"),
+    }
+
+
+def session_relation(data: Dataset, loaded_at: str) -> DataFrame:
+    """One row: when the session was opened, its cutoff, and how many batches it sees."""
+    rows = [(loaded_at, data.cutoff.isoformat() if data.cutoff else None, len(data.manifests))]
+    return data.spark.createDataFrame(rows, "loaded_at string, cutoff string, batches int")
+
+
 def simulation_relations(runs: DataFrame, product: str, keys: list[str]) -> dict[str, DataFrame]:
     """The nine relations of simulations (``keys`` beside the columns of ``SIMULATION``)."""
     name = f"{product}_simulation"
@@ -312,22 +346,50 @@ GRAINS = {
     "injury_availability": "scope and player, or none", "fpl_availability": "scope and player, or none", "kalshi_snapshots": "scope", "kalshi_markets": "ticker and capture",
     "forecast_matches": "forecast and match", "forecast_match_stages": "forecast, match and stage", "forecast_score_distributions": "forecast, match and stage", "forecast_score_grid": "forecast, match, stage and score",
     "forecast_market_inputs": "forecast and match", "forecast_personnel_teams": "forecast, match and team", "forecast_match_stage_comparison": "forecast and match", "team_projections": "product, origin and team",
-    "team_event_probabilities": "product, origin, team and event", "match_hindcast_outcomes": "match hindcast",
+    "team_event_probabilities": "product, origin, team and event", "match_hindcast_outcomes": "match hindcast", "session": "session", "forecast_runs": "forecast", "model_team_states": "forecast and team",
+    "model_specifications": "forecast and specification", "match_hindcasts": "version and match", "match_hindcast_score_grid": "version, match and score", "record_matches": "state and match", "record_summary": "scope",
 }
 PRIVATE = {"player_matches", "personnel_snapshots", "squad_memberships", "injury_availability", "fpl_availability"}
 
 
-def open_namespace(data: Dataset, forecasts: DataFrame | None = None, hindcasts: DataFrame | None = None, prefix: str = "analysis_") -> Namespace:
-    """The namespace over a dataset and, if given, the documents of forecasts and hindcasts.
-
-    Documents have an id column (forecast_id, hindcast_id) beside those of ``DOCUMENT``.
+def open_namespace(
+    data: Dataset,
+    forecasts: DataFrame | None = None,
+    hindcasts: DataFrame | None = None,
+    prefix: str = "analysis_",
+    runs: DataFrame | None = None,
+    simulations: dict[str, DataFrame] | None = None,
+    impacts: DataFrame | None = None,
+    personnel: DataFrame | None = None,
+    match_hindcasts: DataFrame | None = None,
+    record: DataFrame | None = None,
+) -> Namespace:
+    """The namespace over a dataset and, where given, the documents of forecasts and hindcasts,
+    model runs, simulations (by product: forecast, hindcast), impacts, personnel records,
+    match hindcasts and the prospective record.
+
+    Documents have an id column (forecast_id, hindcast_id) beside those of their schema here.
     """
     found = canonical_relations(data)
+    key = {"forecast": ["forecast_id", "competition_id", "season_id"], "hindcast": ["hindcast_id", "competition_id", "season_id"]}
     if forecasts is not None:
         found["forecasts"] = forecasts.select("forecast_id", "competition_id", "season_id", F.col("model_version").alias("public_model_version"), "generated_at", "state_observed_at", "model_results_cutoff")
         found |= document_relations(forecasts, "forecast", ["forecast_id"]) | match_relations(forecasts, ["forecast_id"])
     if hindcasts is not None:
         found["hindcast_origins"] = hindcasts.select("hindcast_id", "competition_id", "season_id", "model_version", "generated_at", "origin_at", "model_results_cutoff")
         found |= document_relations(hindcasts, "hindcast", ["hindcast_id"])
+    if runs is not None:
+        found |= run_relations(runs, ["forecast_id"])
+    for product, documents in (simulations or {}).items():
+        found |= simulation_relations(documents, product, key[product])
+    if impacts is not None:
+        found |= impact_relations(impacts, key["forecast"], found.get("forecast_team_events"))
+    if match_hindcasts is not None:
+        found |= match_hindcast_relations(match_hindcasts)
+    if record is not None:
+        found |= record_relations(record)
     found |= derived_relations(found)
+    if personnel is not None:  # the full records stand in for what the documents say of teams
+        found |= personnel_relations(personnel, key["forecast"])
+    found["session"] = session_relation(data, datetime.now(timezone.utc).isoformat())
     return Namespace(data.spark, [Relation(n, GRAINS.get(n, n.replace("_", " ")), f"{n.replace('_', ' ').capitalize()}.", df, private=n in PRIVATE) for n, df in found.items()], prefix)

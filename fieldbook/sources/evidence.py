@@ -124,6 +124,23 @@ class Dataset:
             self.current(table).createOrReplaceTempView(f"{prefix}{table}")
 
 
+class Frames(Dataset):
+    """What is visible at a cutoff of rows that no store holds yet: {table: DataFrame}.
+
+    The same readers work on them; columns that a frame lacks are null.
+    """
+
+    def __init__(self, spark: SparkSession, frames: Mapping[str, DataFrame], cutoff: str | datetime | None = None):
+        super().__init__(spark, None, cutoff)
+        self.frames = {name: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in canonical.schema(name)]) for name, df in frames.items()}
+
+    def observations(self, table: str) -> DataFrame:
+        rows = self.frames.get(table)
+        if rows is None:
+            return super().observations(table)
+        return rows if self.cutoff is None else rows.filter(F.col("retrieved_at") <= F.lit(self.cutoff))
+
+
 def verify_files(spark: SparkSession, root: str, manifests: Iterable[dict]) -> list[str]:
     """The listed files that are missing or whose bytes have changed."""
     return [f["path"] for m in manifests for f in m["files"] if files.digest(spark, f"{root}/{f['path']}") != f["sha256"]]
