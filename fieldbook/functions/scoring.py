@@ -71,19 +71,17 @@ def pit_and_coverage(df: DataFrame, keys: Sequence[str], value: str, p: str, act
 
 
 def block_bootstrap(blocks: DataFrame, keys: Sequence[str], total: str, n: str, samples: int = 200, seed: int = 7) -> DataFrame:
-    """(keys, estimate, low, high) of a ratio of sums, resampling whole blocks.
+    """(keys, estimate, low, high) of a ratio of sums, resampling whole blocks with replacement.
 
-    Each block draws its number of copies in each sample from a Poisson distribution (the
-    usual large-sample form of the bootstrap), from a hash of block and sample: no
-    block meets another, samples are sums, and the result does not depend on partitions.
+    Each sample draws as many blocks as there are, from a hash of sample and draw, so the
+    result does not depend on partitions; equal blocks are interchangeable. Blocks are rows
+    of the calendar (weeks, seasons): a key has a bounded number of them.
     """
-    drawn = blocks.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    uniform = F.pmod(F.xxhash64(*[c for c in blocks.columns], "sample", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    copies, mass, term = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(1, 9):  # the inverse of the Poisson(1) distribution function
-        mass += term
-        copies = copies + (uniform >= mass).cast("int")
-        term /= k
-    sampled = drawn.withColumn("copies", copies).groupBy(*keys, "sample").agg((F.sum(F.col("copies") * F.col(total)) / F.nullif(F.sum(F.col("copies") * F.col(n)), F.lit(0))).alias("ratio"))
+    order = Window.partitionBy(*keys).orderBy(total, n)
+    numbered = blocks.select(*keys, F.row_number().over(order).cast("long").alias("_block"), F.col(total).alias("_total"), F.col(n).alias("_n"))
+    draws = blocks.groupBy(*keys).agg(F.count("*").alias("_blocks")).withColumn("_sample", F.explode(F.sequence(F.lit(1), F.lit(samples))))
+    draws = draws.withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("long"), "_blocks")))
+    draws = draws.withColumn("_block", F.pmod(F.xxhash64("_sample", "_draw", F.lit(seed)), "_blocks") + 1)
+    sampled = draws.join(numbered, [*keys, "_block"]).groupBy(*keys, "_sample").agg((F.sum("_total") / F.nullif(F.sum("_n"), F.lit(0))).alias("ratio"))
     ends = sampled.groupBy(*keys).agg(F.expr("percentile(ratio, 0.025)").alias("low"), F.expr("percentile(ratio, 0.975)").alias("high"))
     return blocks.groupBy(*keys).agg((F.sum(total) / F.sum(n)).alias("estimate")).join(ends, list(keys))

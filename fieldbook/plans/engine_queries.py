@@ -289,36 +289,96 @@ def _origins(league, days):
 DECEMBER = "array(DATE'2021-12-01')"
 
 
-@query("dm17_attack_defence_fit")
+#: The league without its scores, which are hashes: what SQL can say of the models' results.
+LEAGUE = f"""WITH l AS (SELECT CASE WHEN c_nationkey < 12 THEN 'north' ELSE 'south' END || '-' || (o_orderkey // {BLOCK}) AS competition, DATE '2020-08-01' + CAST(o_orderkey % 700 AS INTEGER) AS match_date, c_nationkey % 12 AS home, (c_nationkey + 1 + o_orderkey % 11) % 12 AS other
+    FROM orders JOIN customer ON o_custkey = c_custkey), m AS (SELECT competition, match_date, CAST(home AS VARCHAR) AS home, CAST(CASE WHEN other = home THEN (home + 1) % 12 ELSE other END AS VARCHAR) AS away FROM l),
+  t AS (SELECT competition, match_date, home AS team FROM m UNION ALL SELECT competition, match_date, away FROM m)"""
+
+
+def _kept(rows, label):
+    """Results of Python workers as a written table: they are looked at more than once."""
+    path = scratch(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+@query(
+    "dm17_attack_defence_fit",
+    LEAGUE + " SELECT competition, count(DISTINCT team) AS teams, count(*) // 2 AS matches, true AS centred, true AS gradient_vanishes FROM t WHERE match_date < DATE '2021-12-01' GROUP BY competition",
+)
 def dm17(spark, sf):
-    league = _league(spark, sf)
-    return models.fit_ratings(league, _origins(league, DECEMBER))
+    """A fit is right if the slope of its penalised likelihood is zero in every team's effects."""
+    league, ridge = _league(spark, sf), 5.0
+    origins = _origins(league, DECEMBER)
+    ratings = _kept(models.fit_ratings(league, origins, ridge=ridge), "ratings")
+    rows = models.training_rows(league, origins, 0)
+    keys = ["match_id", "competition", "as_of", "home", "away"]
+    weight = F.pow(F.lit(2.0), -F.datediff("as_of", "match_date") / F.lit(365.0))
+    side = lambda own, other: F.struct(F.col(own).alias("team"), F.col(other).alias("opponent"), (weight * (F.col(f"{own}_rate") - F.col(f"{own}_goals"))).alias("gap"))
+    gaps = models.predict(rows.select(keys), ratings).join(rows, keys).select("competition", F.inline(F.array(side("home", "away"), side("away", "home"))))
+    scored = gaps.groupBy("competition", "team").agg(F.sum("gap").alias("scored"))
+    conceded = gaps.groupBy("competition", F.col("opponent").alias("team")).agg(F.sum("gap").alias("conceded"))
+    all_teams = Window.partitionBy("competition")
+    slopes = ratings.join(scored, ["competition", "team"], "left").join(conceded, ["competition", "team"], "left").fillna(0.0, ["scored", "conceded"])
+    # The design is centred, so that a team's slope is its own sum less the mean of all.
+    attack = F.col("scored") - F.avg("scored").over(all_teams) + ridge * F.col("attack")
+    defense = F.avg("conceded").over(all_teams) - F.col("conceded") + ridge * F.col("defense")
+    slopes = slopes.withColumn("slope", F.greatest(F.abs(attack), F.abs(defense)))
+    return slopes.groupBy("competition").agg(
+        F.count("*").alias("teams"),
+        (F.sum("matches") / 2).cast("long").alias("matches"),
+        ((F.abs(F.sum("attack")) < 1e-6) & (F.abs(F.sum("defense")) < 1e-6)).alias("centred"),
+        (F.max("slope") < 1e-4).alias("gradient_vanishes"),
+    )
 
 
-@query("dm18_daily_filter_states")
+@query(
+    "dm18_daily_filter_states",
+    LEAGUE + " SELECT competition, member, count(DISTINCT team) AS teams, date_diff('day', DATE '1970-01-01', max(match_date)) AS last_day, true AS proper FROM t, (VALUES ('calm'), ('lively'), ('usual')) AS v(member) GROUP BY competition, member",
+)
 def dm18(spark, sf):
-    return models.filter_states(_league(spark, sf), {"calm": {"team_sd": 0.2}, "usual": {"team_sd": 0.35}, "lively": {"team_sd": 0.5}})
+    """States know every team up to the last day, and are surer of none than of a new one."""
+    members = {"calm": {"team_sd": 0.2}, "usual": {"team_sd": 0.35}, "lively": {"team_sd": 0.5}}
+    states = models.filter_states(_league(spark, sf), members)
+    new = F.element_at(F.create_map(*[F.lit(x) for m, o in members.items() for x in (m, o["team_sd"])]), F.col("member"))
+    proper = F.col("quality_sd").between(1e-6, new) & (F.abs("quality") < 5) & (F.col("evidence") < 0)
+    return states.groupBy("competition", "member").agg(F.count("*").alias("teams"), F.max("as_of_day").alias("last_day"), F.bool_and(proper).alias("proper"))
 
 
-@query("dm30_rolling_backtest")
+@query(
+    "dm30_rolling_backtest",
+    LEAGUE + ", o AS (SELECT CAST(unnest(range(DATE '2021-06-01', DATE '2022-05-02', INTERVAL 2 MONTH)) AS DATE) AS as_of) SELECT competition, as_of, count(*) AS n, true AS proper FROM m JOIN o ON match_date >= as_of AND match_date < as_of + 30 GROUP BY competition, as_of",
+)
 def dm30(spark, sf):
+    """Every match within a month of an origin is predicted, and its three outcomes add up."""
     league = _league(spark, sf)
     rows = models.backtest(league, _origins(league, "sequence(DATE'2021-06-01', DATE'2022-05-01', INTERVAL 2 MONTHS)"), horizon_days=30)
     outcome = F.when(F.col("home_goals") > F.col("away_goals"), 0).when(F.col("home_goals") == F.col("away_goals"), 1).otherwise(2)
-    cells = P.score_grid(rows.withColumn("outcome", outcome), ["match_id", "competition", "as_of", "outcome"], F.col("home_rate"), F.col("away_rate"))
-    sums = P.outcome_sums(cells, ["match_id", "competition", "as_of", "outcome"])
+    keys = ["match_id", "competition", "as_of", "outcome"]
+    sums = P.outcome_sums(P.score_grid(rows.withColumn("outcome", outcome), keys, F.col("home_rate"), F.col("away_rate")), keys)
     p = F.when(F.col("outcome") == 0, F.col("p_home")).when(F.col("outcome") == 1, F.col("p_draw")).otherwise(F.col("p_away"))
-    return sums.groupBy("competition", "as_of").agg(F.count("*").alias("n"), F.round(F.avg(S.log_loss(p)), 6).alias("log_loss"))
+    proper = (F.abs(F.col("p_home") + F.col("p_draw") + F.col("p_away") - 1) < 1e-4) & S.log_loss(p).between(0, 5)
+    return sums.groupBy("competition", "as_of").agg(F.count("*").alias("n"), F.bool_and(proper).alias("proper"))
 
 
-@query("dm23_season_simulation")
+@query(
+    "dm23_season_simulation",
+    LEAGUE + """, s AS (SELECT competition, count(DISTINCT team) AS teams FROM t WHERE match_date < DATE '2021-12-01' GROUP BY competition)
+    SELECT competition, teams, 2000 AS paths, 1.0::DOUBLE AS champion, CASE WHEN teams >= 6 THEN 3.0 ELSE least(2, teams) END::DOUBLE AS promoted, true AS conserved FROM s""",
+)
 def dm23(spark, sf):
+    """In every path each place is taken once, goals cancel out, and a match gives two or three points."""
     league = _league(spark, sf)
-    ratings = models.fit_ratings(league, _origins(league, DECEMBER)).cache()  # a row per competition and team
+    ratings = _kept(models.fit_ratings(league, _origins(league, DECEMBER)), "ratings")
     teams = ratings.select("competition", "as_of", F.col("team").alias("home"))
     fixtures = teams.join(teams.withColumnRenamed("home", "away"), ["competition", "as_of"]).filter("home <> away").withColumn("match_id", F.concat_ws("-", "home", "away"))
-    paths = simulate.simulate_each(models.predict(fixtures, ratings), 2000, seed=11)
-    return simulate.season_summary(paths, ["competition"]).drop("positions")
+    paths = _kept(simulate.simulate_each(models.predict(fixtures, ratings), 2000, seed=11), "paths")
+    each = paths.groupBy("competition", "path").agg(F.count("*").alias("teams"), F.countDistinct("position").alias("places"), F.sum("gd").alias("gd"), F.sum("points").alias("points"))
+    games = F.col("teams") * (F.col("teams") - 1)
+    sound = (F.col("places") == F.col("teams")) & (F.col("gd") == 0) & F.col("points").between(2 * games, 3 * games)
+    checked = each.groupBy("competition").agg(F.max("teams").alias("teams"), F.count("*").cast("int").alias("paths"), F.bool_and(sound).alias("conserved"))
+    summary = simulate.season_summary(paths, ["competition"]).groupBy("competition").agg(F.round(F.sum("champion"), 9).alias("champion"), F.round(F.sum("promoted"), 9).alias("promoted"))
+    return checked.join(summary, "competition").select("competition", "teams", "paths", "champion", "promoted", "conserved")
 
 
 @query(
@@ -376,10 +436,15 @@ def dm21(spark, sf):
     return models.entry_priors(entrants, "cohort", "v", "se", 40).select("cohort", "n", F.round("prior_mean", 7).alias("prior_mean"), F.round("prior_variance", 6).alias("prior_variance"))
 
 
-@query("dm22_state_sampling")
+@query("dm22_state_sampling", LEAGUE + " SELECT competition, team, 2000 AS paths, true AS mean_agrees, true AS spread_agrees FROM t GROUP BY competition, team")
 def dm22(spark, sf):
-    states = models.filter_states(_league(spark, sf), {"usual": {}}).select("competition", "team", "quality", "quality_sd")
-    return simulate.sample_states_each(states, 2000, 30).groupBy("competition", "team").agg(F.count("*").alias("paths"), F.avg("quality").alias("mean"), F.stddev_pop("quality").alias("sd"))
+    """Sampled states, 30 days on, have the mean and deviation that the decay gives them."""
+    states = _kept(models.filter_states(_league(spark, sf), {"usual": {}}).select("competition", "team", "quality", "quality_sd"), "states")
+    found = simulate.sample_states_each(states, 2000, 30).groupBy("competition", "team").agg(F.count("*").cast("int").alias("paths"), F.avg("quality").alias("mean"), F.stddev_pop("quality").alias("sd"))
+    keep = math.exp(-30 / 700)
+    sd = F.sqrt(F.pow(keep * F.col("quality_sd"), 2) + 0.35**2 * (1 - keep**2))
+    rows = found.join(states, ["competition", "team"])
+    return rows.select("competition", "team", "paths", (F.abs(F.col("mean") - keep * F.col("quality")) < 6 * sd / math.sqrt(2000)).alias("mean_agrees"), F.col("sd").between(0.85 * sd, 1.15 * sd).alias("spread_agrees"))
 
 
 @query(
