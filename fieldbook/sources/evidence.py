@@ -9,16 +9,23 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.operators.relops import grain_violations, latest_per_key, newest_non_null
 from fieldbook.sources import canonical, files
 
 
+TABLES_AT_ONCE = 4
+FEW_MANIFESTS = 32
+FILE_ROWS = 4_000_000  # of a data file at most
+
+
 def utc(value: str | datetime) -> datetime:
     time = datetime.fromisoformat(value) if isinstance(value, str) else value
     if time.tzinfo is None:
@@ -41,40 +48,78 @@ def _aligned(df: DataFrame, table: str, request: Mapping) -> DataFrame:
     return df.select(*[(F.col(f.name) if f.name in df.columns else common.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in target])
 
 
-def content_hash(df: DataFrame) -> str:
-    """A hash of the rows, whatever their order or partitions: count and 128 bits of sums."""
+def _stage(spark: SparkSession, where: str, name: str, df: DataFrame) -> tuple[int, int, str]:
+    """Write a table's rows once; (rows, rows that break its rules, a hash of the rows).
+
+    Everything is counted while the rows are written. The hash does not depend on their order
+    or partitions: it is of their number and of 128 bits of sums over their JSON forms.
+    """
+    part = [c for c in ("competition_id", "season_id") if c in df.columns] or canonical.KEYS[name][:1]
+    # Ranges of competition and season in files of their own, sorted by key: their
+    # statistics let a reader skip files, and the columns stay in them.
+    spread = df.repartitionByRange(*part).sortWithinPartitions(*part, *canonical.KEYS[name])
     row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
-    sums = [F.sum(F.xxhash64(F.lit(k), row).cast("decimal(20,0)")) for k in (1, 2)]
-    return hashlib.sha256(repr(tuple(df.agg(F.count("*"), *sums).first())).encode()).hexdigest()
+    sums = [F.sum(F.xxhash64(F.lit(k), row).cast("decimal(20,0)")).alias(f"sum_{k}") for k in (1, 2)]
+    broken = F.count_if(F.expr(canonical.INVALID.get(name, "false"))).alias("broken")
+    seen = Observation()
+    watched = spread.observe(seen, F.count(F.lit(1)).alias("n"), broken, *sums)
+    watched.write.option("compression", "zstd").option("maxRecordsPerFile", FILE_ROWS).parquet(where)
+    got = seen.get
+    identity = (got["n"], got["sum_1"], got["sum_2"])
+    return got["n"], got["broken"], hashlib.sha256(repr(identity).encode()).hexdigest()
+
+
+def _digests(spark: SparkSession, where: str) -> dict[str, str]:
+    """SHA-256 of each data file below a folder, worked out in tasks; file names are the keys."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(where)
+    return {r[0].rsplit("/", 1)[1]: r[1] for r in rows.select("path", F.sha2("content", 256)).collect()}
 
 
 def publish(spark: SparkSession, root: str, request: Mapping, tables: Mapping[str, DataFrame]) -> dict:
-    """Check and write one batch, and its manifest last. Returns the manifest."""
+    """Check and write one batch, and its manifest last. Returns the manifest.
+
+    Rows are written once, to a staging folder, where they are counted, hashed and checked; a
+    batch that is known or wrong is thrown away, another is moved to its place.
+    """
     rows = {name: _aligned(df, name, request) for name, df in sorted(tables.items())}
-    identity = {"request": {k: str(v) for k, v in request.items()}, "tables": {n: content_hash(d) for n, d in rows.items()}}
-    batch = hashlib.sha256(json.dumps(identity, sort_keys=True).encode()).hexdigest()
-    path = f"{root}/manifests/{batch}.json"
-    if (known := files.read_text(spark, path)) is not None:
-        return json.loads(known)
-    listed, counts = [], {}
-    for name, df in rows.items():
-        if name in canonical.INVALID and not df.filter(canonical.INVALID[name]).isEmpty():
-            raise ValueError(f"invalid canonical {name} data")
-        if not grain_violations(df, canonical.KEYS[name]).isEmpty():
-            raise ValueError(f"contradictory or duplicate {name} keys")
-        counts[name] = df.count()
-        if not counts[name]:
-            continue
-        part = [c for c in ("competition_id", "season_id") if c in df.columns] or canonical.KEYS[name][:1]
-        where = f"{root}/parquet/{name}/{batch}"
-        # Ranges of competition and season in files of their own, sorted by key: their
-        # statistics let a reader skip files, and the columns stay in them.
-        spread = df.repartitionByRange(*part).sortWithinPartitions(*part, *canonical.KEYS[name])
-        spread.write.mode("overwrite").option("compression", "zstd").parquet(where)
-        listed += [{"table": name, "path": f.removeprefix(f"{root}/"), "sha256": files.digest(spark, f)} for f in files.listed(spark, where, ".parquet")]
-    manifest = {"batch_id": batch, "request": identity["request"], "files": listed, "rows": counts}
-    files.write_once(spark, path, json.dumps(manifest, sort_keys=True))
-    return manifest
+    staging = f"{root}/staging/{uuid.uuid4().hex}"
+    try:
+        with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+            staged = dict(zip(rows, pool.map(lambda name: _stage(spark, f"{staging}/{name}", name, rows[name]), rows)))
+        identity = {"request": {k: str(v) for k, v in request.items()}, "tables": {n: h for n, (_, _, h) in staged.items()}}
+        batch = hashlib.sha256(json.dumps(identity, sort_keys=True).encode()).hexdigest()
+        path = f"{root}/manifests/{batch}.json"
+        if (known := files.read_text(spark, path)) is not None:
+            return json.loads(known)
+        if wrong := [name for name, (_, broken, _) in staged.items() if broken]:
+            raise ValueError(f"rows that break their table's rules: {', '.join(wrong)}")
+        full = [name for name, (n, _, _) in staged.items() if n]
+
+        def checked(name: str) -> tuple[bool, dict[str, str]]:
+            keys = spark.read.schema(canonical.schema(name)).parquet(f"{staging}/{name}").select(canonical.KEYS[name])
+            return grain_violations(keys, canonical.KEYS[name]).isEmpty(), _digests(spark, f"{staging}/{name}")
+
+        with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+            found = dict(zip(full, pool.map(checked, full)))
+        if wrong := [name for name, (alone, _) in found.items() if not alone]:
+            raise ValueError(f"several rows of one evidence key: {', '.join(wrong)}")
+        listed = []
+        for name in full:
+            files.move(spark, f"{staging}/{name}", f"{root}/parquet/{name}/{batch}")
+            listed += [{"table": name, "path": f"parquet/{name}/{batch}/{f}", "sha256": sha} for f, sha in sorted(found[name][1].items())]
+        manifest = {"batch_id": batch, "request": identity["request"], "files": listed, "rows": {name: n for name, (n, _, _) in staged.items()}}
+        files.write_once(spark, path, json.dumps(manifest, sort_keys=True))
+        return manifest
+    finally:
+        files.remove(spark, staging)
+
+
+def read_manifests(spark: SparkSession, place: str) -> list[dict]:
+    """The manifests of a store; many are read in tasks."""
+    names = files.listed(spark, f"{place}/manifests", ".json")
+    if len(names) <= FEW_MANIFESTS:
+        return [json.loads(files.read_text(spark, f)) for f in names]
+    return [json.loads(r[0]) for r in spark.read.option("wholetext", True).text(names).collect()]
 
 
 class Dataset:
@@ -90,7 +135,7 @@ class Dataset:
         for place in (root, workspace):
             if place is None:
                 continue
-            found = manifests if manifests is not None and place == root else [json.loads(files.read_text(spark, f)) for f in files.listed(spark, f"{place}/manifests", ".json")]
+            found = manifests if manifests is not None and place == root else read_manifests(spark, place)
             for m in found:
                 if self.cutoff is None or m.get("covers_history") or utc(m["request"]["retrieved_at"]) <= self.cutoff:
                     self.manifests.setdefault(m["batch_id"], (place, m))
@@ -157,7 +202,7 @@ def compact(spark: SparkSession, root: str, manifests: list[dict], tables: Itera
         where = f"{root}/parquet/{name}/{batch}"
         rows.repartitionByRange(*canonical.KEYS[name]).sortWithinPartitions(*canonical.KEYS[name]).write.mode("overwrite").option("compression", "zstd").parquet(where)
         counts[name] = spark.read.schema(canonical.schema(name)).parquet(where).count()
-        listed += [{"table": name, "path": f.removeprefix(f"{root}/"), "sha256": files.digest(spark, f)} for f in files.listed(spark, where, ".parquet")]
+        listed += [{"table": name, "path": f"parquet/{name}/{batch}/{f}", "sha256": sha} for f, sha in sorted(_digests(spark, where).items())]
     request = {"retrieved_at": max(m["request"]["retrieved_at"] for m in manifests)}
     return {"batch_id": batch, "covers_history": True, "replaces": replaced, "request": request, "files": listed, "rows": counts}
 
@@ -169,9 +214,12 @@ def replay(spark: SparkSession, root: str, captures: DataFrame, normalizers: Map
     kind's normaliser turns the payload column of its captures into canonical tables.
     """
     order = captures.select("kind", "provider", "retrieved_at", "source_sha256").distinct().orderBy("retrieved_at", "source_sha256")
-    made = []
-    for c in order.collect():  # one row per capture, not per observation
+
+    def one(c) -> dict:
         own = captures.filter((F.col("source_sha256") == c.source_sha256) & (F.col("retrieved_at") == c.retrieved_at) & (F.col("kind") == c.kind))
         request = {"provider": c.provider, "retrieved_at": c.retrieved_at, "evidence_basis": "replay", "source_sha256": c.source_sha256}
-        made.append(publish(spark, root, request, normalizers[c.kind](own.select("payload"))))
-    return made
+        return publish(spark, root, request, normalizers[c.kind](own.select("payload")))
+
+    # A row per capture, not per observation. Batches do not depend on each other, so some are made at once.
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        return list(pool.map(one, order.collect()))

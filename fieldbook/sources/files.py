@@ -63,6 +63,20 @@ def digest(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; what an unfinished attempt left at the target goes first."""
+    system, where = _open(spark, target)
+    system.delete(where, True)
+    system.mkdirs(where.getParent())
+    if not system.rename(_open(spark, source)[1], where):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, where = _open(spark, path)
+    system.delete(where, True)
+
+
 def write_once(spark: SparkSession, path: str, text: str) -> None:
     """Create a file; the same bytes again are no-op, other bytes an error."""
     known = read_text(spark, path)
