@@ -38,7 +38,7 @@ def _week(spark, sf, k: int):
 
 def _store(spark, sf, weeks=range(4), label="store"):
     root = scratch(spark, label)
-    return root, [evidence.publish(spark, root, _request(WEEKS[k]), {"teams": _week(spark, sf, k)}) for k in weeks]
+    return root, evidence.publish_all(spark, root, [(_request(WEEKS[k]), {"teams": _week(spark, sf, k)}) for k in weeks])
 
 
 WEEKLY = """WITH e AS (SELECT *, CASE WHEN dayofmonth(ts) < 8 THEN 8 WHEN dayofmonth(ts) < 15 THEN 15 WHEN dayofmonth(ts) < 22 THEN 22 ELSE 31 END AS seen FROM events WHERE dayofmonth(ts) < 31),

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldbook.operators.relops import as_of_backward, first_per_key, grain_violations, latest_per_key, newest_non_null, snapshot_left_join, two_sided
+from fieldbook.operators import personnel
 from fieldbook.plans.registry import query
 from fieldbook.session import load
 
@@ -162,3 +163,32 @@ def wn08(spark, sf):
 def dm04(spark, sf):
     matches = load(spark, sf, "orders").join(load(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(load(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
     return two_sided(matches, ["o_orderkey"], {"team": "c_nationkey", "opponent": "n_regionkey"}, {"team": "n_regionkey", "opponent": "c_nationkey"})
+
+
+@query(
+    "dm16_membership",
+    """WITH p AS (SELECT s_suppkey AS player, 't' || s_nationkey AS team FROM supplier),
+       sp AS (SELECT DISTINCT l_suppkey AS player, 't' || (l_partkey % 25) AS team, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-01-01 00:00:00'),
+       tr AS (SELECT o_custkey % 10 AS player, CAST(o_orderdate AS DATE) AS d, 't' || (o_orderkey % 25) AS a, 't' || ((o_orderkey + 1 + o_custkey % 3) % 25) AS b FROM orders WHERE o_orderdate <= TIMESTAMP '1998-01-01 00:00:00'),
+       own AS (SELECT p.player, p.team, max(sp.d) AS since FROM p LEFT JOIN sp ON sp.player = p.player AND sp.team = p.team GROUP BY 1, 2),
+       st AS (SELECT own.player, own.team, tr.d, CASE WHEN b = own.team THEN 'member' ELSE 'departed' END AS s FROM own JOIN tr ON tr.player = own.player WHERE (since IS NULL OR tr.d > since) AND (a = own.team) <> (b = own.team)
+              UNION ALL SELECT own.player, own.team, sp.d, 'departed' FROM own JOIN sp ON sp.player = own.player AND sp.team <> own.team WHERE since IS NULL OR sp.d > since),
+       last AS (SELECT player, team, max(d) AS d FROM st GROUP BY 1, 2),
+       dated AS (SELECT player, team, CASE WHEN min(s) = max(s) THEN min(s) ELSE 'unknown' END AS dated FROM st JOIN last USING (player, team, d) GROUP BY 1, 2),
+       lists AS (SELECT s_suppkey AS player, 't' || ((s_nationkey + s_suppkey % 2) % 25) AS listed FROM supplier WHERE s_suppkey % 5 > 0 UNION ALL SELECT s_suppkey, 't' || s_nationkey FROM supplier WHERE s_suppkey % 3 = 0),
+       weak AS (SELECT p.player, p.team, bool_or(listed = team) AS inside, bool_or(listed <> team) AS outside FROM p JOIN lists USING (player) GROUP BY 1, 2)
+       SELECT player, team, coalesce(dated, CASE WHEN inside AND NOT outside THEN 'member' WHEN outside AND NOT inside THEN 'departed' END, 'unknown') AS membership FROM p LEFT JOIN dated USING (player, team) LEFT JOIN weak USING (player, team)""",
+)
+def dm16b(spark, sf):
+    """Suppliers stand in for players, their parts' numbers and orders for matches and transfers."""
+    team = lambda x: F.concat(F.lit("t"), x.cast("string"))
+    until = F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")
+    suppliers = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("player_id"), "s_nationkey")
+    lineitem, orders = load(spark, sf, "lineitem").filter(F.col("l_shipdate") <= until), load(spark, sf, "orders").filter(F.col("o_orderdate") <= until)
+    spells = lineitem.select(F.col("l_suppkey").alias("player_id"), team(F.col("l_partkey") % 25).alias("team_id"), F.to_date("l_shipdate").alias("match_date")).distinct()
+    moves = orders.select((F.col("o_custkey") % 10).alias("player_id"), F.to_date("o_orderdate").alias("transfer_date"), team(F.col("o_orderkey") % 25).alias("from_team_id"), team((F.col("o_orderkey") + 1 + F.col("o_custkey") % 3) % 25).alias("to_team_id"))
+    squads = suppliers.filter("player_id % 5 > 0").select("player_id", team((F.col("s_nationkey") + F.col("player_id") % 2) % 25).alias("team_id"))
+    fpl = suppliers.filter("player_id % 3 = 0").select("player_id", team(F.col("s_nationkey")).alias("team_id"))
+    pairs = suppliers.select("player_id", team(F.col("s_nationkey")).alias("team_id"))
+    found = personnel.memberships(pairs, spells, moves, squads, fpl, F.to_date(F.lit("1998-01-01")), False)
+    return found.select(F.col("player_id").alias("player"), F.col("team_id").alias("team"), "membership")

@@ -114,6 +114,12 @@ def publish(spark: SparkSession, root: str, request: Mapping, tables: Mapping[st
         files.remove(spark, staging)
 
 
+def publish_all(spark: SparkSession, root: str, batches: Iterable[tuple[Mapping, Mapping[str, DataFrame]]]) -> list[dict]:
+    """Publish several batches, some at once: they do not depend on each other."""
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        return list(pool.map(lambda b: publish(spark, root, *b), batches))
+
+
 def read_manifests(spark: SparkSession, place: str) -> list[dict]:
     """The manifests of a store; many are read in tasks."""
     names = files.listed(spark, f"{place}/manifests", ".json")
@@ -215,11 +221,9 @@ def replay(spark: SparkSession, root: str, captures: DataFrame, normalizers: Map
     """
     order = captures.select("kind", "provider", "retrieved_at", "source_sha256").distinct().orderBy("retrieved_at", "source_sha256")
 
-    def one(c) -> dict:
+    def batch(c) -> tuple[dict, Mapping[str, DataFrame]]:
         own = captures.filter((F.col("source_sha256") == c.source_sha256) & (F.col("retrieved_at") == c.retrieved_at) & (F.col("kind") == c.kind))
         request = {"provider": c.provider, "retrieved_at": c.retrieved_at, "evidence_basis": "replay", "source_sha256": c.source_sha256}
-        return publish(spark, root, request, normalizers[c.kind](own.select("payload")))
+        return request, normalizers[c.kind](own.select("payload"))
 
-    # A row per capture, not per observation. Batches do not depend on each other, so some are made at once.
-    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
-        return list(pool.map(one, order.collect()))
+    return publish_all(spark, root, [batch(c) for c in order.collect()])  # one row per capture, not per observation
