@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.operators.relops import two_sided
+from fieldbook.operators.simulate import european_places
 
 
 def sides(matches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -88,14 +89,34 @@ def distribution_summary(counts: DataFrame, keys: Sequence[str], value: str, n:
     return rows.groupBy(*keys).agg(F.round(mean, 8).alias("mean"), F.round(F.sqrt(second - mean * mean), 7).alias("sd"), at(0.5).alias("median"), at(0.25).alias("low50"), at(0.75).alias("high50"), at(0.1).alias("low80"), at(0.9).alias("high80"))
 
 
-def ranked_table(matches: DataFrame, ranking: str, keys: Sequence[str] = (), relegated: int = 3, boundaries: Sequence[int] = (), sanctions: DataFrame | None = None) -> DataFrame:
+def ties_that_decide_europe(table: DataFrame, keys: Sequence[str], champions: int) -> DataFrame:
+    """(keys, start) of the ties for which it matters to Europe who of them is placed higher.
+
+    ``table`` has keys, team, position, cup, league_cup, and start and end, the range of
+    positions of each team's tie. Every two teams of a tie change places in turn; the tie
+    decides if that changes anybody's competition.
+    """
+    spots = table.filter("end > start").select(*keys, "start", "position")
+    pairs = spots.withColumnRenamed("position", "low").join(spots.withColumnRenamed("position", "high"), [*keys, "start"]).filter("low < high")
+    # A tie has no more teams than a league: its pairs are few.
+    moved = F.when(F.col("position") == F.col("low"), F.col("high")).when(F.col("position") == F.col("high"), F.col("low")).otherwise(F.col("position"))
+    trials = table.drop("start", "end").join(pairs, list(keys)).withColumn("position", moved)
+    after = european_places(trials, [*keys, "start", "low", "high"], champions, "cup", "league_cup")
+    before = european_places(table.drop("start", "end"), list(keys), champions, "cup", "league_cup").select(*keys, "team", F.col("europe").alias("now"))
+    changed = after.join(before, [*keys, "team"]).filter(~F.col("europe").eqNullSafe(F.col("now")))
+    return changed.select(*keys, "start").distinct()
+
+
+def ranked_table(matches: DataFrame, ranking: str, keys: Sequence[str] = (), relegated: int = 3, boundaries: Sequence[int] = (), sanctions: DataFrame | None = None, europe: tuple[int, DataFrame] | None = None) -> DataFrame:
     """(keys, team, played, points, gd, gf, position_from, position_to) after tie-breaks.
 
     All rankings go by points, difference and goals. Teams that tie then compare, under
     ``efl``, points, difference and goals among themselves, then wins and away goals of the
     season; under ``head_to_head``, points and away goals among themselves, but only if the
-    tie decides the title, relegation or a place in ``boundaries``; under ``shared`` nothing.
-    What still ties shares its range of positions. ``matches`` carries the keys.
+    tie decides the title, relegation, a place in ``boundaries`` or, with ``europe``, a European
+    place; under ``shared`` nothing. What still ties shares its range of positions. ``matches``
+    carries the keys. ``europe`` is the number of places in the first competition and a table
+    (keys, cup, league_cup) of the cup winners.
     """
     table = league_table(matches, sanctions, keys)
     base = Window.partitionBy(*keys).orderBy(F.desc("points"), F.desc("gd"), F.desc("gf"))
@@ -105,6 +126,14 @@ def ranked_table(matches: DataFrame, ranking: str, keys: Sequence[str] = (), rel
     decisive = start == 1
     for place in [F.col("_teams") - relegated, *[F.lit(b) for b in boundaries]]:
         decisive = decisive | ((start <= place) & (place < end))
+    if europe is not None:
+        if not keys:
+            raise ValueError("European places need the keys of the season")
+        row = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("points"), F.desc("gd"), F.desc("gf"), "team"))
+        ordered = placed.select(*keys, "team", row.alias("position"), start.alias("start"), end.alias("end")).join(europe[1], list(keys))
+        deciding = ties_that_decide_europe(ordered, keys, europe[0]).select(*keys, F.col("start").alias("_start"), F.lit(True).alias("_europe"))
+        placed = placed.join(deciding, [*keys, "_start"], "left")
+        decisive = decisive | F.coalesce("_europe", F.lit(False))
     compare = (F.col("_n") > 1) & (F.lit(ranking == "efl") | (F.lit(ranking == "head_to_head") & decisive))
     placed = placed.withColumn("_compare", compare)
     whole = sides(matches, keys)

@@ -232,3 +232,46 @@ def test_more_teams_than_a_season_has(spark, monkeypatch):
     states = spark.createDataFrame([(t, 0.0, 0.1) for t in "abc"], "team string, quality double, quality_sd double")
     with pytest.raises(ValueError, match="more teams"):
         simulate.sample_states(spark, states, 10, 0)
+
+
+def plain_europe(order, champions, cup, league_cup):
+    """The competitions of teams in their order, one place after another."""
+    first = order[:champions]
+    second = [cup] if cup not in first else []
+    second += [t for t in order if t not in first and t != cup][: 2 - len(second)]
+    rest = [t for t in order if t not in first + second]
+    third = [league_cup] if league_cup in rest else rest[:1]
+    return {t: name for name, some in (("champions_league", first), ("europa_league", second), ("conference_league", third)) for t in some}
+
+
+def test_ties_that_decide_europe(spark):
+    draw = np.random.default_rng(5)
+    rows, want = [], set()
+    for season in range(40):
+        teams, size = [f"t{k}" for k in range(9)], 0
+        cup, league_cup = draw.choice(teams, 2)
+        base = plain_europe(teams, 3, cup, league_cup)
+        while size < 9:
+            n = min(int(draw.integers(1, 4)), 9 - size)
+            for a in range(size, size + n):
+                rows.append((season, teams[a], a + 1, size + 1, size + n, str(cup), str(league_cup)))
+                for b in range(a + 1, size + n):
+                    other = list(teams)
+                    other[a], other[b] = other[b], other[a]
+                    if plain_europe(other, 3, cup, league_cup) != base:
+                        want.add((season, size + 1))
+            size += n
+    table = spark.createDataFrame(rows, "season int, team string, position int, start int, end int, cup string, league_cup string")
+    got = {tuple(r) for r in tables.ties_that_decide_europe(table, ["season"], 3).collect()}
+    assert got == want and 10 < len(want) < len({(r[0], r[3]) for r in rows if r[4] > r[3]})
+
+
+def test_a_tie_for_europe_is_played_out(spark):
+    # b and c tie for the second place, a wins all; c won their matches by away goals.
+    games = [("a", "b", 1, 0), ("a", "c", 1, 0), ("b", "a", 0, 1), ("c", "a", 0, 1), ("b", "c", 1, 2), ("c", "b", 0, 1), ("d", "b", 0, 1), ("d", "c", 0, 1), ("a", "d", 1, 0), ("e", "d", 0, 1)]
+    matches = spark.createDataFrame([(1, f"{h}{a}", h, a, x, y) for h, a, x, y in games], "season int, match_id string, home string, away string, home_goals int, away_goals int")
+    cups = spark.createDataFrame([(1, "a", "a")], "season int, cup string, league_cup string")
+    place = lambda **more: {r.team: (r.position_from, r.position_to) for r in tables.ranked_table(matches, "head_to_head", ["season"], relegated=1, **more).collect()}
+    assert place()["b"] == place()["c"] == (2, 3)
+    assert place(europe=(2, cups))["c"] == (2, 2) and place(europe=(2, cups))["b"] == (3, 3)
+    assert place(europe=(1, cups))["b"] == (2, 3)  # both are in the second competition, whoever is first
