@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldbook.llm import bpe, decontam, langid, linededup, simhash
-from fieldbook.llm.common import cut, packed
+from fieldbook.llm.common import apart, cut, free, named
 from fieldbook.llm.queries import public_vocabulary
 
 
@@ -31,10 +31,10 @@ def line_dedup(spark, docs, sf_dir):
     A null text stays null; one whose lines all go becomes empty. n_chars, where there is
     one, is counted anew. Repeated rows are documents of their own.
     """
-    left = linededup.with_kept_lines(docs, "doc_id", "text").select("row.*")
+    left = linededup.with_kept_lines(docs, "doc_id", "text", added=tuple(free(docs, *linededup.ADDED)))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return left.select(*docs.columns)
+    return left.select([named(c) for c in docs.columns])
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -53,11 +53,12 @@ def decontamination(spark, docs, sf_dir):
     they are matched by the SHA-256 of their texts, whatever their ids or other columns.
     """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    texts = docs.select(F.sha2("text", 256).alias("digest"), "text").filter(F.length("text") > 0)
+    value, digest = F.unhex(F.sha2("text", 256)), free(docs, "digest")[0]
+    texts = docs.select(value.alias("digest"), "text").filter(F.length("text") > 0)
     found = decontam.contaminated_words(texts, items, "digest", "text", "item_id", "text")
-    hit = cut(found.filter(F.size("hits") > 0).select(F.col("id").alias("digest")).distinct(), "contaminated")
-    rows = docs.select(packed(docs).alias("row"), F.sha2("text", 256).alias("digest"))
-    return rows.join(hit, "digest", "left_anti").select("row.*")
+    hit = cut(found.filter(F.size("hits") > 0).select(F.col("id").alias(digest)).distinct(), "contaminated")
+    may, clear = apart(docs.withColumn(digest, value), hit, [digest])
+    return may.join(hit, digest, "left_anti").unionByName(clear).select([named(c) for c in docs.columns])
 
 
 def tokens(spark, docs, sf_dir):
