@@ -37,6 +37,7 @@ ROWS = 256
 ROW_BYTES = 1 << 16
 SAMPLE_BYTES = 8 << 20
 MARGIN = 0.5  # bits a byte
+EXCESS = 64  # bits in all
 UNKNOWN = "und"
 _FEW = 1 << 16  # rows of keys that may be broadcast
 _BREAK = 0xFF  # not a byte of UTF-8; contexts do not reach over it
@@ -273,16 +274,19 @@ def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """The rows of ``docs``, their columns as they are, whose text is in one of the model's languages.
 
     A text is in none if it is null or has no letter, or if its shortest code by the trees is
-    longer than one without context, by more than ``MARGIN`` bits a byte: what precedes a
-    byte then says nothing about it, as in random letters or in a script that no language of
-    the model uses. Where nothing could be learned no text with a letter is rejected.
+    longer than one without context, by more than ``MARGIN`` bits a byte and ``EXCESS`` in all:
+    what precedes a byte then says nothing about it, as in random letters or in a script that
+    no language of the model uses, and the text is long enough to tell (a key or a name in a
+    short one is not). Where nothing could be learned no text with a letter is rejected.
     Repeated rows are treated alike.
     """
     if not model.langs:
         return docs.filter(named(text_col).rlike(r"\p{L}"))
     lang, score, rate, plain = free(docs, *ADDED)
     found = identify(docs, model, text_col, [lang, score, rate, plain])
-    return found.filter((F.col(lang) != UNKNOWN) & (F.col(rate) <= F.col(plain) + MARGIN)).select([named(c) for c in docs.columns])
+    size = F.octet_length(named(text_col))
+    excess = (F.col(rate) - F.col(plain)) * size
+    return found.filter((F.col(lang) != UNKNOWN) & (excess <= F.greatest(MARGIN * size, F.lit(EXCESS)))).select([named(c) for c in docs.columns])
 
 
 def language_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
