@@ -17,6 +17,7 @@ the response; the others are revisits, which hold its id and digest and no paylo
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import re
@@ -146,7 +147,11 @@ _SEGMENTS = "origin string, number int, total long, type string, page string, re
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives under the path: one row per record or segment."""
+    """The records of all archives under the path: one row per record or segment.
+
+    Archives are files named .warc or .warc.gz, or as the text sink names them (.txt, .txt.gz).
+    ``digest`` is a stated SHA-256 in hexadecimal, or as it is stated, with its algorithm.
+    """
 
     def run(batches):
         for batch in batches:
@@ -165,15 +170,27 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt*").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,txt.gz,warc,warc.gz}").load(path)
     return map_arrow(files.select("content"), run, _SEGMENTS)
 
 
 _RECORDS = "page string, type string, refers_to string, url string, digest string, payload binary, payload_bytes long, payload_sha256 string, fault string"
 
 
+def _agrees(stated: str, payload: bytes) -> bool:
+    """Whether a stated digest is the payload's; of an unknown algorithm nothing can be said."""
+    name, _, value = stated.rpartition(":")
+    name = (name or "sha256").lower().replace("-", "")
+    if name not in hashlib.algorithms_guaranteed or name.startswith("shake"):
+        return True
+    raw = hashlib.new(name, payload).digest()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
+
+
 def _record(f: dict, block: bytes | None, fault: str | None) -> tuple:
-    payload = None
+    payload = body = None
+    if fault is None and f["type"] == "resource":
+        payload = body = block
     if fault is None and f["type"] == "response":
         head, _, body = block.partition(b"\r\n\r\n")
         payload = body
@@ -183,7 +200,8 @@ def _record(f: dict, block: bytes | None, fault: str | None) -> tuple:
             except ValueError as broken:
                 payload, fault = None, str(broken)
     digest = hashlib.sha256(payload).hexdigest() if payload is not None else None
-    if fault is None and digest and f["digest"] and digest != f["digest"]:
+    # Some writers state the digest of the body as it was sent, in its chunks.
+    if fault is None and payload is not None and f["digest"] and not (_agrees(f["digest"], payload) or _agrees(f["digest"], body)):
         fault = "payload digest"
     return f["page"], f["type"], f["refers_to"], f["url"], f["digest"], payload, None if payload is None else len(payload), digest, fault
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import random
 
@@ -82,3 +84,19 @@ def test_archive_is_read_by_lengths(spark, tmp_path):
     warc.write_archives(df, f"file://{tmp_path}/w", "page_id", "url", F.col("html"))
     record = warc.reassemble(warc.read_segments(spark, f"file://{tmp_path}/w")).collect()
     assert len(record) == 1 and bytes(record[0].payload).decode() == html and record[0].url == "http://a"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def record(kind, block, **fields):
+        head = "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in {"WARC_Type": kind, "WARC_Record_ID": f"<urn:{kind}:{len(block)}>", **fields, "Content_Length": len(block)}.items())
+        return b"WARC/1.0\r\n" + head.encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    sha1 = base64.b32encode(hashlib.sha1(b"hello").digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\nhello"
+    records = [record("warcinfo", b"software: x"), record("response", http, WARC_Payload_Digest=f"sha1:{sha1}", WARC_Target_URI="http://a/"), record("resource", b"hello", WARC_Payload_Digest=f"md5:{hashlib.md5(b'hello').hexdigest()}"), record("response", http + b"!", WARC_Payload_Digest=f"sha1:{sha1}")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records[:2]))
+    (tmp_path / "b.warc").write_bytes(b"".join(records[2:]))
+    (tmp_path / "readme.md").write_text("no archive")
+    found = warc.reassemble(warc.read_segments(spark, f"file://{tmp_path}")).collect()
+    got = sorted((r.type, bytes(r.payload) if r.payload is not None else None, r.fault) for r in found)
+    assert got == [("resource", b"hello", None), ("response", b"hello", None), ("response", b"hello!", "payload digest"), ("warcinfo", None, None)]
