@@ -96,6 +96,11 @@ def _write(spark: SparkSession, path: str, text: str, overwrite: bool) -> None:
         stream.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file, over one that is there."""
+    _write(spark, path, text, True)
+
+
 def update_pointer(spark: SparkSession, path: str, change: Callable[[dict], dict], attempts: int = 8) -> dict:
     """Change a small JSON document if nobody else has meanwhile: versions are files made once.
 

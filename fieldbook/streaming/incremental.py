@@ -6,12 +6,14 @@ runs twice replaces itself: the result is that of running it once.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldbook.operators.relops import latest_per_key
+from fieldbook.sources import files
 
 
 def read_events(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFrame:
@@ -19,6 +21,7 @@ def read_events(spark: SparkSession, path: str, schema, per_batch: int = 1) -> D
 
 
 BUCKETS = 16
+_MAP = "_buckets.json"  # readers of data files skip this name
 
 
 def _names(spark: SparkSession, folder: str) -> list[str]:
@@ -32,33 +35,37 @@ def run_current_view(stream: DataFrame, keys: Sequence[str], order: Sequence[Col
     """The current row per key after all available input, kept up batch by batch.
 
     The view is kept in ``BUCKETS`` buckets of the keys' hash. A batch is folded into the
-    buckets that it touches and written as a new version of these alone; what is current in a
-    bucket is its newest version. A batch that runs twice replaces its own versions. Run
-    again without new input, it gives the view as it is.
+    buckets that it touches and written as a new version of these alone, with a list of the
+    newest version of every bucket, written last. A batch that runs twice replaces its own.
+    Run again without new input, it gives the view as it is.
     """
     spark = stream.sparkSession
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
 
-    def current(schema, below: int) -> DataFrame | None:
-        newest: dict[int, int] = {}
-        for n in sorted(int(x) for x in _names(spark, f"{root}/view") if x.isdigit() and int(x) < below):
-            names = _names(spark, f"{root}/view/{n}")
-            if "_SUCCESS" in names:  # a version lists its buckets by their folders
-                newest |= {int(x.removeprefix("bucket=")): n for x in names if x.startswith("bucket=")}
-        paths = [f"{root}/view/{n}/bucket={b}" for b, n in sorted(newest.items())]
+    def versions(below: int) -> dict[str, int]:
+        """The version of each bucket after the last finished batch before one."""
+        for n in sorted((int(x) for x in _names(spark, f"{root}/view") if x.isdigit() and int(x) < below), reverse=True):
+            if (text := files.read_text(spark, f"{root}/view/{n}/{_MAP}")) is not None:
+                return json.loads(text)
+        return {}
+
+    def current(schema, known: dict[str, int]) -> DataFrame | None:
+        paths = [f"{root}/view/{n}/bucket={b}" for b, n in sorted(known.items())]
         return spark.read.schema(schema).parquet(*paths) if paths else None
 
     def fold(batch: DataFrame, number: int) -> None:
-        now = latest_per_key(batch, keys, order)
-        before = current(batch.schema, number)
+        now, known = latest_per_key(batch, keys, order), versions(number)
+        before = current(batch.schema, known)
         if before is not None:
             touched = F.broadcast(now.select(bucket.alias("_b")).distinct())  # BUCKETS rows at most
             now = latest_per_key(before.withColumn("_b", bucket).join(touched, "_b", "left_semi").select(*batch.columns).unionByName(now), keys, order)
         now.withColumn("bucket", bucket).write.partitionBy("bucket").mode("overwrite").parquet(f"{root}/view/{number}")
+        written = [x.removeprefix("bucket=") for x in _names(spark, f"{root}/view/{number}") if x.startswith("bucket=")]
+        files.write_text(spark, f"{root}/view/{number}/{_MAP}", json.dumps(known | {b: number for b in written}))
 
     query = stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    found = current(stream.schema, (_last_batch(spark, root) or 0) + 1)
+    found = current(stream.schema, versions((_last_batch(spark, root) or 0) + 1))
     return found if found is not None else spark.createDataFrame([], stream.schema)
 
 
