@@ -7,6 +7,7 @@ updates a Gaussian state by the mode and curvature of each day's likelihood.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable
 
@@ -217,6 +218,42 @@ class DailyFilter:
         return rows @ self.mean, rows @ self.cov @ rows.T
 
 
+    def dump(self) -> str:
+        """The whole state as text; ``load`` goes on from it as if it had never stopped."""
+        parts = {"decay_days": self.decay_days, "team_sd": self.team_sd, "teams": self.teams, "mean": self.mean.tolist(), "cov": self.cov.tolist(), "day": self.day, "evidence": self.evidence}
+        return json.dumps(parts)
+
+    @classmethod
+    def load(cls, text: str) -> "DailyFilter":
+        parts = json.loads(text)
+        model = cls(parts["decay_days"], parts["team_sd"])
+        model.teams, model.day, model.evidence = parts["teams"], parts["day"], parts["evidence"]
+        model.mean, model.cov = np.array(parts["mean"]), np.array(parts["cov"])
+        return model
+
+
+STORED = "competition string, state string"
+
+
+def continue_filters(matches: DataFrame, stored: DataFrame | None = None, **options) -> DataFrame:
+    """(competition, state): the stored filters, or new ones, after these matches.
+
+    Matches must be later than what a state has seen; an earlier day raises. Competitions
+    without new matches keep their state.
+    """
+    rows = matches.withColumn("day", F.datediff("match_date", F.lit("1970-01-01").cast("date"))).select("competition", "match_id", "day", "home", "away", "home_goals", "away_goals")
+    known = stored if stored is not None else matches.sparkSession.createDataFrame([], STORED)
+
+    def run(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        competition = (new if len(new) else old).competition.iloc[0]
+        model = DailyFilter.load(old.state.iloc[0]) if len(old) else DailyFilter(**options)
+        order = new.sort_values(["day", "match_id"])
+        model.fit(list(order[["day", "home", "away", "home_goals", "away_goals"]].itertuples(index=False, name=None)))
+        return pd.DataFrame({"competition": [competition], "state": [model.dump()]})
+
+    return rows.groupBy("competition").cogroup(known.groupBy("competition")).applyInPandas(run, STORED)
+
+
 STATE = "competition string, member string, team string, quality double, tilt double, quality_sd double, evidence double, as_of_day long"
 
 

@@ -527,3 +527,94 @@ def st03(spark, sf):
     rows = load(spark, sf, "events").withColumn("seen", seen).filter(F.col("seen") <= F.expr("TIMESTAMP_NTZ '2024-01-20 00:00:00'"))
     return rows.groupBy("user_id").agg(F.max_by("value", F.struct("seen", "event_id")).alias("value"))
 
+
+
+@query("st05_stored_state", LEAGUE + " SELECT competition, count(DISTINCT team) AS teams, true AS same FROM t GROUP BY competition")
+def st05(spark, sf):
+    """A filter that is stored half-way and goes on has the state of one that never stopped."""
+    league = _league(spark, sf)
+    first = _kept(models.continue_filters(league.filter("match_date < DATE'2021-06-01'")), "states")
+    split = models.continue_filters(league.filter("match_date >= DATE'2021-06-01'"), first)
+    both = split.withColumnRenamed("state", "a").join(models.continue_filters(league).withColumnRenamed("state", "b"), "competition")
+    numbers = lambda c: F.from_json(c, "teams array<string>, mean array<double>, evidence double")
+    a, b = numbers("a"), numbers("b")
+    apart = F.exists(F.zip_with(a["mean"], b["mean"], lambda x, y: F.abs(x - y)), lambda gap: gap > 1e-9)
+    return both.select("competition", F.size(b["teams"]).cast("long").alias("teams"), ((a["teams"] == b["teams"]) & ~apart & (F.abs(a["evidence"] - b["evidence"]) < 1e-6)).alias("same"))
+
+
+@query("dm26_brackets", "SELECT p AS places, 3000 AS paths, 1.0::DOUBLE AS won, true AS inside, true AS stronger_wins_more FROM (VALUES (4), (6)) AS t(p)")
+def dm26(spark, sf):
+    """Each bracket has one winner, among its own places, and the strongest wins most often."""
+    import numpy as np
+
+    def play(rows: pd.DataFrame) -> pd.DataFrame:
+        places, teams, paths = int(rows.places.iloc[0]), 12, 3000
+        draw = np.random.default_rng(places)
+        position = draw.permuted(np.tile(np.arange(1, teams + 1), (paths, 1)), axis=1)
+        strength = np.zeros(teams)
+        strength[0] = 1.5
+        winner = simulate.bracket(position, strength, 3, draw, places)
+        place = position[np.arange(paths), winner]
+        there = (position[:, 0] >= 3) & (position[:, 0] < 3 + places)
+        share = (winner[there] == 0).mean()
+        return pd.DataFrame({"places": [places], "paths": [paths], "won": [1.0 if len(winner) == paths else 0.0], "inside": [bool(((place >= 3) & (place < 3 + places)).all())], "stronger_wins_more": [bool(share > 1.5 / places)]})
+
+    rows = spark.createDataFrame([(4,), (6,)], "places int")
+    return rows.groupBy("places").applyInPandas(play, "places int, paths int, won double, inside boolean, stronger_wins_more boolean")
+
+
+@query("sc03_named_tables", WEEKLY + " SELECT team_id, count(*) AS rows, true AS others_absent FROM w GROUP BY team_id")
+def sc03(spark, sf):
+    root, _ = _store(spark, sf)
+    data = evidence.Dataset(spark, root, tables=["teams"])
+    try:
+        data.observations("fixtures")
+        absent = False
+    except KeyError:
+        absent = True
+    return data.observations("teams").groupBy("team_id").agg(F.count("*").alias("rows")).withColumn("others_absent", F.lit(absent))
+
+
+@query("dd01_views", "SELECT r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+def dd01(spark, sf):
+    for name in ("nation", "region"):
+        load(spark, sf, name).createOrReplaceTempView(f"dd01_{name}")
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW dd01_joined AS SELECT r_name, n_name FROM dd01_nation JOIN dd01_region ON n_regionkey = r_regionkey")
+    return spark.sql("SELECT r_name, count(*) AS nations FROM dd01_joined GROUP BY ALL")
+
+
+@query("dd06_attached_folder", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def dd06(spark, sf):
+    path = scratch(spark, "attached")
+    load(spark, sf, "region").write.parquet(f"{path}/region")
+    return spark.sql(f"SELECT n_name, r_name FROM {{nation}} JOIN parquet.`{path}/region` ON n_regionkey = r_regionkey", nation=load(spark, sf, "nation"))
+
+
+@query("dd07_a_wrong_batch_leaves_nothing", "SELECT CAST(n_nationkey AS VARCHAR) AS team_id, n_name AS name, true AS refused FROM nation")
+def dd07(spark, sf):
+    root = scratch(spark, "store")
+    teams = load(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("team_id"), F.col("n_name").alias("name"))
+    evidence.publish(spark, root, _request(1), {"teams": teams})
+    wrong = load(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("match_id"), F.lit("a").alias("home_team_id"), F.lit("a").alias("away_team_id"))
+    try:
+        evidence.publish(spark, root, _request(2), {"teams": teams.withColumn("name", F.lit("changed")), "fixtures": wrong})
+        refused = False
+    except ValueError:
+        refused = not files.listed(spark, f"{root}/staging", ".parquet")
+    return evidence.Dataset(spark, root).current("teams").select("team_id", "name", F.lit(refused).alias("refused"))
+
+
+@query("sk07_report", "SELECT o_orderpriority AS scope, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+def sk07(spark, sf):
+    """A report is one JSON document of the summary's rows, written once, and read back."""
+    path = f"{scratch(spark, 'report')}/report.json"
+    rows = load(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("scope")).agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+    files.write_report(spark, path, rows)
+    return files.json_documents(spark, path, "rows array<struct<scope:string,n:bigint,mean:double>>").select(F.inline("rows"))
+
+
+@query("so02_order_by_all", "SELECT c_nationkey, c_mktsegment, n, CAST(row_number() OVER (ORDER BY c_nationkey, c_mktsegment, n) AS BIGINT) AS place FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL)")
+def so02(spark, sf):
+    """The rows as ORDER BY ALL gives them, numbered as they come; a group each, so they are few."""
+    rows = spark.sql("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM {customer} GROUP BY ALL ORDER BY ALL", customer=load(spark, sf, "customer"))
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows.collect(), 1)], "c_nationkey int, c_mktsegment string, n long, place long")

@@ -171,6 +171,27 @@ def dm29(spark, sf):
     return rows.groupBy("g").agg(F.count("*").alias("n"), F.round(F.avg(S.log_loss(observed)), 8).alias("log_loss"), F.round(F.avg(S.brier(p, [F.col(c) for c in ("oc", "ov", "oo")])), 8).alias("brier"))
 
 
+@query(
+    "dm36_calibration_bins",
+    SHARES + """, f AS (SELECT 'c' AS class, pc AS p, (t = 'click')::INT AS o FROM e JOIN w USING (g) UNION ALL SELECT 'v', pv, (t = 'view')::INT FROM e JOIN w USING (g) UNION ALL SELECT 'o', po, (t NOT IN ('click', 'view'))::INT FROM e JOIN w USING (g))
+    SELECT class, least(CAST(floor(p * 10) AS INT), 9) AS bin, count(*) AS n, round(avg(p), 8) AS forecast, round(avg(o), 8) AS observed FROM f GROUP BY ALL""",
+)
+def dm36b(spark, sf):
+    bins = S.calibration(_shares(spark, sf), [], [("c", F.col("pc"), F.col("oc")), ("v", F.col("pv"), F.col("ov")), ("o", F.col("po"), F.col("oo"))])
+    return bins.select("class", "bin", "n", F.round("forecast", 8).alias("forecast"), F.round("observed", 8).alias("observed"))
+
+
+@query(
+    "dm29_score_log_loss",
+    GRID + """, y AS (SELECT n_nationkey AS k, n_nationkey % 4 AS h, n_nationkey % 3 AS a FROM nation) SELECT k, round(-ln(p), 7) AS log_loss FROM c JOIN y USING (k, h, a)""",
+)
+def dm29c(spark, sf):
+    """The loss of the score that came out, from the score grid."""
+    scores = load(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") % 4).alias("home_goals"), (F.col("n_nationkey") % 3).alias("away_goals"))
+    grid = P.score_grid(_rates(spark, sf), ["k"], F.col("lh"), F.col("la"))
+    return grid.join(scores, ["k", "home_goals", "away_goals"]).select("k", F.round(S.log_loss(F.col("probability")), 7).alias("log_loss"))
+
+
 @query(
     "dm29_classwise_ece",
     SHARES + """, f AS (SELECT 'c' AS class, pc AS p, (t = 'click')::INT AS o FROM e JOIN w USING (g) UNION ALL SELECT 'v', pv, (t = 'view')::INT FROM e JOIN w USING (g) UNION ALL SELECT 'o', po, (t NOT IN ('click', 'view'))::INT FROM e JOIN w USING (g)),

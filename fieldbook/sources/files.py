@@ -157,6 +157,17 @@ def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("d")).select("d.*")
 
 
+def write_report(spark: SparkSession, path: str, rows: DataFrame, most: int = 100_000) -> None:
+    """A report: one JSON document {"rows": [...]} of a summary, written once.
+
+    Reports are summaries for readers; one of more than ``most`` rows raises.
+    """
+    lines = [r[0] for r in rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).limit(most + 1).collect()]
+    if len(lines) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    write_once(spark, path, '{"rows": [' + ", ".join(sorted(lines)) + "]}")
+
+
 def write_csv(rows: list[dict], df_spark: SparkSession, path: str) -> None:
     """A CSV whose header is the union of the rows' keys in the order in which they appear."""
     header = list(dict.fromkeys(k for r in rows for k in r))
