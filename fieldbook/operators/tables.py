@@ -79,6 +79,57 @@ def impact_summary(means: DataFrame, keys: Sequence[str], unconditional: DataFra
     return sums.select(*keys, "baseline", "rms", "swing", (F.abs(F.col("back") - F.col("baseline")) < 1e-9).alias("recovered"))
 
 
+def prefix_totals(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, team, played, points, gd) after each of a team's matches, by date and then id."""
+    rows = sides(matches, [*keys, "match_date"])
+    order = Window.partitionBy(*keys, "team").orderBy("match_date", "match_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(*keys, "team", F.row_number().over(order).alias("played"), F.sum(_points()).over(upto).alias("points"), F.sum(F.col("gf") - F.col("ga")).over(upto).cast("long").alias("gd"))
+
+
+def derived_adjustments(standings: DataFrame, matches: DataFrame, keys: Sequence[str], reviewed: DataFrame | None = None, zone: str = "Europe/London") -> DataFrame:
+    """(keys, team, played, state, adjustment, known_on) of every row of a standings table.
+
+    A table says nothing of a team (state ``unknown``) unless its goal difference is that of
+    the team's first ``played`` matches; then a gap in points is an adjustment
+    (``adjusted``), known from the day on which the table was retrieved, and no gap is
+    ``agrees``. ``reviewed`` (keys, team, adjustment, known_on) goes first (``reviewed``),
+    from its own days on; if a usable table has another gap the state is ``contradicted``.
+
+    standings: keys, team, played, points, goal_difference, retrieved_at.
+    """
+    own = [*keys, "team"]
+    prefix = prefix_totals(matches, keys).select(*own, "played", F.col("points").alias("_points"), F.col("gd").alias("_gd"))
+    rows = standings.join(prefix, [*own, "played"], "left")
+    none = F.col("played") == 0
+    points, gd = F.coalesce("_points", F.when(none, 0)), F.coalesce("_gd", F.when(none, 0))
+    usable = F.coalesce(gd == F.col("goal_difference"), F.lit(False))
+    gap = F.when(usable, F.col("points") - points)
+    seen = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("retrieved_at").cast("timestamp_ntz")))
+    rows = rows.select(*own, "played", gap.cast("long").alias("gap"), seen.alias("seen"))
+    state = F.when(F.col("gap").isNull(), "unknown").when(F.col("gap") != 0, "adjusted").otherwise("agrees")
+    if reviewed is None:
+        return rows.select(*own, "played", state.alias("state"), F.when(F.col("gap") != 0, F.col("gap")).alias("adjustment"), F.when(F.col("gap") != 0, F.col("seen")).alias("known_on"))
+    known = reviewed.groupBy(*own).agg(F.sum("adjustment").cast("long").alias("_reviewed"), F.max("known_on").alias("_on"))
+    rows = rows.join(known, own, "left")
+    own_state = F.when(F.col("gap").isNotNull() & (F.col("gap") != F.col("_reviewed")), "contradicted").otherwise("reviewed")
+    there = F.col("_reviewed").isNotNull()
+    return rows.select(
+        *own,
+        "played",
+        F.when(there, own_state).otherwise(state).alias("state"),
+        F.when(there, F.col("_reviewed")).when(F.col("gap") != 0, F.col("gap")).alias("adjustment"),
+        F.when(there, F.col("_on")).when(F.col("gap") != 0, F.col("seen")).alias("known_on"),
+    )
+
+
+def complete_tables(found: DataFrame, keys: Sequence[str], teams: int, matches: int) -> DataFrame:
+    """(keys, complete): whether a table names the whole field, once each, at the season's end, and is usable throughout."""
+    return found.groupBy(*keys).agg(
+        ((F.count("*") == teams) & (F.countDistinct("team") == teams) & (F.min("played") == matches) & (F.max("played") == matches) & ~F.bool_or(F.col("state") == "unknown")).alias("complete")
+    )
+
+
 def distribution_summary(counts: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
     """Mean, deviation, median and central intervals of counted values."""
     running = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)

@@ -454,6 +454,36 @@ def dm40(spark, sf):
     return gaps.select("o_custkey", "prefix_points", (F.col("stated") - F.col("prefix_points")).alias("adjustment"))
 
 
+@query(
+    "dm40_sanction_derivation",
+    """WITH m AS (SELECT l_orderkey // 2000 AS season, l_orderkey * 10 + l_linenumber AS id, CAST(l_shipdate AS DATE) AS d, l_suppkey % 20 AS home, (l_suppkey + 1 + l_partkey % 19) % 20 AS away, CAST(l_quantity AS INT) % 4 AS hg, CAST(l_linenumber AS INT) % 3 AS ag FROM lineitem),
+       s AS (SELECT season, id, d, home AS team, hg AS gf, ag AS ga FROM m UNION ALL SELECT season, id, d, away, ag, hg FROM m),
+       p AS (SELECT season, team, row_number() OVER w AS played, sum(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END) OVER w AS pts, sum(gf - ga) OVER w AS gd FROM s WINDOW w AS (PARTITION BY season, team ORDER BY d, id ROWS UNBOUNDED PRECEDING)),
+       t AS (SELECT c_custkey // 20 AS season, c_custkey % 20 AS team, 5 AS played, 6 - c_custkey % 4 AS points, c_custkey % 9 - 4 AS stated_gd FROM customer),
+       g AS (SELECT t.*, CASE WHEN gd = stated_gd THEN points - pts END AS gap FROM t LEFT JOIN p USING (season, team, played)),
+       r AS (SELECT * FROM g LEFT JOIN (SELECT c_custkey // 20 AS season, c_custkey % 20 AS team, -3 AS reviewed FROM customer WHERE c_custkey % 6 = 0) USING (season, team))
+       SELECT season, team, CASE WHEN reviewed IS NOT NULL THEN CASE WHEN gap <> reviewed THEN 'contradicted' ELSE 'reviewed' END WHEN gap IS NULL THEN 'unknown' WHEN gap <> 0 THEN 'adjusted' ELSE 'agrees' END AS state,
+         CAST(CASE WHEN reviewed IS NOT NULL THEN reviewed WHEN gap <> 0 THEN gap END AS BIGINT) AS adjustment, CASE WHEN reviewed IS NOT NULL THEN DATE '2024-03-01' WHEN gap <> 0 THEN DATE '2024-07-02' END AS known_on FROM r""",
+)
+def dm40b(spark, sf):
+    """Customers state tables after five matches; some are reviewed, some describe other results."""
+    key = F.col("c_custkey")
+    matches = load(spark, sf, "lineitem").select(
+        F.floor(F.col("l_orderkey") / 2000).alias("season"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("match_id"),
+        F.to_date("l_shipdate").alias("match_date"),
+        (F.col("l_suppkey") % 20).alias("home"),
+        ((F.col("l_suppkey") + 1 + F.col("l_partkey") % 19) % 20).alias("away"),
+        (F.col("l_quantity").cast("int") % 4).alias("home_goals"),
+        (F.col("l_linenumber").cast("int") % 3).alias("away_goals"),
+    )
+    customers = load(spark, sf, "customer").select(F.floor(key / 20).alias("season"), (key % 20).alias("team"), "c_custkey")
+    late = F.lit("2024-07-01 23:30:00").cast("timestamp")  # the next day in London
+    standings = customers.select("season", "team", F.lit(5).alias("played"), (6 - key % 4).alias("points"), (key % 9 - 4).alias("goal_difference"), late.alias("retrieved_at"))
+    reviewed = customers.filter(key % 6 == 0).select("season", "team", F.lit(-3).alias("adjustment"), F.lit("2024-03-01").cast("date").alias("known_on"))
+    return T.derived_adjustments(standings, matches, SEASON, reviewed).select("season", "team", "state", "adjustment", "known_on")
+
+
 @query(
     "dm41_prospective_record",
     """WITH f AS (SELECT user_id, ts, event_id, value / 201.0 AS p FROM events WHERE event_type = 'view'), k AS (SELECT user_id, min(ts) AS kickoff, arg_min(value, (ts, event_id)) > 100 AS won FROM events WHERE event_type = 'purchase' GROUP BY user_id),

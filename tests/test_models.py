@@ -275,3 +275,20 @@ def test_a_tie_for_europe_is_played_out(spark):
     assert place()["b"] == place()["c"] == (2, 3)
     assert place(europe=(2, cups))["c"] == (2, 2) and place(europe=(2, cups))["b"] == (3, 3)
     assert place(europe=(1, cups))["b"] == (2, 3)  # both are in the second competition, whoever is first
+
+
+def test_adjustments_from_a_table(spark):
+    games = [("a", "b", 2, 0), ("b", "c", 1, 1), ("c", "a", 0, 1), ("a", "c", 1, 1)]
+    matches = spark.createDataFrame([("s", f"m{k}", datetime.date(2024, 1, k + 1), h, a, x, y) for k, (h, a, x, y) in enumerate(games)], "season string, match_id string, match_date date, home string, away string, home_goals int, away_goals int")
+    at = datetime.datetime(2024, 6, 1, 23, 30)
+    table = spark.createDataFrame([("s", "a", 2, 0, 3, at), ("s", "b", 2, 1, -2, at), ("s", "c", 2, 1, 5, at), ("s", "d", 0, 0, 0, at), ("s", "e", 0, -2, 0, at)], "season string, team string, played int, points int, goal_difference int, retrieved_at timestamp")
+    found = {r.team: (r.state, r.adjustment, r.known_on) for r in tables.derived_adjustments(table, matches, ["season"]).collect()}
+    day = datetime.date(2024, 6, 2)
+    assert found == {"a": ("adjusted", -6, day), "b": ("agrees", None, None), "c": ("unknown", None, None), "d": ("agrees", None, None), "e": ("adjusted", -2, day)}
+    own = datetime.date(2024, 3, 1)
+    reviewed = spark.createDataFrame([("s", "a", -4, own), ("s", "a", -2, own), ("s", "b", -1, own), ("s", "c", -3, own)], "season string, team string, adjustment int, known_on date")
+    rows = tables.derived_adjustments(table, matches, ["season"], reviewed)
+    assert {r.team: (r.state, r.adjustment) for r in rows.collect()} == {"a": ("reviewed", -6), "b": ("contradicted", -1), "c": ("reviewed", -3), "d": ("agrees", None), "e": ("adjusted", -2)}
+    assert not tables.complete_tables(rows, ["season"], 5, 2).first().complete
+    whole = table.filter("team in ('a', 'b')")
+    assert tables.complete_tables(tables.derived_adjustments(whole, matches, ["season"]), ["season"], 2, 2).first().complete
