@@ -86,6 +86,29 @@ def snapshot_left_join(rows: DataFrame, scope: Sequence[str], capture: Sequence[
     return latest.join(content, list(on), "left")
 
 
+def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], agree: Sequence[str] = ()) -> DataFrame:
+    """The rows of both sides for each key that both have, in one row.
+
+    A key that a side has twice raises, and so do columns named in ``agree`` that differ: two
+    predictions of one match must not be compared over different results.
+    """
+
+    def one(df: DataFrame, name: str) -> DataFrame:
+        row = F.struct(*[F.col(c) for c in df.columns if c not in keys])
+        return df.groupBy(*keys).agg(F.count("*").alias(f"_n_{name}"), F.first(row).alias(f"_{name}"))
+
+    both = one(left, "left").join(one(right, "right"), list(keys))
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in keys])
+    differ = F.lit(False)
+    for c in agree:
+        differ = differ | ~F.col("_left")[c].eqNullSafe(F.col("_right")[c])
+    sound = F.when((F.col("_n_left") > 1) | (F.col("_n_right") > 1), F.raise_error(F.concat(F.lit("several rows of "), key)).cast("boolean"))
+    sound = sound.when(differ, F.raise_error(F.concat(F.lit("the sides of a pair disagree: "), key)).cast("boolean")).otherwise(F.lit(True))
+    checked = both.filter(sound)
+    others = [c for c in right.columns if c not in keys and c not in agree]
+    return checked.select(*keys, *[F.col("_left")[c].alias(c) for c in left.columns if c not in keys], *[F.col("_right")[c].alias(c) for c in others])
+
+
 def grain_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The keys that several rows share, with their number."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fieldbook.operators.relops import digest, global_row_number, grain_violations, lineage, pivot_stages
+from fieldbook.operators.relops import digest, global_row_number, grain_violations, lineage, paired, pivot_stages
 from fieldbook.plans.registry import query
 from fieldbook.session import load, scratch
 
@@ -223,6 +223,18 @@ def jo09(spark, sf):
     return load(spark, sf, "labels").filter("quality is not null").join(single, "doc_id").select("doc_id", "quality", "n")
 
 
+@query(
+    "jo09_paired_rows",
+    "SELECT o_orderkey AS id, o_custkey % 2 AS outcome, o_totalprice AS stated, round(sum(l_extendedprice), 4) AS summed FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL",
+)
+def jo09b(spark, sf):
+    """Two accounts of an order, which must be one each and tell of the same outcome."""
+    orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 2).alias("outcome"), F.col("o_totalprice").alias("stated"))
+    sums = load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.round(F.sum("l_extendedprice"), 4).alias("summed"))
+    other = sums.join(load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 2).alias("outcome")), "id")
+    return paired(orders, other, ["id"], ["outcome"]).select("id", "outcome", "stated", "summed")
+
+
 @query(
     "jo13_unique_name_resolution",
     r"""WITH n AS (SELECT c_custkey, c_nationkey, regexp_replace(lower(c_mktsegment || '-' || (c_custkey % 400)), '[^a-z0-9]', '', 'g') AS k FROM customer),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from fieldbook.operators import relops
@@ -87,3 +88,13 @@ def test_global_row_number(spark):
     got = relops.global_row_number(df, [F.desc("x"), F.col("id")], "place", scratch(spark, "ranked")).collect()
     want = {r: k for k, r in enumerate(sorted(((r.x, r.id) for r in got), key=lambda p: (-p[0], p[1])), 1)}
     assert all(want[r.x, r.id] == r.place for r in got)
+
+
+def test_pairs_are_single_and_agree(spark):
+    left = spark.createDataFrame([(1, "H", 0.5), (2, "D", 0.2), (3, "A", 0.1)], "id int, outcome string, p double")
+    right = spark.createDataFrame([(1, "H", 0.4), (2, "D", 0.3), (9, "A", 0.9)], "id int, outcome string, q double")
+    assert sorted(tuple(r) for r in relops.paired(left, right, ["id"], ["outcome"]).collect()) == [(1, "H", 0.5, 0.4), (2, "D", 0.2, 0.3)]
+    with pytest.raises(PySparkException, match="several rows of 2"):
+        relops.paired(left, right.unionByName(right.filter("id = 2")), ["id"], ["outcome"]).collect()
+    with pytest.raises(PySparkException, match="disagree: 1"):
+        relops.paired(left, right.withColumn("outcome", F.when(F.col("id") == 1, "A").otherwise(F.col("outcome"))), ["id"], ["outcome"]).collect()
