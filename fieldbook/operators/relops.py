@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,6 +109,26 @@ def paired(left: DataFrame, right: DataFrame, keys: Sequence[str], agree: Sequen
     return checked.select(*keys, *[F.col("_left")[c].alias(c) for c in left.columns if c not in keys], *[F.col("_right")[c].alias(c) for c in others])
 
 
+def in_scope(df: DataFrame, column: str, scope: str | Iterable[str], current: DataFrame | None = None) -> DataFrame:
+    """The rows of a scope of versions: ``all``, ``none``, ``current`` (the versions of that
+    table's column), or those that are named; a name that no row has raises."""
+    if scope == "all":
+        return df
+    if scope == "none":
+        return df.filter(F.lit(False))
+    if scope == "current":
+        if current is None:
+            raise ValueError("which versions are current?")
+        return df.join(current.select(column).distinct(), column, "left_semi").select(df.columns)
+    if isinstance(scope, str):
+        raise ValueError(f"no scope {scope!r}: name versions in a list")
+    names = sorted(set(scope))
+    found = {r[0] for r in df.filter(F.col(column).isin(names)).select(column).distinct().collect()}
+    if missing := set(names) - found:
+        raise ValueError(f"unknown versions: {', '.join(sorted(missing))}")
+    return df.filter(F.col(column).isin(names))
+
+
 def grain_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The keys that several rows share, with their number."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")

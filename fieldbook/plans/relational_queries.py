@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldbook.operators.relops import digest, global_row_number, grain_violations, lineage, paired, pivot_stages
+from fieldbook.operators.relops import digest, global_row_number, grain_violations, in_scope, lineage, paired, pivot_stages
 from fieldbook.plans.registry import query
 from fieldbook.session import load, scratch
 
@@ -141,6 +143,20 @@ def pr16(spark, sf):
 # --- joins
 
 
+@query(
+    "pr16_version_scopes",
+    """WITH c AS (SELECT arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS v FROM orders) SELECT 'all' AS scope, count(*) AS n FROM orders UNION ALL SELECT 'none', 0 UNION ALL SELECT 'current', count(*) FROM orders WHERE o_orderpriority = (SELECT v FROM c)
+       UNION ALL SELECT 'named', count(*) FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
+)
+def pr16b(spark, sf):
+    """Priorities stand in for model versions; the current one is that of the last order."""
+    orders = load(spark, sf, "orders")
+    current = orders.agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("o_orderpriority"))
+    scopes = {"all": "all", "none": "none", "current": "current", "named": ["1-URGENT", "5-LOW"]}
+    counts = [in_scope(orders, "o_orderpriority", scope, current).agg(F.count("*").alias("n")).select(F.lit(name).alias("scope"), "n") for name, scope in scopes.items()]
+    return reduce(DataFrame.unionAll, counts)
+
+
 @query(
     "jo01_inner_multi_key",
     """SELECT n_name, r_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey

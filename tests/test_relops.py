@@ -98,3 +98,12 @@ def test_pairs_are_single_and_agree(spark):
         relops.paired(left, right.unionByName(right.filter("id = 2")), ["id"], ["outcome"]).collect()
     with pytest.raises(PySparkException, match="disagree: 1"):
         relops.paired(left, right.withColumn("outcome", F.when(F.col("id") == 1, "A").otherwise(F.col("outcome"))), ["id"], ["outcome"]).collect()
+
+
+def test_scopes(spark):
+    df = spark.createDataFrame([("v1", 1), ("v2", 2), ("v3", 3)], "v string, x int")
+    run = lambda scope, current=None: sorted(r.x for r in relops.in_scope(df, "v", scope, current).collect())
+    assert (run("all"), run("none"), run(["v3", "v1"]), run("current", df.filter("x = 2"))) == ([1, 2, 3], [], [1, 3], [2])
+    for wrong in (["v9"], "v1", "current"):
+        with pytest.raises(ValueError):
+            run(wrong)
