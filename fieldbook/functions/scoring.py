@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,3 +85,18 @@ def block_bootstrap(blocks: DataFrame, keys: Sequence[str], total: str, n: str,
     sampled = draws.join(numbered, [*keys, "_block"]).groupBy(*keys, "_sample").agg((F.sum("_total") / F.nullif(F.sum("_n"), F.lit(0))).alias("ratio"))
     ends = sampled.groupBy(*keys).agg(F.expr("percentile(ratio, 0.025)").alias("low"), F.expr("percentile(ratio, 0.975)").alias("high"))
     return blocks.groupBy(*keys).agg((F.sum(total) / F.sum(n)).alias("estimate")).join(ends, list(keys))
+
+
+def least_mean_loss(rows: DataFrame, loss: Callable[[float], Column], steps: Sequence[float] = (0.05, 0.005, 0.001)) -> tuple[float, float, bool]:
+    """(weight, mean loss, interior) of the weight from 0 to 1 at which a convex mean loss is least.
+
+    Each step is one scan: the losses of a grid of weights are sums of the same pass, and the
+    next, finer grid lies around the best one. Both ends are compared with what is between.
+    """
+    low, high, best = 0.0, 1.0, (0.0, 0.0)
+    for step in steps:
+        weights = [round(low + k * step, 9) for k in range(round((high - low) / step) + 1)]
+        found = rows.agg(*[F.avg(loss(w)) for w in weights]).first()
+        best = min(zip(found, weights))
+        low, high = max(0.0, best[1] - step), min(1.0, best[1] + step)
+    return best[1], best[0], 0 < best[1] < 1

@@ -115,6 +115,42 @@ def predict(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
     return rows.select("match_id", *keys, "home", "away", home.alias("home_rate"), away.alias("away_rate"))
 
 
+#: Models by kind: (matches, origins, fixtures, options) -> rates of the fixtures.
+MODELS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def model(kind: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """Register a model. It sees only what ``training_rows`` gives it of each origin, and gives
+    (match_id, competition, as_of, home, away, home_rate, away_rate) for every fixture."""
+
+    def register(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        if kind in MODELS:
+            raise ValueError(f"model {kind} is registered twice")
+        MODELS[kind] = function
+        return function
+
+    return register
+
+
+def rates_of(kind: str, matches: DataFrame, origins: DataFrame, fixtures: DataFrame, **options) -> DataFrame:
+    """The rates that a kind of model gives to fixtures (match_id, competition, as_of, home, away)."""
+    if kind not in MODELS:
+        raise ValueError(f"no model of kind {kind!r}: {', '.join(sorted(MODELS))}")
+    return MODELS[kind](matches, origins, fixtures, **options)
+
+
+@model("attack_defence")
+def _attack_defence(matches: DataFrame, origins: DataFrame, fixtures: DataFrame, **options) -> DataFrame:
+    return predict(fixtures, fit_ratings(matches, origins, **options))
+
+
+@model("average")
+def _average(matches: DataFrame, origins: DataFrame, fixtures: DataFrame, window_days: int = 0) -> DataFrame:
+    """All teams alike: the competition's mean goals at home and away."""
+    means = training_rows(matches, origins, window_days).groupBy("competition", "as_of").agg(F.avg("home_goals").alias("home_rate"), F.avg("away_goals").alias("away_rate"))
+    return fixtures.join(means, ["competition", "as_of"]).select("match_id", "competition", "as_of", "home", "away", "home_rate", "away_rate")
+
+
 def backtest(matches: DataFrame, origins: DataFrame, window_days: int = 0, horizon_days: int = 28, **options) -> DataFrame:
     """Rolling origins: each origin's fixtures, predicted from what was known at it."""
     ahead = matches.join(origins, "competition").filter((F.col("match_date") >= F.col("as_of")) & (F.col("match_date") < F.date_add(F.col("as_of"), horizon_days)))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import math
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldbook.functions import probability as P
@@ -618,3 +619,18 @@ def so02(spark, sf):
     """The rows as ORDER BY ALL gives them, numbered as they come; a group each, so they are few."""
     rows = spark.sql("SELECT c_nationkey, c_mktsegment, count(*) AS n FROM {customer} GROUP BY ALL ORDER BY ALL", customer=load(spark, sf, "customer"))
     return spark.createDataFrame([(*r, k) for k, r in enumerate(rows.collect(), 1)], "c_nationkey int, c_mktsegment string, n long, place long")
+
+
+@query(
+    "ud01_models_by_kind",
+    LEAGUE + """, f AS (SELECT competition FROM m WHERE match_date >= DATE '2021-12-01'), k AS (SELECT DISTINCT competition FROM m WHERE match_date < DATE '2021-12-01')
+    SELECT kind, competition, count(*) AS fixtures, true AS proper FROM f JOIN k USING (competition), (VALUES ('attack_defence'), ('average')) AS v(kind) GROUP BY kind, competition""",
+)
+def ud01(spark, sf):
+    """Every kind of model gives every later match two rates, from the matches before."""
+    league = _league(spark, sf)
+    origins = _origins(league, DECEMBER)
+    fixtures = league.join(origins, "competition").filter("match_date >= as_of").select("match_id", "competition", "as_of", "home", "away")
+    proper = F.bool_and(F.col("home_rate").between(0.01, 10) & F.col("away_rate").between(0.01, 10)).alias("proper")
+    found = [models.rates_of(kind, league, origins, fixtures).groupBy("competition").agg(F.count("*").alias("fixtures"), proper).select(F.lit(kind).alias("kind"), "competition", "fixtures", "proper") for kind in sorted(models.MODELS)]
+    return reduce(DataFrame.unionAll, found)

@@ -61,6 +61,24 @@ def dm07(spark, sf):
     return rows.agg(F.array(*losses).alias("all")).select(F.inline("all"))
 
 
+@query(
+    "dm07_best_pool_weight",
+    ODDS + """, g AS (SELECT CAST(w AS DOUBLE) / 1000 AS w FROM range(0, 1001) t(w)),
+    l AS (SELECT w, avg(-ln(CASE p_partkey % 3 WHEN 0 THEN pow(0.05::DOUBLE, 1 - w) * pow(pa, w) WHEN 1 THEN pow(0.55::DOUBLE, 1 - w) * pow(pb, w) ELSE pow(0.4::DOUBLE, 1 - w) * pow(pc, w) END
+      / (pow(0.05::DOUBLE, 1 - w) * pow(pa, w) + pow(0.55::DOUBLE, 1 - w) * pow(pb, w) + pow(0.4::DOUBLE, 1 - w) * pow(pc, w)))) AS loss FROM q, g GROUP BY w)
+    SELECT round(arg_min(w, loss), 3) AS weight, round(min(loss), 7) AS loss, arg_min(w, loss) > 0 AND arg_min(w, loss) < 1 AS interior FROM l""",
+)
+def dm07b(spark, sf):
+    rows, outcome, model = _odds(spark, sf), F.col("p_partkey") % 3, [F.lit(0.05), F.lit(0.55), F.lit(0.4)]
+
+    def loss(weight: float):
+        a, b, c = P.log_pool(model, [F.col(x) for x in ("pa", "pb", "pc")], weight)
+        return S.log_loss(F.when(outcome == 0, a).when(outcome == 1, b).otherwise(c))
+
+    weight, least, interior = S.least_mean_loss(rows, loss)
+    return spark.createDataFrame([(weight, round(least, 7), interior)], "weight double, loss double, interior boolean")
+
+
 @query(
     "dm08_market_stage",
     ODDS + """ SELECT q.p_partkey, coalesce(pa, 0.5) IS NOT NULL AS ok, CASE WHEN q.p_partkey % 3 = 0 THEN 'market_assisted' ELSE 'unadjusted' END AS stage,

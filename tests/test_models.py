@@ -292,3 +292,16 @@ def test_adjustments_from_a_table(spark):
     assert not tables.complete_tables(rows, ["season"], 5, 2).first().complete
     whole = table.filter("team in ('a', 'b')")
     assert tables.complete_tables(tables.derived_adjustments(whole, matches, ["season"]), ["season"], 2, 2).first().complete
+
+
+def test_models_by_kind(spark):
+    with pytest.raises(ValueError, match="no model"):
+        models.rates_of("other", None, None, None)
+    with pytest.raises(ValueError, match="twice"):
+        models.model("average")(lambda *a: None)
+    day = datetime.date(2024, 1, 1)
+    matches = spark.createDataFrame([("m1", "x", day, "a", "b", 3, 1), ("m2", "x", day, "b", "a", 1, 0), ("m3", "x", datetime.date(2024, 6, 1), "a", "b", 9, 9)], "match_id string, competition string, match_date date, home string, away string, home_goals int, away_goals int")
+    origins = spark.createDataFrame([("x", datetime.date(2024, 5, 1))], "competition string, as_of date")
+    fixtures = spark.createDataFrame([("f", "x", datetime.date(2024, 5, 1), "a", "new")], "match_id string, competition string, as_of date, home string, away string")
+    row = models.rates_of("average", matches, origins, fixtures).first()
+    assert (row.home_rate, row.away_rate) == (2.0, 0.5)
