@@ -122,7 +122,7 @@ def run(spark, fixtures, finished, seen, moves, squads, fpl, injuries):
     )
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_against_plain(spark, seed):
     data = season(seed)
     teams, players, shift = plain(*data)
