@@ -24,9 +24,14 @@ def log_pool(p: Sequence[Column], q: Sequence[Column], weight: float) -> list[Co
     return [x / total for x in parts]
 
 
+def poisson_log_pmf(k: Column, rate: Column) -> Column:
+    """log P(K = k), for k up to 20; finite where the probability is too small for a double."""
+    return k * F.log(rate) - rate - F.log(F.factorial(k.cast("int")).cast("double"))
+
+
 def poisson_pmf(k: Column, rate: Column) -> Column:
     """P(K = k), for k up to 20."""
-    return F.exp(k * F.log(rate) - rate - F.log(F.factorial(k.cast("int")).cast("double")))
+    return F.exp(poisson_log_pmf(k, rate))
 
 
 def shifted_rates(home: Column, away: Column, shift: Column) -> tuple[Column, Column]:
@@ -35,13 +40,15 @@ def shifted_rates(home: Column, away: Column, shift: Column) -> tuple[Column, Co
 
 
 def score_grid(df: DataFrame, keys: Sequence[str], home: Column, away: Column, most: int = 10) -> DataFrame:
-    """(keys, home_goals, away_goals, probability): independent Poisson scores up to ``most`` goals.
+    """(keys, home_goals, away_goals, probability, log_probability): independent Poisson scores up to ``most`` goals.
 
     The two marginals are exploded once each; a key's cells are (most+1)^2 by definition.
     """
     goals = F.sequence(F.lit(0), F.lit(most))
     rows = df.select(*keys, home.alias("_h"), away.alias("_a")).select("*", F.explode(goals).alias("home_goals")).select("*", F.explode(goals).alias("away_goals"))
-    return rows.select(*keys, "home_goals", "away_goals", (poisson_pmf(F.col("home_goals"), F.col("_h")) * poisson_pmf(F.col("away_goals"), F.col("_a"))).alias("probability"))
+    sides = (F.col("home_goals"), F.col("_h")), (F.col("away_goals"), F.col("_a"))
+    (p, q), (log_p, log_q) = [poisson_pmf(*s) for s in sides], [poisson_log_pmf(*s) for s in sides]
+    return rows.select(*keys, "home_goals", "away_goals", (p * q).alias("probability"), (log_p + log_q).alias("log_probability"))
 
 
 def outcome_sums(grid: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -204,10 +204,12 @@ def dm36b(spark, sf):
     GRID + """, y AS (SELECT n_nationkey AS k, n_nationkey % 4 AS h, n_nationkey % 3 AS a FROM nation) SELECT k, round(-ln(p), 7) AS log_loss FROM c JOIN y USING (k, h, a)""",
 )
 def dm29c(spark, sf):
-    """The loss of the score that came out, from the score grid."""
+    """The loss of the score that came out, from the score grid: unlike an outcome's it is not
+    clipped, and from log probabilities it is finite where the SQL's probability falls to 0.
+    """
     scores = load(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") % 4).alias("home_goals"), (F.col("n_nationkey") % 3).alias("away_goals"))
     grid = P.score_grid(_rates(spark, sf), ["k"], F.col("lh"), F.col("la"))
-    return grid.join(scores, ["k", "home_goals", "away_goals"]).select("k", F.round(S.log_loss(F.col("probability")), 7).alias("log_loss"))
+    return grid.join(scores, ["k", "home_goals", "away_goals"]).select("k", F.round(-F.col("log_probability"), 7).alias("log_loss"))
 
 
 @query(
